@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.llm import q_bpe, q_frequency
+from waymark.llm import q_bpe, q_frequency, q_leakage
 from waymark.registry import Registry
 
 LLM = Registry()
-for part in (q_frequency, q_bpe):
+for part in (q_frequency, q_bpe, q_leakage):
     part.register(LLM)
