@@ -61,7 +61,7 @@ LABEL_NAMES = {
 _NAMES = {n: code for code, names in LABEL_NAMES.items() for n in names.split()}
 
 TAG = re.compile(r"<[^<>]*>")
-BREAK = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])\s*|\n+|\s//\s|\s\|\s")
+BREAK = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])\s*|\n\s*\n|\s//\s|\s\|\s")
 LONG_RUN = re.compile(r"(\w)\1{4,}")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 
@@ -198,7 +198,7 @@ def label_documents(df: DataFrame) -> DataFrame:
 
 def label_segments(df: DataFrame) -> DataFrame:
     """(doc_id, segment, lang, confidence, text): every stretch of a document in one language."""
-    schema = T.StructType().add("doc_id", "long").add("segment", "int").add("lang", "string").add("confidence", "double").add("text", "string")
+    schema = T.StructType().add("doc_id", "long").add("segment", "integer").add("lang", "string").add("confidence", "double").add("text", "string")
     return _run(df, ["doc_id", "text"], schema, lambda b, done: [(i, k, lang, c, s) for i, (_, _, rows) in zip(b["doc_id"], done, strict=True) for k, lang, c, s in stretches(rows)])
 
 
