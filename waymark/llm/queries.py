@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.llm import q_bpe, q_frequency, q_langid, q_leakage
+from waymark.llm import q_bpe, q_credentials, q_frequency, q_langid, q_leakage
 from waymark.registry import Registry
 
 LLM = Registry()
-for part in (q_frequency, q_bpe, q_leakage, q_langid):
+for part in (q_credentials, q_frequency, q_bpe, q_leakage, q_langid):
     part.register(LLM)
