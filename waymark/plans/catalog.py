@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.plans import skew_queries
+from waymark.plans import search_queries, skew_queries
 from waymark.registry import Registry
 
 CORE = Registry()
-for part in (skew_queries,):
+for part in (search_queries, skew_queries):
     part.register(CORE)
