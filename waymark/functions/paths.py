@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -47,7 +49,16 @@ def in_dir(p: Column, names: tuple[str, ...]) -> Column:
 
 
 def ends(p: Column, suffixes: tuple[str, ...]) -> Column:
-    return any_of([p.endswith(s) for s in suffixes])
+    return p.rlike("(?:" + "|".join(re.escape(s) for s in suffixes) + ")$")
+
+
+def holds(p: Column, parts: tuple[str, ...]) -> Column:
+    return p.rlike("|".join(re.escape(s) for s in parts))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``; without it long rules repeat in generated code."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def file_role(path: Column) -> Column:
@@ -58,10 +69,10 @@ def file_role(path: Column) -> Column:
         F.when(in_dir(p, VENDOR_DIRS), "vendor")
         .when(in_dir(p, GENERATED_DIRS) | name.contains(".generated.") | ends(name, GENERATED_ENDS), "generated")
         .when(in_dir(p, ("docs",)) | ends(p, DOC_ENDS), "docs")
-        .when(in_dir(p, TEST_DIRS) | name.startswith("test_") | any_of([name.contains(x) for x in ("_test", ".test.", ".spec.")]), "test")
+        .when(in_dir(p, TEST_DIRS) | name.startswith("test_") | holds(name, ("_test", ".test.", ".spec.")), "test")
         .when(name.isin(*MANIFEST_NAMES) | ends(name, MANIFEST_ENDS), "package_manifest")
         .when(name.isin(*BUILD_NAMES) | name.startswith("dockerfile.") | p.rlike(r"(?:^|/)(?:\.github/workflows/|\.gitlab-ci\.|ci/)"), "build")
-        .when(in_dir(p, CONFIG_DIRS) | any_of([name.contains(x) for x in CONFIG_PARTS]) | ends(p, CONFIG_ENDS), "config")
+        .when(in_dir(p, CONFIG_DIRS) | holds(name, CONFIG_PARTS) | ends(p, CONFIG_ENDS), "config")
         .when(ends(name, SOURCE_ENDS), "source")
         .when(p.isNotNull(), "unknown")
     )
@@ -87,8 +98,7 @@ def search_penalty(path: Column) -> Column:
 
 def context_penalty(path: Column) -> Column:
     """Penalty of refs, pack and impact: by role; not the same as the search's."""
-    role = file_role(path)
-    return F.when(role.isin("generated", "vendor"), 30).when(is_fixture_path(path), 25).when(role == "test", 10).when(role == "docs", 15).when(is_operational_role(role), 20).otherwise(0)
+    return let(file_role(path), lambda role: F.when(role.isin("generated", "vendor"), 30).when(is_fixture_path(path), 25).when(role == "test", 10).when(role == "docs", 15).when(is_operational_role(role), 20).otherwise(0))
 
 
 def path_depth(path: Column) -> Column:
@@ -99,7 +109,7 @@ def refs_test_path(path: Column) -> Column:
     """The reference scanner's narrower test path."""
     p = normal(path)
     name = basename(p)
-    return in_dir(p, ("tests", "test", "__tests__")) | any_of([name.contains(x) for x in ("_test", ".test.", ".spec.")])
+    return in_dir(p, ("tests", "test", "__tests__")) | holds(name, ("_test", ".test.", ".spec."))
 
 
 def file_refs_testish_path(path: Column) -> Column:

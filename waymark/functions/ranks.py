@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waymark.functions.paths import file_role, is_fixture_path, is_operational_role
+from waymark.functions.paths import file_role, is_fixture_path, is_operational_role, let
 
 # Tiers of landmark kinds (fixed values).
 KIND_TIERS = (
@@ -101,14 +101,14 @@ def file_ref_rank(path: Column, kind: Column) -> Column:
 
 
 def impact_group_for_ref(path: Column, kind: Column, confidence: Column) -> Column:
-    role = file_role(path)
-    return (
-        F.when((kind == "test_reference") | (role == "test"), "Tests")
+    return let(
+        file_role(path),
+        lambda role: F.when((kind == "test_reference") | (role == "test"), "Tests")
         .when(kind == "module_dependency", F.when(confidence == "unresolved", "Unknown").otherwise("Dependents"))
         .when((kind == "markdown_link") | (role == "docs"), "Docs")
         .when(is_operational_role(role), "Config")
         .when(is_fixture_path(path) | role.isin("generated", "vendor"), "Unknown")
-        .otherwise("References")
+        .otherwise("References"),
     )
 
 
@@ -150,14 +150,14 @@ def impact_ref_priority(path: Column, kind: Column, group: Column) -> Column:
 
 
 def impact_group_for_file_ref(path: Column, kind: Column) -> Column:
-    role = file_role(path)
-    return (
-        F.when(is_fixture_path(path), "Unknown")
+    return let(
+        file_role(path),
+        lambda role: F.when(is_fixture_path(path), "Unknown")
         .when((kind == "fixture") | (role == "test"), "Tests")
         .when(kind.isin(*IMPORT_KINDS), "Dependents")
         .when((kind == "link") | (role == "docs"), "Docs")
         .when(kind.isin("config_path", "package_entry") | is_operational_role(role), "Config")
-        .otherwise("References")
+        .otherwise("References"),
     )
 
 
