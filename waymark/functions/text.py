@@ -45,21 +45,3 @@ def line_array(text: Column) -> Column:
 def lines(files: DataFrame) -> DataFrame:
     """(path, line_no, line) of all lines of ``files(path, text)``; null and empty texts have none."""
     return files.select("path", F.posexplode(line_array(F.col("text"))).alias("k", "line")).select("path", (F.col("k") + 1).alias("line_no"), "line")
-
-
-def matches(df: DataFrame, pattern: str, keep: list[str], line: str = "line") -> DataFrame:
-    """One row per match of ``pattern`` in each line: ``keep`` columns, m_no, m_text and its byte column m_col.
-
-    The line is cut at the matches, so the column of a match is the byte length of all that comes before it;
-    no Python, no second pass over the text.
-    """
-    found = F.regexp_extract_all(F.col(line), F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(F.col(line), pattern, -1)
-    t = df.select(*keep, found.alias("f"), gaps.alias("g")).filter(F.size("f") > 0)
-    # running byte length: sum of gap k and match k for all earlier k, and gap k itself
-    starts = F.expr(
-        "aggregate(sequence(1, size(f)), named_struct('at', 0, 'out', cast(array() as array<int>)),"
-        " (a, k) -> named_struct('at', a.at + octet_length(g[k - 1]) + octet_length(f[k - 1]),"
-        " 'out', concat(a.out, array(a.at + octet_length(g[k - 1]) + 1))), a -> a.out)"
-    )
-    return t.select(*keep, F.posexplode(F.arrays_zip(F.col("f").alias("t"), starts.alias("c"))).alias("m_no", "m")).select(*keep, "m_no", F.col("m.t").alias("m_text"), F.col("m.c").alias("m_col"))

@@ -118,16 +118,17 @@ def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
     unresolved with its reason.
     """
     src = F.col("source_path")
-    c = found.withColumn("cleaned", clean_target(F.col("raw_target"))).withColumn("rid", F.xxhash64("source_path", "source_line", "source_col", "raw_target", "reference_kind", "evidence"))
+    key = ["source_path", "raw_target"]  # what the resolution depends on
+    c = found.withColumn("cleaned", clean_target(F.col("raw_target")))
     relative = F.col("cleaned").startswith("./") | F.col("cleaned").startswith("../")
     bare = ~F.col("cleaned").contains("/") & paths.extension(F.col("cleaned")).isNotNull() & (is_project_file(src) | scan_lang(src).isin("html", "css", "scss", "sass", "md"))
     base = F.when(relative | bare, paths.normalize_rel(F.concat_ws("/", paths.parent(src), F.col("cleaned")))).otherwise(paths.normalize_rel(F.col("cleaned")))
     local = c.filter(F.col("cleaned").isNotNull() & ~F.col("cleaned").startswith("/")).withColumn("base", base)
-    tries = local.select("rid", F.explode(F.transform(candidates(F.col("base"), F.col("cleaned")), paths.normalize_rel)).alias("try")).distinct().withColumn("key", ascii_lower(F.col("try")))
+    tries = local.select(*key, F.explode(F.transform(candidates(F.col("base"), F.col("cleaned")), paths.normalize_rel)).alias("try")).distinct().withColumn("key", ascii_lower(F.col("try")))
     known = files.select("path").distinct().withColumn("key", ascii_lower(F.col("path")))
-    hit = tries.join(known, "key").groupBy("rid", "try").agg(F.coalesce(F.max(F.when(F.col("path") == F.col("try"), F.col("path"))), F.max("path")).alias("hit"))
-    per = hit.groupBy("rid").agg(F.count_distinct("hit").alias("n"), F.min("hit").alias("hit"))
-    r = c.join(per, "rid", "left")
+    hit = tries.join(known, "key").groupBy(*key, "try").agg(F.coalesce(F.max(F.when(F.col("path") == F.col("try"), F.col("path"))), F.max("path")).alias("hit"))
+    per = hit.groupBy(*key).agg(F.count_distinct("hit").alias("n"), F.min("hit").alias("hit"))
+    r = c.join(per, key, "left")
     n = F.coalesce("n", F.lit(0))
     reason = F.when(F.col("cleaned").isNull(), "external_url").when(F.col("cleaned").startswith("/"), "absolute_path").when(n == 0, "target_not_found").when(n > 1, "ambiguous_match")
     return r.select(
