@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.plans import context_queries, extract_queries, search_queries, skew_queries, usage_queries
+from waymark.plans import build_queries, context_queries, extract_queries, search_queries, skew_queries, usage_queries
 from waymark.registry import Registry
 
 CORE = Registry()
-for part in (search_queries, context_queries, extract_queries, usage_queries, skew_queries):
+for part in (search_queries, context_queries, extract_queries, build_queries, usage_queries, skew_queries):
     part.register(CORE)
