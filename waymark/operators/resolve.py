@@ -41,7 +41,8 @@ def cands(*items: Column) -> Column:
 
 
 def join_rel(parent: Column, child: Column) -> Column:
-    return paths.normalize_rel(F.concat_ws("/", F.nullif(parent, F.lit("")), child))
+    """Joined, not yet in normal form: ``resolve`` normalises all keys at once."""
+    return F.concat_ws("/", F.nullif(parent, F.lit("")), child)
 
 
 def tried(tier: int, base: Column, given: Column, exts: tuple[str, ...]) -> Column:
@@ -51,15 +52,14 @@ def tried(tier: int, base: Column, given: Column, exts: tuple[str, ...]) -> Colu
     return F.when(paths.extension(given).isNotNull(), cands(cand(tier, "path", base))).otherwise(bare)
 
 
-def candidates(go_module: str | None = None, js_package: str | None = None, dart_package: str | None = None) -> tuple[Column, Column, Column]:
+def candidates(kind: Column, imp: Column, src: Column, evidence: Column, go_module: str | None = None, js_package: str | None = None, dart_package: str | None = None) -> tuple[Column, Column, Column]:
     """(candidates, reason if nothing matches, reason that forbids a match) of an edge's columns."""
-    kind, imp, src = F.col("dependency_kind"), F.col("import_path"), F.col("from_path")
     here = paths.parent(src)
     rel = imp.startswith("./") | imp.startswith("../")
 
     module = F.regexp_replace(imp, r"^\.+", "")
     mod_path = F.replace(module, F.lit("."), F.lit("/"))
-    py_of = lambda t, base: [cand(t, "path", paths.normalize_rel(F.concat(base, F.lit(x)))) for x in (".py", "/__init__.py", "/mod.py")]
+    py_of = lambda t, base: [cand(t, "path", F.concat(base, F.lit(x))) for x in (".py", "/__init__.py", "/mod.py")]
     py = cands(*[x for t, base in enumerate([F.when(here != "", join_rel(here, mod_path)), *[F.concat(F.lit(f"{r}/"), mod_path) for r in PYTHON_ROOTS], mod_path]) for x in py_of(t, base)])
 
     def package_path(name: str | None) -> Column:
@@ -72,7 +72,7 @@ def candidates(go_module: str | None = None, js_package: str | None = None, dart
         return tried(tier, join_rel(here, imp), imp, exts)
 
     def rooted(text: Column, exts: tuple[str, ...], tier: int = 1) -> Column:
-        return tried(tier, paths.normalize_rel(text), text, exts)
+        return tried(tier, text, text, exts)
 
     js_pkg, go_pkg = package_path(js_package), package_path(go_module)
     js = F.when(rel, relative(JS)).when(js_pkg.isNotNull(), rooted(js_pkg, JS))
@@ -93,7 +93,7 @@ def candidates(go_module: str | None = None, js_package: str | None = None, dart
     net = utrim(F.regexp_replace(utrim(imp), "^static ", ""))
     net_path = F.replace(net, F.lit("."), F.lit("/"))
     cs = cands(*[cand(0, "path", F.concat(F.lit(f"{r}/"), net_path, F.lit(".cs"))) for r in DOTNET_ROOTS], cand(1, "suffix", F.concat(net_path, F.lit(".cs"))), cand(2, "dir", net_path, ("cs",)))
-    c_inc = F.concat(relative(C), cands(cand(1, "suffix", paths.normalize_rel(imp))))
+    c_inc = F.concat(relative(C), cands(cand(1, "suffix", imp)))
     php = F.concat(relative(("php",)), rooted(imp, ("php",)))
     swift = cands(cand(0, "suffix", F.concat(F.replace(imp, F.lit("."), F.lit("/")), F.lit(".swift"))))
     pkg, pkg_path = F.regexp_extract(imp, "^package:([^/]*)/", 1), F.regexp_extract(imp, "^package:[^/]*/(.*)$", 1)
@@ -107,7 +107,7 @@ def candidates(go_module: str | None = None, js_package: str | None = None, dart
     joined = F.array_join(F.when(F.size(seg) > 1, F.slice(seg, F.lit(1), F.size(seg) - 1)).otherwise(seg), "/")
     up = paths.parent(here)
     use_base = F.when((F.size(seg) > 0) & use.contains("::"), F.when(root == "crate", join_rel(F.lit("src"), joined)).when(root == "super", F.when(up == "", joined).otherwise(join_rel(up, joined))).when(root == "self", join_rel(here, joined)))
-    ruby = F.when(F.col("evidence").startswith("require_relative ") | imp.startswith("."), relative(("rb",))).otherwise(rooted(imp, ("rb",)))
+    ruby = F.when(evidence.startswith("require_relative ") | imp.startswith("."), relative(("rb",))).otherwise(rooted(imp, ("rb",)))
     shell = F.concat(relative(SHELL), rooted(imp, SHELL))
 
     found = (
@@ -121,7 +121,7 @@ def candidates(go_module: str | None = None, js_package: str | None = None, dart
     missing = (
         F.when((kind == "python_import") & ~imp.startswith(".") & ~module.contains("."), ext).when((kind == "js_import") & ~rel & js_pkg.isNull(), ext)
         .when((kind == "go_import") & ~rel & go_pkg.isNull(), ext).when(kind == "swift_import", ext).when((kind == "dart_import") & imp.startswith("package:") & ~own_pkg, ext)
-        .when((kind == "rust_use") & use_base.isNull(), ext).when((kind == "ruby_require") & ~(F.col("evidence").startswith("require_relative ") | imp.startswith(".")), ext).otherwise(gone)
+        .when((kind == "rust_use") & use_base.isNull(), ext).when((kind == "ruby_require") & ~(evidence.startswith("require_relative ") | imp.startswith(".")), ext).otherwise(gone)
     )
     jvm_kinds = kind.isin("java_import", "kotlin_import", "scala_import")
     forbidden = (
@@ -152,10 +152,15 @@ def resolve(edges: DataFrame, files: DataFrame, go_module: str | None = None, js
     """Edges (EDGE columns) with target_path, confidence and unresolved_reason, deduplicated by keep-first."""
     from waymark.operators.caps import keep_first
 
-    found, missing, forbidden = candidates(go_module, js_package, dart_package)
+    names = ("dependency_kind", "import_path", "from_path", "evidence")
+    rules = lambda *c: candidates(*c, go_module, js_package, dart_package)
+    # the rules of all languages are one large expression: bound to one row it is interpreted, not generated
+    bound = lambda k: paths.let(F.struct(*names), lambda r: rules(*[r[c] for c in names])[k])
+    found, missing, forbidden = bound(0), bound(1), bound(2)
+    normal = lambda c: F.struct(c["tier"].alias("tier"), c["mode"].alias("mode"), F.when(c["mode"] == "tail", c["key"]).otherwise(paths.normalize_rel(c["key"])).alias("key"), c["exts"].alias("exts"))
     e = edges.select(*EDGE).withColumns({"missing": missing, "forbidden": forbidden})
     key = ["from_path", "import_path", "dependency_kind", "evidence"]  # what the candidates depend on
-    tries = e.filter(F.col("forbidden").isNull()).select(*key).distinct().select(*key, F.explode(found).alias("c")).select(*key, "c.*").filter(F.col("key").isNotNull())
+    tries = e.filter(F.col("forbidden").isNull()).select(*key).distinct().select(*key, F.explode(F.transform(found, normal)).alias("c")).select(*key, "c.*").filter(F.col("key").isNotNull())
     hits = tries.join(path_keys(files), ["mode", "key"]).filter((F.size("exts") == 0) | F.array_contains("exts", F.col("ext")))
     tier = hits.groupBy(*key, "tier").agg(F.count_distinct("path").alias("n"), F.min("path").alias("p"))
     best = tier.groupBy(*key).agg(F.min(F.struct("tier", "n", "p")).alias("b"))
@@ -171,11 +176,14 @@ def resolve(edges: DataFrame, files: DataFrame, go_module: str | None = None, js
 
 def clean_import(c: Column) -> Column:
     """An import record's name without quotes, angle brackets and semicolon; null if nothing is left."""
-    t = utrim(F.regexp_replace(utrim(c), ";+$", ""))
-    quoted = F.regexp_extract(t, r"""["'`]""", 0)
-    inner = F.coalesce(*[F.when(quoted == q, F.nullif(F.regexp_extract(t, f"{q}([^{q}]*){q}", 1), F.lit(""))) for q in "\"'`"])
-    plain = utrim(F.regexp_replace(F.regexp_replace(t, r"^[\"'`]+|[\"'`]+$", ""), "^<|>$", ""))
-    return F.coalesce(inner, F.nullif(plain, F.lit("")))
+
+    def cleaned(t: Column) -> Column:
+        quoted = F.regexp_extract(t, r"""["'`]""", 0)
+        inner = F.coalesce(*[F.when(quoted == q, F.nullif(F.regexp_extract(t, f"{q}([^{q}]*){q}", 1), F.lit(""))) for q in "\"'`"])
+        plain = utrim(F.regexp_replace(F.regexp_replace(t, r"^[\"'`]+|[\"'`]+$", ""), "^<|>$", ""))
+        return F.coalesce(inner, F.nullif(plain, F.lit("")))
+
+    return paths.let(utrim(F.regexp_replace(utrim(c), ";+$", "")), cleaned)
 
 
 def edges_from_imports(records: DataFrame) -> DataFrame:
@@ -191,19 +199,21 @@ def edges_from_imports(records: DataFrame) -> DataFrame:
 
 def scanned_edges(files: DataFrame) -> DataFrame:
     """Edges of Rust mod and use, Ruby require, shell source and Nix import lines."""
-    ln, lang = F.col("line"), F.col("lang")
-    ob = F.octet_length
-    row = lambda col, imp, kind: F.struct(col.cast("int").alias("col"), imp.alias("imp"), F.lit(kind).alias("kind"))
-    mod_head, mod = F.regexp_extract(ln, r"^(\s*(?:pub |pub\(crate\) |pub\(super\) )?mod )[A-Za-z0-9_]", 1), F.regexp_extract(ln, r"^\s*(?:pub |pub\(crate\) |pub\(super\) )?mod ([A-Za-z0-9_]+)[^{]*$", 1)
-    use_head, use = F.regexp_extract(ln, r"^(\s*use )", 1), utrim(F.regexp_replace(F.regexp_extract(ln, r"^\s*use ([^{]*)$", 1), ";+$", ""))
-    rs = F.when(mod != "", row(ob(mod_head) + 1, mod, "rust_module")).when(~ln.rlike(r"^\s*(?:pub |pub\(crate\) |pub\(super\) )?mod ") & (use != ""), row(ob(use_head) + 1, use, "rust_use"))
-    rb_re = r"^(\s*require(?:_relative)? [^\"'`]*[\"'`])([^\"'`]+)[\"'`]"
-    rb = F.when(ln.rlike(rb_re), row(ob(F.regexp_extract(ln, rb_re, 1)) + 1, F.regexp_extract(ln, rb_re, 2), "ruby_require"))
-    sh_re = r"^(\s*(?:source |\. )\s*[\"'`]?)([^\s;\"'`]+)"
-    sh_imp = F.regexp_extract(ln, sh_re, 2)
-    sh = F.when((sh_imp != "") & ~sh_imp.rlike("^[$~]"), row(ob(F.regexp_extract(ln, sh_re, 1)) + 1, sh_imp, "shell_source"))
-    nix_re = r"^(\s*(?!#).*?import \s*)(\.\.?/[^\s;)\]}]*)"
-    nix = F.when(ln.rlike(nix_re), row(ob(F.regexp_extract(ln, nix_re, 1)) + 1, F.regexp_extract(ln, nix_re, 2), "nix_import"))
-    found = F.when(lang == "rs", rs).when(lang == "rb", rb).when(lang.isin("sh", "bash"), sh).when(lang == "nix", nix)
+    def statement(ln: Column, lang: Column) -> Column:
+        ob = F.octet_length
+        row = lambda col, imp, kind: F.struct(col.cast("int").alias("col"), imp.alias("imp"), F.lit(kind).alias("kind"))
+        mod_head, mod = F.regexp_extract(ln, r"^(\s*(?:pub |pub\(crate\) |pub\(super\) )?mod )[A-Za-z0-9_]", 1), F.regexp_extract(ln, r"^\s*(?:pub |pub\(crate\) |pub\(super\) )?mod ([A-Za-z0-9_]+)[^{]*$", 1)
+        use_head, use = F.regexp_extract(ln, r"^(\s*use )", 1), utrim(F.regexp_replace(F.regexp_extract(ln, r"^\s*use ([^{]*)$", 1), ";+$", ""))
+        rs = F.when(mod != "", row(ob(mod_head) + 1, mod, "rust_module")).when(~ln.rlike(r"^\s*(?:pub |pub\(crate\) |pub\(super\) )?mod ") & (use != ""), row(ob(use_head) + 1, use, "rust_use"))
+        rb_re = r"^(\s*require(?:_relative)? [^\"'`]*[\"'`])([^\"'`]+)[\"'`]"
+        rb = F.when(ln.rlike(rb_re), row(ob(F.regexp_extract(ln, rb_re, 1)) + 1, F.regexp_extract(ln, rb_re, 2), "ruby_require"))
+        sh_re = r"^(\s*(?:source |\. )\s*[\"'`]?)([^\s;\"'`]+)"
+        sh_imp = F.regexp_extract(ln, sh_re, 2)
+        sh = F.when((sh_imp != "") & ~sh_imp.rlike("^[$~]"), row(ob(F.regexp_extract(ln, sh_re, 1)) + 1, sh_imp, "shell_source"))
+        nix_re = r"^(\s*(?!#).*?import \s*)(\.\.?/[^\s;)\]}]*)"
+        nix = F.when(ln.rlike(nix_re), row(ob(F.regexp_extract(ln, nix_re, 1)) + 1, F.regexp_extract(ln, nix_re, 2), "nix_import"))
+        return F.when(lang == "rs", rs).when(lang == "rb", rb).when(lang.isin("sh", "bash"), sh).when(lang == "nix", nix)
+
+    found = paths.let(F.struct("line", "lang"), lambda r: statement(r["line"], r["lang"]))
     r = lines(files).withColumn("lang", path_lang(F.col("path"))).withColumn("m", found).filter(F.col("m").isNotNull())
     return r.select(F.col("path").alias("from_path"), F.col("line_no").alias("from_line"), F.col("m.col").alias("from_col"), F.col("m.imp").alias("import_path"), F.col("m.kind").alias("dependency_kind"), "lang", utrim(F.col("line")).alias("evidence"), F.lit("line_scan").alias("source"))
