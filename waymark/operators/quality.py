@@ -7,9 +7,11 @@ at all; everything else is joins and aggregations.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from waymark.functions import paths
 from waymark.functions.ranks import KIND_GROUPS
 from waymark.functions.text import ascii_lower, utrim
 from waymark.operators.numbering import numbered
+from waymark.session import cut
 
 LINE_PROXIMITY = 3
 MAX_GAPS_PER_CYCLE = 10
@@ -171,42 +174,51 @@ def comparator_language(lang: Column, path: Column) -> Column:
 def comparator_match(records: DataFrame, comparator: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``matched``: comparator rows, in order, take the nearest unused record of the same path and
     name, a compatible kind and at most three lines away; ties go to the first record."""
-    rk, ck = ["path", "line", "col", "kind", "name"], ["path", "line", "column", "kind", "name"]
-    r = records.select(quality_path(F.col("path")).alias("path"), "line", "col", "kind", "name", language(F.col("lang")).alias("language"), (~malformed_record(False)).alias("ok"))
-    c = comparator.select(quality_path(F.col("path")).alias("path"), "line", "column", "kind", "name", comparator_language(F.col("language"), F.col("path")).alias("language"), (~(empty("path", "kind", "name") | (F.coalesce("line", F.lit(0)) == 0))).alias("ok"))
-    group = lambda df: df.withColumn("g", F.coalesce(group_of(F.col("kind")), F.concat(F.lit("="), ascii_lower(F.col("kind")))))
-    schema_r = "path string, line int, col int, kind string, name string, language string, ok boolean, matched boolean"
-    schema = f"side string, {schema_r}"
-
-    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(rk, kind="stable").reset_index(drop=True)
-        right = right.sort_values(ck, kind="stable", na_position="first").reset_index(drop=True)
-        used, hit = [False] * len(left), [False] * len(right)
-        lines, groups, ok = left["line"].tolist(), left["g"].tolist(), left["ok"].tolist()
-        for k in range(len(right)):
-            if not right.at[k, "ok"]:
-                continue
-            best = None
-            for i, (ln, g) in enumerate(zip(lines, groups, strict=True)):
-                gap = abs(ln - right.at[k, "line"])
-                if ok[i] and not used[i] and g == right.at[k, "g"] and gap <= LINE_PROXIMITY and (best is None or gap < best[0]):
-                    best = (gap, i)
-            if best:
-                used[best[1]] = hit[k] = True
-        a = left.assign(side="record", matched=used)
-        b = right.rename(columns={"column": "col"}).assign(side="comparator", matched=hit)
-        out = pd.concat([a, b])[["side", "path", "line", "col", "kind", "name", "language", "ok", "matched"]]
-        out["col"] = out["col"].astype("Int32")
-        return out
-
-    # only keys that occur on both sides are grouped; rows of other keys cannot match
-    both = c.select("path", "name").distinct()
-    near_r, far_r = group(r.join(both, ["path", "name"], "left_semi")), r.join(both, ["path", "name"], "left_anti")
-    known = r.select("path", "name").distinct()
-    near_c, far_c = group(c.join(known, ["path", "name"], "left_semi")), c.join(known, ["path", "name"], "left_anti")
-    done = near_r.groupBy("path", "name").cogroup(near_c.groupBy("path", "name")).applyInPandas(assign, schema)
-    rows = lambda side, far: done.filter(F.col("side") == side).drop("side").unionByName(far.withColumnRenamed("column", "col").withColumn("matched", F.lit(False)))
-    return rows("record", far_r), rows("comparator", far_c)
+    group = F.coalesce(group_of(F.col("kind")), F.concat(F.lit("="), ascii_lower(F.col("kind")))).alias("g")
+    r = records.select(F.lit(0).alias("side"), quality_path(F.col("path")).alias("path"), "line", "col", "kind", "name", language(F.col("lang")).alias("language"), (~malformed_record(False)).alias("ok"), group)
+    c = comparator.select(F.lit(1).alias("side"), quality_path(F.col("path")).alias("path"), "line", F.col("column").alias("col"), "kind", "name", comparator_language(F.col("language"), F.col("path")).alias("language"), (~(empty("path", "kind", "name") | (F.coalesce("line", F.lit(0)) == 0))).alias("ok"), group)
+    schema = "side int, path string, line int, col int, kind string, name string, language string, ok boolean, matched boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in schema.split(", ")]
+        target = pa.schema([("side", pa.int32()), ("path", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("language", pa.string()), ("ok", pa.bool_()), ("matched", pa.bool_())])
+        key, held = None, []
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                k = (row["path"], row["name"], row["g"])
+                if k != key:
+                    out += assign(held)
+                    key, held = k, []
+                held.append(row)
+            yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in out], schema=target)
+        yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in assign(held)], schema=target)
+
+    # rows of one path, name and kind group meet in one task, records first; a group is part of one file
+    rows = r.unionByName(c).repartition("path", "name", "g").sortWithinPartitions("path", "name", "g", "side", "line", "col", "kind", "language")
+    done = cut(rows.mapInArrow(run, schema))
+    return done.filter("side = 0").drop("side"), done.filter("side = 1").drop("side")
+
+
+def assign(rows: list[dict]) -> list[dict]:
+    """Greedy matches inside one group of rows, records before comparator rows, each in line order."""
+    own = [x for x in rows if x["side"] == 0]
+    lines = [x["line"] or 0 for x in own]
+    for x in rows:
+        x["matched"] = False
+    for x in rows:
+        if x["side"] == 0 or not x["ok"]:
+            continue
+        lo = bisect.bisect_left(lines, x["line"] - LINE_PROXIMITY)
+        best = None
+        for i in range(lo, len(own)):
+            if lines[i] > x["line"] + LINE_PROXIMITY:
+                break
+            if own[i]["ok"] and not own[i]["matched"] and (best is None or abs(lines[i] - x["line"]) < abs(lines[best] - x["line"])):
+                best = i
+        if best is not None:
+            own[best]["matched"] = x["matched"] = True
+    return rows
 
 
 def comparison_metrics(records: DataFrame, comparator: DataFrame) -> DataFrame:
