@@ -77,8 +77,20 @@ Row = tuple[int, int, str, str, bool]
 """line, byte column, kind, name, is a reference."""
 
 
-def byte_at(line: str, k: int) -> int:
-    return len(line[:k].encode("utf-8")) + 1
+class ByteColumns:
+    """1-based byte columns of rising character positions of one line; each part of the line is encoded once."""
+
+    def __init__(self, line: str) -> None:
+        self.line, self.at, self.bytes, self.plain = line, 0, 0, line.isascii()
+
+    def __call__(self, k: int) -> int:
+        if self.plain:
+            return k + 1
+        if k < self.at:
+            self.at = self.bytes = 0
+        self.bytes += len(self.line[self.at : k].encode("utf-8"))
+        self.at = k
+        return self.bytes + 1
 
 
 def blank(m: re.Match) -> str:
@@ -101,17 +113,17 @@ def by_lines(text: str, ext: str) -> list[Row]:
         if start >= 0:
             comment = code.find("*/", start) < 0
             code = code[:start] if comment else code[:start] + re.sub(r"/\*.*?\*/", blank, code[start:])
-        own = None
+        own, byte_at = None, ByteColumns(line)
         for kind, rx in COMPILED[ext]:
             m = rx.match(kept if kind == "import" else code)
             if m and m.group(1) not in NOT_NAMES:
                 own = m.span(1)
-                out.append((n, byte_at(line, own[0]), kind, m.group(1), False))
+                out.append((n, byte_at(own[0]), kind, m.group(1), False))
                 break
         for m in CALL.finditer(code):
             g = 1 if m.group(1) else 2
-            if m.span(g) != own and m.group(g) not in NOT_NAMES and not DEFINES.search(code[: m.start(g)]):
-                out.append((n, byte_at(line, m.start(g)), "call", m.group(g), True))
+            if m.span(g) != own and m.group(g) not in NOT_NAMES and not DEFINES.search(code[max(0, m.start(g) - 24) : m.start(g)]):
+                out.append((n, byte_at(m.start(g)), "call", m.group(g), True))
     return out
 
 
