@@ -153,7 +153,7 @@ def test_normal_paths(spark):
     assert all(r["g"] == r["w"] for r in p.select("w", paths.normalize_rel(F.col("p")).alias("g")).collect())
 
 
-TREE = {"a.py": "import b\nclass Alpha:\n    pass\n", "b.py": "def beta():\n    return 1\n", "docs/x.md": "# Alpha\nsee [b](../b.py)\n"}
+TREE = {"a.py": "import b\nclass Alpha:\n    pass\n\nX = Alpha()\n", "b.py": "def beta():\n    return 1\n", "docs/x.md": "# Alpha\nsee [b](../b.py)\n"}
 
 
 def manifest_of(spark, tree_, at):
