@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators import caps, extract, file_refs, manifest, resolve, symbols
 from waymark.plans.context_queries import dedupe_records
+from waymark.session import cut
 from waymark.sources import files as tree
 from waymark.sources import store
 
@@ -68,8 +69,8 @@ def finalize_facts(facts: DataFrame) -> DataFrame:
 def full(spark: SparkSession, files: DataFrame, adapters: list[Adapter] | None = None, **packages: str | None) -> dict[str, DataFrame]:
     """All tables of ``files(path, mtime_ns, size, text)``."""
     texts = files.filter(F.col("text").isNotNull()).select("path", "text")
-    records = records_of(texts)
-    deps = edges_of(texts, records, files, **packages)
+    records = cut(records_of(texts))  # parsed once, read by every table
+    deps = cut(edges_of(texts, records, files, **packages))
     return {
         "files": files.select("path", "mtime_ns", "size"),
         "records": records,
@@ -86,15 +87,15 @@ def incremental(spark: SparkSession, old: dict[str, DataFrame], files: DataFrame
     stale = d.select("path")
     changed = files.join(stale, "path", "left_semi")
     texts = changed.filter(F.col("text").isNotNull()).select("path", "text")
-    fresh = records_of(texts)
+    fresh = cut(records_of(texts))
     records = manifest.merge(old["records"], fresh, stale, "path")
     everything = not d.filter(manifest.needs_full(F.col("state"), F.col("path"))).isEmpty() or bool(adapters)
     all_texts = files.filter(F.col("text").isNotNull()).select("path", "text")
     if everything:
-        deps = edges_of(all_texts, records, files, **packages)
+        deps = cut(edges_of(all_texts, records, files, **packages))
         frefs = file_refs_of(all_texts, deps, files)
     else:
-        deps = manifest.merge(old["dependencies"], edges_of(texts, fresh, files, **packages), stale, "from_path")
+        deps = cut(manifest.merge(old["dependencies"], edges_of(texts, fresh, files, **packages), stale, "from_path"))
         own = deps.join(stale.select(F.col("path").alias("from_path")), "from_path", "left_semi")
         frefs = manifest.merge(old["file_references"], file_refs_of(texts, own, files), stale, "source_path")
     if everything or not manifest.same_targets(manifest.target_keys(old["records"], stale), manifest.target_keys(fresh, stale)):
