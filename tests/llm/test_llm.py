@@ -119,6 +119,29 @@ def test_text_evidence(path, text, want):
     assert got == want or (want is None and got == "third party")
 
 
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("r/src/a.js", "export const T = [\n" + '    ["brapo", 0.16131, 864],\n' * 20 + "];\n", "bulk data"),
+        ("r/src/a.py", "T = [\n" + '    ("New York", -1.5e-3, None),\n' * 20 + "]\n", "bulk data"),
+        ("r/src/a.ts", "export const T = [\n" + '    { id: 12, name: "brapo" },\n' * 20 + "];\n", "bulk data"),
+        ("r/src/a.py", "T = [" + "1, 22, 333, " * 50 + "]\n", "bulk data"),
+        ("r/src/a.go", "package a\n\nvar T = []int{" + "1, 22, 333, " * 20_000 + "}\n", "bulk data"),
+        ("r/src/a.py", "T = (\n" + "    'deadbeef',\n" * 30 + ")\n", "bulk data"),
+        ("r/src/a.py", "A = [(1, 2), (3, 4)]\n", None),
+        ("r/src/a.py", "M = [\n" + ''.join(f'    "the {w} could not be read",\n' for w in "file row key name page list tree node edge path".split() * 3) + "]\n", None),
+        ("r/src/a.py", "x = f(a, 1) + g(b, 2)\n" * 5 + "y = h(x)\n" * 40, None),
+        ("r/src/a.css", "".join(f".box{k} {{ margin: 1px; padding: 2px; width: 3px }}\n" for k in range(15)), None),
+    ],
+)
+def test_tables_of_any_shape_are_bulk_data(path, text, want):
+    assert machine_made.text_reason(path, text, machine_made.automaton()) == want
+
+
+def test_table_tokens_are_linear():
+    assert not machine_made.bulk("deadbeef" * 20_000 + "!" + " g" * 200_000 + "h" * 200_000 + "\\" * 50_000 + '"' * 50_001)
+
+
 def test_paths_decide_without_text(spark):
     files = spark.createDataFrame([("r/vendor/a.js",), ("r/vendor/a.js",), ("r/a.js",), ("r/package-lock.json",), (None,)], "path string")
     src = spark.createDataFrame([("r/vendor/a.js", None), ("r/a.js", "")], "path string, text string")

@@ -43,7 +43,15 @@ COMMENT = re.compile(r"^(?://+!?|#+!?|/\*+!?|\*+|--|<!--|;+|%+|rem\b)\s?(.*)$",
 COPYRIGHT = re.compile(r"(?:\(c\)|copyright|©)\s+(?:\d{4}\S*\s+)?(?:by\s+)?(?:the\s+)?([\w.\-]+)\s+(project|authors|contributors|team|library|developers)\b(.*)")
 BANNER = re.compile(r"^/\*!\s*[\w.@/\-]+\s+v?\d+\.\d+")
 NUMBER = re.compile(r"\d+")
-LITERALS = re.compile(r"^\s*(?:(?:-?(?:0[xX])?[\da-fA-F]+(?:\.\d+)?|\"[^\"\s]*\"|'[^'\s]*')\s*,?\s*)+[\])};,]*\s*$")
+TABLE = re.compile(
+    r"(?P<text>[rbuLf]?(?:\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?))"
+    r"|(?P<value>(?<![\w.])(?:[+-]?\.?\d[\w.]*(?:(?<=[eE])[+-]\d+)?|[\da-fA-F]++\b|(?:true|false|null|nil|none|undefined|nan)\b))"
+    r"|[^\S\n]+|(?:=>|[,;:()\[\]{}])+",
+    re.IGNORECASE,
+)
+KEY = re.compile(r"\b[^\W\d]\w*+(?=[^\S\n]*+(?::|=>))")
+BLANK = re.compile(r"\s")
+WORD = re.compile(r"[^\W\d]\w*")
 LOCK_TEXT = re.compile(r"\"(?:lockfileVersion|integrity)\"\s*:|^# This file is automatically @generated by|\[\[package\]\]|^(?:content-hash|metadata\.files)", re.MULTILINE)
 
 VENDORED_DIRS = frozenset("vendor vendors vendored node_modules third_party third-party thirdparty 3rdparty external externals bower_components jspm_packages site-packages pods carthage".split())
@@ -120,11 +128,38 @@ def minified(text: str, lines: list[str], ext: str) -> bool:
     return ext != "json" and spaces < 0.12 * long
 
 
-def bulk(lines: list[str]) -> bool:
-    """Nearly all lines are rows of literals inside a table."""
-    own = [ln for ln in lines if ln.strip()]
-    rows = sum(bool(LITERALS.match(ln)) for ln in own if len(ln) < 100_000)
-    return len(own) >= 6 and rows >= 0.8 * len(own) and sum(len(ln) for ln in own if LITERALS.match(ln)) >= 300
+def bulk(text: str, keyed: bool = True) -> bool:
+    """Nearly all of the text is a table: literals, alone or in bracketed records, with brackets and separators.
+
+    The share counts by characters or by lines, so neither long nor few rows are lost. Strings with blanks count
+    where numbers are at least as many, as in records; a list of messages is not data. A bare key counts where it
+    recurs, as in records; the keys of one settings object do not.
+    """
+    if len(text) < 300:
+        return False
+    rest, own = TABLE.sub(" ", text), len("".join(text.split()))
+    lines, least = text.split("\n"), 0.8 * sum(bool(ln.strip()) for ln in text.split("\n"))
+
+    def left(rest: str, keys: list[str]) -> tuple[str, int]:
+        counts: dict[str, int] = {}
+        for k in keys:
+            counts[k] = counts.get(k, 0) + 1
+        often = {k for k, n in counts.items() if n >= 5}
+        rest = WORD.sub(lambda m: "" if m.group() in often else m.group(), rest) if often else rest
+        return rest, len("".join(rest.split()))
+
+    most, code = left(rest, KEY.findall(text) if keyed else [])  # keys in strings too: never more code than below
+    if own - code < 0.8 * own and sum(not r.strip() and bool(ln.strip()) for r, ln in zip(most.split("\n"), lines, strict=True)) < least:
+        return False
+    kinds = [(m.lastgroup, m.group()) for m in TABLE.finditer(text) if m.lastgroup]
+    prose = sum(kind == "text" and BLANK.search(v) is not None for kind, v in kinds)
+    if prose > sum(kind == "value" for kind, _ in kinds):
+        rest = TABLE.sub(lambda m: m.group() if m.lastgroup == "text" and BLANK.search(m.group()) else " ", text)
+    rest, code = left(rest, KEY.findall(TABLE.sub(lambda m: " " if m.lastgroup else m.group(), text)) if keyed else [])
+    if own - code >= 0.8 * own:
+        return bool(kinds) and len(text) - code >= 300
+    rows = [ln for r, ln in zip(rest.split("\n"), lines, strict=True) if not r.strip() and any(m.lastgroup for m in TABLE.finditer(ln))]
+    return len(rows) >= least and sum(map(len, rows)) >= 300
 
 
 def stubs(lines: list[str]) -> bool:
@@ -152,7 +187,7 @@ def text_reason(path: str, text: str, auto) -> str | None:
         return "minified"
     if said:
         return said
-    if ext not in ("json", "yaml", "yml", "toml", "md", "txt", "csv") and bulk(lines):
+    if ext not in ("json", "yaml", "yml", "toml", "md", "txt", "csv") and bulk(text, ext != "css"):
         return "bulk data"
     if ext not in ("json", "yaml", "yml", "toml", "md", "txt", "csv", "css") and stubs(lines):
         return "generated"
