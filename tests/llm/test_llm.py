@@ -195,3 +195,26 @@ def test_large_files_go_through_chunks(spark):
     rows = [("r/a.py", "x = (\n" + "1,\n" * 200 + ")\n"), ("r/b.py", "x = (\n" + "1,\n" * 200), ("r/c.js", "/*\n" + "(\n" * 100 + "*/ let a = 1;\n"), ("r/d.js", "let a = 1;\n" * 50 + "let = ;\n"), ("r/e.txt", "((("), ("r/f.py", None), (None, "x")]
     got = {x["path"]: x["reason"] is None for x in verdicts(spark.createDataFrame(rows, "path string, text string"), chunk=64).collect()}
     assert got == {"r/a.py": True, "r/b.py": False, "r/c.js": True, "r/d.js": False}
+
+
+CONTINUED = {
+    "py": ["x = 'a" + "\\\n" * 60 + "b'\ny = \"" + "c \\\n" * 40 + "\"\n", "# c\\\\\\\n" * 20 + "x = (\n"],
+    "js": ["let a = 'x" + "\\\n" * 60 + "y';\n", "let a = 1;\n/[\"(]/.test(a);\n" * 20],
+    "ts": ["let a: string = 'x" + "\\\n" * 60 + "y';\n"],
+}
+
+
+def test_verdicts_do_not_depend_on_the_chunk_size(spark):
+    texts = [(ext, t) for some in (GOOD, BAD, CONTINUED) for ext in some for t in some[ext]]
+    texts += [(ext, "\n" * 70 + t) for ext, t in texts]
+    df = spark.createDataFrame([(f"r/f{k}.{ext}", t) for k, (ext, t) in enumerate(texts)], "path string, text string")
+    small, large = ({x["path"]: x["reason"] is None for x in verdicts(df, chunk=c).collect()} for c in (64, 1 << 20))
+    assert small == large and len(small) == len(texts)
+    want = [t for ext, some in CONTINUED.items() for t in some if not grammar.parse(t, ext)]
+    assert len(want) == 4 and all(small[f"r/f{k}.{ext}"] for k, (ext, t) in enumerate(texts) if t in want)
+
+
+def test_pieces_keep_continued_lines():
+    for text in ("a\\\nb\n" * 9, "a\\\\\nb\n" * 9):
+        got = chunks.pieces(text, 2)
+        assert "".join(got) == text and not any(p.endswith("\\\n") and not p.endswith("\\\\\n") for p in got) and len(got) >= 9

@@ -18,6 +18,7 @@ Summary = dict[str, tuple[str, str, str, str]]
 PAIR = {")": "(", "]": "[", "}": "{"}
 STR2 = r"\"(?:[^\"\\\n]|\\[\s\S])*\""
 STR1 = r"'(?:[^'\\\n]|\\[\s\S])*'"
+LINE_END = re.compile(r"(?<!\\)(?:\\\\)*\n")
 SPAN_D3 = re.compile(r"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"")
 SPAN_S3 = re.compile(r"(?:[^'\\]|\\[\s\S]|'(?!''))*'''")
 
@@ -32,7 +33,7 @@ def spec(parts: list[str], states: dict[str, str | re.Pattern]) -> Spec:
     return Spec(re.compile("|".join([*parts, r"(?P<b>[()\[\]{}])"])), {k: re.compile(v) if isinstance(v, str) else v for k, v in states.items()})
 
 
-_REGEX = r"(?P<re>(?<=[(,=:\[!&|?{};\n])[ \t]*/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/)"
+_REGEX = r"(?P<re>(?:(?<=[(,=:\[!&|?{};\n])|(?<![\s\S]))[ \t]*/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/)"
 _JS = spec(
     [r"(?P<skip>//[^\n]*)", r"(?P<bc>/\*)", rf"(?P<ok>{STR2}|{STR1})", r"(?P<tpl>`)", _REGEX, r"(?P<bad>[\"'])"],
     {"bc": r"[\s\S]*?\*/", "tpl": r"(?:[^`\\$]|\\[\s\S]|\$\{(?:[^{}`]|\{[^{}`]*\}|`[^`]*`)*\}|\$(?!\{)|\$\{)*`"},
@@ -114,11 +115,15 @@ def fault(total: Summary) -> str | None:
 
 
 def pieces(text: str, size: int) -> list[str]:
-    """Runs of whole lines of about ``size`` characters; a longer line is a piece of its own."""
+    """Runs of whole lines of about ``size`` characters; a longer line is a piece of its own.
+
+    A line that ends in an odd run of backslashes stays with the next one, so no piece starts inside a string
+    that is continued over a newline.
+    """
     out, at = [], 0
     while at < len(text):
-        end = text.find("\n", min(len(text), at + size))
-        end = len(text) if end < 0 else end + 1
+        m = LINE_END.search(text, min(len(text), at + size))
+        end = m.end() if m else len(text)
         out.append(text[at:end])
         at = end
     return out or [""]

@@ -2,8 +2,8 @@
 
 A file of at most CHUNK characters is summarised and parsed where it is read, without a shuffle. A longer one
 is cut into chunks of whole lines that are spread over the cluster; their lexer-state maps and bracket
-summaries are reduced per file (a few hundred bytes each), and only files whose brackets and strings match go
-on to their grammar. Kept texts are bounded (files too large are stored without text), so the statements of
+summaries are reduced per file (a few hundred bytes each). A fault of the summary is final only where the
+file's grammar agrees, or is nested too deep to tell, so the verdict does not depend on CHUNK. Kept texts are bounded (files too large are stored without text), so the statements of
 one file are parsed in one task.
 
 Defined results: files with a null path or text, and other extensions, are never judged; the extension counts
@@ -30,8 +30,8 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
 
 
-def judged(path: str, ext: str, text: str, lexed: bool) -> tuple[str, str, int | None, str | None]:
-    if not lexed and ext in chunks.SPECS:
+def judged(path: str, ext: str, text: str) -> tuple[str, str, int | None, str | None]:
+    if ext in chunks.SPECS:
         bad = chunks.fault(chunks.summary(text, ext, False))
         if bad:
             return path, ext, None, bad
@@ -39,15 +39,23 @@ def judged(path: str, ext: str, text: str, lexed: bool) -> tuple[str, str, int |
     return (path, ext, *got) if got else (path, ext, None, None)
 
 
+def confirmed(path: str, ext: str, text: str, bad: str | None) -> tuple[str, str, int | None, str | None]:
+    """The verdict on a text whose summary says ``bad``: final only if the grammar agrees or cannot tell."""
+    whole, got = grammar.settle(text, ext)
+    if bad and (got or not whole):
+        return path, ext, None, bad
+    return (path, ext, *got) if got else (path, ext, None, None)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["path", "ext", "line", "reason"])
 
 
-def _parse(lexed: bool):  # noqa: ANN202
+def _parse(judge):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _batch([judged(p, e, t, lexed) for p, e, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
+            yield _batch([judge(*row) for row in zip(*[c.to_pylist() for c in b.columns], strict=True)])
 
     return run
 
@@ -56,7 +64,7 @@ def verdicts(source: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(path, ext, line, reason) of every file with text and a judged extension; reason null is valid."""
     own = source.select("path", extension(F.col("path")).alias("ext"), "text").filter(F.col("text").isNotNull() & F.col("ext").isin(*grammar.EXTENSIONS))
     chunked = (F.length("text") > chunk) & F.col("ext").isin(*chunks.SPECS)
-    small = own.filter(~chunked).mapInArrow(_parse(False), VERDICT)
+    small = own.filter(~chunked).mapInArrow(_parse(judged), VERDICT)
     large = own.filter(chunked)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +93,4 @@ def verdicts(source: DataFrame, chunk: int = CHUNK) -> DataFrame:
     parts = large.mapInArrow(cut, "path string, ext string, k int, part string").repartition("path", "k").mapInArrow(summarise, "path string, k int, summary string")
     per_file = parts.groupBy("path").agg(F.transform(F.array_sort(F.collect_set(F.struct("k", "summary"))), lambda x: x["summary"]).alias("maps"))
     lexed = per_file.mapInArrow(reduce, "path string, fault string")
-    null_line = F.lit(None).cast("int")
-    failed = lexed.filter(F.col("fault").isNotNull()).select("path", extension(F.col("path")).alias("ext"), null_line.alias("line"), F.col("fault").alias("reason"))
-    passed = large.join(lexed.filter(F.col("fault").isNull()).select("path"), "path", "left_semi").select("path", "ext", "text").mapInArrow(_parse(True), VERDICT)
-    return small.unionByName(failed).unionByName(passed)
+    return small.unionByName(large.join(lexed, "path").select("path", "ext", "text", "fault").mapInArrow(_parse(confirmed), VERDICT))

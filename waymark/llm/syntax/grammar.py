@@ -73,8 +73,10 @@ def python_statements(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def python(text: str) -> None:
+def python(text: str) -> bool:
+    """False if a statement is nested too deep for the compiler."""
     text = text[1:] if text.startswith("﻿") else text
+    whole = True
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         for line, part in python_statements(text.replace("\r\n", "\n").replace("\r", "\n")):
@@ -83,7 +85,8 @@ def python(text: str) -> None:
             except (SyntaxError, ValueError) as e:
                 raise Bad(line + (getattr(e, "lineno", None) or 1) - 1, str(getattr(e, "msg", None) or e)) from None
             except (MemoryError, RecursionError):
-                continue
+                whole = False
+    return whole
 
 
 def no_constant(x: str) -> None:
@@ -110,16 +113,20 @@ def toml(text: str) -> None:
 GRAMMARS = {"py": python, "js": lambda t: ecma.check(t, False), "ts": lambda t: ecma.check(t, True), "go": golang.check, "rs": rust.check, "java": java.check, "json": json_text, "toml": toml, "yaml": yamlish.check}
 
 
-def parse(text: str, ext: str) -> tuple[int, str] | None:
-    """None if the statements parse, else (line, reason)."""
+def settle(text: str, ext: str) -> tuple[bool, tuple[int, str] | None]:
+    """(whether the grammar read the whole text or found a fault, None or the fault's (line, reason))."""
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, DEPTH))
     try:
-        GRAMMARS[ext](text)
+        return GRAMMARS[ext](text) is not False, None
     except Bad as e:
-        return e.args[0], e.args[1]
+        return True, (e.args[0], e.args[1])
     except RecursionError:
-        return None
+        return False, None
     finally:
         sys.setrecursionlimit(limit)
-    return None
+
+
+def parse(text: str, ext: str) -> tuple[int, str] | None:
+    """None if the statements parse, else (line, reason)."""
+    return settle(text, ext)[1]
