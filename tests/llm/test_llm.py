@@ -10,7 +10,7 @@ from waymark.llm import bpe, credentials, langid, leakage, machine_made  # noqa:
 from waymark.llm.frequency import frequencies  # noqa: E402
 from waymark.llm.queries import LLM  # noqa: E402
 from waymark.llm.syntax import chunks, grammar  # noqa: E402
-from waymark.llm.syntax.files import verdicts  # noqa: E402
+from waymark.llm.syntax.files import judged, verdicts  # noqa: E402
 from tests.oracle import DATA, difference  # noqa: E402
 
 FOLDER = f"{DATA}/sf0.001"
@@ -198,8 +198,8 @@ def test_large_files_go_through_chunks(spark):
 
 
 CONTINUED = {
-    "py": ["x = 'a" + "\\\n" * 60 + "b'\ny = \"" + "c \\\n" * 40 + "\"\n", "# c\\\\\\\n" * 20 + "x = (\n"],
-    "js": ["let a = 'x" + "\\\n" * 60 + "y';\n", "let a = 1;\n/[\"(]/.test(a);\n" * 20],
+    "py": ["x = 'a" + "\\\n" * 60 + "b'\ny = \"" + "c \\\n" * 40 + "\"\n", "x = 'a\\\r\nb'\n" + "y = 1\n" * 20, "# c\\\\\\\n" * 20 + "x = (\n"],
+    "js": ["let a = 'x" + "\\\n" * 60 + "y';\n", "let a = 1;\n/[\"(]/.test(a);\n" * 20, "let a = `x${[1].map(\n(b) => `${b}\n`\n).join(`\n`)\n}`;\n" * 8, "let a = `x${\n{b: `}`}.b\n}`;\n" * 8],
     "ts": ["let a: string = 'x" + "\\\n" * 60 + "y';\n"],
 }
 
@@ -211,10 +211,25 @@ def test_verdicts_do_not_depend_on_the_chunk_size(spark):
     small, large = ({x["path"]: x["reason"] is None for x in verdicts(df, chunk=c).collect()} for c in (64, 1 << 20))
     assert small == large and len(small) == len(texts)
     want = [t for ext, some in CONTINUED.items() for t in some if not grammar.parse(t, ext)]
-    assert len(want) == 4 and all(small[f"r/f{k}.{ext}"] for k, (ext, t) in enumerate(texts) if t in want)
+    assert len(want) == 7 and all(small[f"r/f{k}.{ext}"] for k, (ext, t) in enumerate(texts) if t in want)
 
 
 def test_pieces_keep_continued_lines():
     for text in ("a\\\nb\n" * 9, "a\\\\\nb\n" * 9):
         got = chunks.pieces(text, 2)
         assert "".join(got) == text and not any(p.endswith("\\\n") and not p.endswith("\\\\\n") for p in got) and len(got) >= 9
+
+
+REGEXES = ["function f(s) { return /[\"']/.test(s); }\n", "const f = s => /[(]/.test(s);\n", "const t = typeof /[{]/;\n", "switch (x) { case /['`]/: break }\n", "const u = 'a' + /[\"]/.source;\n"]
+
+
+@pytest.mark.parametrize("text", REGEXES)
+def test_regexes_behind_words_and_operators(text):
+    assert chunks.fault(chunks.summary(text, "js")) is None
+    assert [judged("r/a." + ext, ext, text)[3] for ext in ("js", "ts")] == [None, None]
+    assert judged("r/a.js", "js", text + "f(")[3]
+
+
+def test_summary_faults_need_the_grammar():
+    valid = "let a = `x${[1].map((b) => `${`${b}(`}`)}`;\n"
+    assert judged("r/a.js", "js", valid)[3] is None and judged("r/a.py", "py", 'x = f"{a["("]}"\n')[3] is None

@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from waymark.llm.syntax import ecma
+
 Summary = dict[str, tuple[str, str, str, str]]
 """start state -> (end state, unmatched closers, unmatched openers, fault)."""
 
@@ -33,7 +35,8 @@ def spec(parts: list[str], states: dict[str, str | re.Pattern]) -> Spec:
     return Spec(re.compile("|".join([*parts, r"(?P<b>[()\[\]{}])"])), {k: re.compile(v) if isinstance(v, str) else v for k, v in states.items()})
 
 
-_REGEX = r"(?P<re>(?:(?<=[(,=:\[!&|?{};\n])|(?<![\s\S]))[ \t]*/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/)"
+_BEHIND = "|".join([r"(?<=[(,=:\[!&|?{};\n>*%^~])", r"(?<=[^+]\+)", r"(?<=[^-]-)", r"(?<![\s\S])", *(rf"(?<=(?<![\w$.]){w})" for w in sorted(ecma.EXPR_WORDS))])
+_REGEX = rf"(?P<re>(?=[ \t/])(?:{_BEHIND})" + r"[ \t]*/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/)"
 _JS = spec(
     [r"(?P<skip>//[^\n]*)", r"(?P<bc>/\*)", rf"(?P<ok>{STR2}|{STR1})", r"(?P<tpl>`)", _REGEX, r"(?P<bad>[\"'])"],
     {"bc": r"[\s\S]*?\*/", "tpl": r"(?:[^`\\$]|\\[\s\S]|\$\{(?:[^{}`]|\{[^{}`]*\}|`[^`]*`)*\}|\$(?!\{)|\$\{)*`"},

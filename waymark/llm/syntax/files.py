@@ -31,12 +31,7 @@ def extension(path: Column) -> Column:
 
 
 def judged(path: str, ext: str, text: str) -> tuple[str, str, int | None, str | None]:
-    if ext in chunks.SPECS:
-        bad = chunks.fault(chunks.summary(text, ext, False))
-        if bad:
-            return path, ext, None, bad
-    got = grammar.parse(text, ext)
-    return (path, ext, *got) if got else (path, ext, None, None)
+    return confirmed(path, ext, text, chunks.fault(chunks.summary(text, ext, False)) if ext in chunks.SPECS else None)
 
 
 def confirmed(path: str, ext: str, text: str, bad: str | None) -> tuple[str, str, int | None, str | None]:
