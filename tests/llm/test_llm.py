@@ -138,6 +138,27 @@ def test_tables_of_any_shape_are_bulk_data(path, text, want):
     assert machine_made.text_reason(path, text, machine_made.automaton()) == want
 
 
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("r/src/a.java", "/*\n * Code generated by X. DO NOT EDIT.\n */\npackage a;\n", "generated"),
+        ("r/src/a.js", "\n/**\n   This file was generated.\n*/\nlet a = 1;\n", "generated"),
+        ("r/src/a.html", "<!doctype html>\n<!--\n  Automatically generated\n-->\n<p>\n", "generated"),
+        ("r/src/a.py", '#!/usr/bin/env python\n"""Tables.\n\nDo not edit.\n"""\nx = 1\n', "generated"),
+        ("r/src/a.py", '"Automatically generated."\nx = 1\n', "generated"),
+        ("r/src/a.rs", "  // @generated\nfn f() {}\n", "generated"),
+        ("r/src/a.go", "/* Unmodified copy of q */\npackage a\n", "third party"),
+        ("r/dist/a.js", "/*\n   Edited by hand.\n */\nlet a = 1;\n", "hand"),
+        ("r/src/a.js", "let a = 1;\n/*\n   do not edit\n */\n", None),
+        ("r/src/a.js", "/* a */ let b = 'do not edit';\n", None),
+        ("r/src/a.py", 'x = 1\n"""\n do not edit\n"""\n', None),
+        ("r/src/a.js", "let a = 1;\n// do not edit\n", "generated"),
+    ],
+)
+def test_notices_in_headers(path, text, want):
+    assert machine_made.text_reason(path, text, machine_made.automaton()) == want
+
+
 def test_table_tokens_are_linear():
     assert not machine_made.bulk("deadbeef" * 20_000 + "!" + " g" * 200_000 + "h" * 200_000 + "\\" * 50_000 + '"' * 50_001)
 

@@ -1,8 +1,9 @@
 """Generated, minified, copied and bulk-data files, by a multi-pattern automaton over comments and path rules.
 
-Evidence in the text goes before the path. Comment lines that stand alone are matched against one automaton of
-notices (generated, third party, hand-written) in several languages; a notice inside a string literal is code,
-not a notice. Text statistics tell minified code, tables of literals and runs of numbered stubs. Only where the
+Evidence in the text goes before the path. One automaton of notices (generated, third party, hand-written) in
+several languages reads every comment line of a file's header, in block comments and docstrings too and at any
+indentation, and comment lines that stand alone at the margin behind it; a notice inside a string literal is
+code, not a notice. Text statistics tell minified code, tables of literals and runs of numbered stubs. Only where the
 text shows nothing, or there is none, rules on directories, lock files and suffixes decide.
 
 Defined results: a path without text, or with a null or empty one, is judged by its path; a null path is no
@@ -41,6 +42,10 @@ NOTICES = {
 
 COMMENT = re.compile(r"^(?://+!?|#+!?|/\*+!?|\*+|--|<!--|;+|%+|rem\b)\s?(.*)$", re.IGNORECASE)
 COPYRIGHT = re.compile(r"(?:\(c\)|copyright|©)\s+(?:\d{4}\S*\s+)?(?:by\s+)?(?:the\s+)?([\w.\-]+)\s+(project|authors|contributors|team|library|developers)\b(.*)")
+OPENERS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
+PREFIXED = re.compile(r"[rbuRBU]{1,2}(?=\"\"\"|''')")
+PASSED = re.compile(r"<\?(?:php|xml)\b|<!doctype\b|[\"']use strict[\"'];?$", re.IGNORECASE)
+ONE_LINE = re.compile(r"""^[rbuRBU]{0,2}(?:["'])(.*)["']$""")
 BANNER = re.compile(r"^/\*!\s*[\w.@/\-]+\s+v?\d+\.\d+")
 NUMBER = re.compile(r"\d+")
 TABLE = re.compile(
@@ -96,14 +101,45 @@ def path_reason(path: str) -> str | None:
     return "generated" if any(d in GENERATED_DIRS for d in dirs) else None
 
 
-def notice(lines: list[str], repository: str, auto) -> str | None:
-    """The strongest notice in stand-alone comments at the file's margin: hand, third party, generated or None."""
+def header(lines: list[str], ext: str) -> tuple[list[str], int]:
+    """(comment texts of the leading header, number of its lines), with block comments, docstrings and any indentation."""
+    out: list[str] = []
+    close = ""
+    for k, line in enumerate(lines):
+        body = line.lstrip("\ufeff \t\f")
+        if not close:
+            if not body.strip() or PASSED.match(body.strip()):
+                continue
+            start = PREFIXED.sub("", body, count=1) if ext in ("py", "pyi") else body
+            for o, c in OPENERS:
+                if start.startswith(o) and (o[0] not in "\"'" or ext in ("py", "pyi")):
+                    close, body = c, start[len(o) :]
+                    break
+            else:
+                m = COMMENT.match(body)
+                m = m or (ext in ("py", "pyi") and ONE_LINE.match(body.rstrip()))
+                if not m:
+                    return out, k
+                out.append(m.group(1))
+                continue
+        text, end, rest = body.partition(close)
+        out.append(text.strip(" \t*!#"))
+        if end:
+            close = ""
+            if rest.strip(" \t;") and not COMMENT.match(rest.strip()):
+                return out, k + 1
+    return out, len(lines)
+
+
+def notice(lines: list[str], repository: str, auto, ext: str = "") -> str | None:
+    """The strongest notice: hand, third party, generated or None.
+
+    Notices count in every comment line of the leading header, behind it in stand-alone comments at the margin.
+    """
+    head, n = header(lines, ext)
+    margin = [m.group(1) for line in lines[n:] if (m := COMMENT.match(line))]
     seen: set[str] = set()
-    for line in lines:
-        m = COMMENT.match(line)
-        if not m:
-            continue
-        body = fold(m.group(1))
+    for body in map(fold, head + margin):
         kinds = {kind for _, kind in auto.iter(body)}
         c = COPYRIGHT.search(body)
         if c:
@@ -178,7 +214,7 @@ def text_reason(path: str, text: str, auto) -> str | None:
     """What the text shows: hand, third party, generated, minified, bulk data, lock file, or None."""
     lines = text.splitlines()
     ext = path.rpartition(".")[2].lower()
-    said = notice(lines, path.split("/", 1)[0], auto)
+    said = notice(lines, path.split("/", 1)[0], auto, ext)
     if said == "hand":
         return said
     if ext in ("json", "yaml", "yml", "toml", "lock") and LOCK_TEXT.search(text):
