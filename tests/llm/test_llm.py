@@ -73,6 +73,18 @@ def test_renamed_template_is_found(spark):
     assert got[1] > got.get(2, 0)
 
 
+def test_every_item_of_a_renamed_passage_is_reported(spark):
+    first = "Today the miller {} carried {} apples to {} and told old {} again what he saw"
+    second = "Every autumn the weaver {} sold {} ribbons beside the harbour while young {} counted coins nearby"
+    items = [(7, first.format("Tovel", 15, "Mira", "Tovel")), (8, second.format("Runa", 4, "Pim")), (9, first.format("Hanno", 3, "Lisbet", "Hanno")), (10, None)]
+    docs = [(1, first.format("Sandro", 99, "Ilse", "Sandro") + ". " + second.format("Karla", 6, "Jost")), (2, second.format("Karla", 6, "Jost")), (3, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for block in (leakage.BLOCK_CHARS, 100):
+        got = leakage.template_matches(df, spark.createDataFrame(items, "item_id bigint, text string"), block_chars=block).collect()
+        assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(1, 7), (1, 8), (1, 9), (2, 8)]
+        assert all(x["templates"] > 0 for x in got)
+
+
 # languages
 def test_language_labels_and_stretches():
     lab = langid.Labeller(langid.load_weights())

@@ -199,15 +199,15 @@ def verbatim(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_char
 
 
 def template_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, templates, first_item): documents with windows that rename an item's window consistently.
+    """(doc_id, item_id, templates): documents with windows that rename a window of the item consistently.
 
-    ``templates`` counts the distinct item windows (template and slot pattern) found, word-for-word ones
-    included; ``first_item`` is the least item that has one of them.
+    ``templates`` counts the distinct windows of the item (template and slot pattern) found in the document,
+    word-for-word ones included. Items that share a passage are all reported.
     """
 
     def join(theirs: DataFrame, ours: DataFrame) -> DataFrame:
         a = theirs.select("doc_id", "tmpl", "filling").distinct()
-        b = ours.groupBy("tmpl", "filling").agg(F.min("item_id").alias("item_id"))
+        b = ours.select("item_id", "tmpl", "filling").distinct()
         return a.join(b, ["tmpl", "filling"])
 
-    return _joined(docs, items, True, window, block_chars, join).groupBy("doc_id").agg(F.count_distinct("tmpl", "filling").alias("templates"), F.min("item_id").alias("first_item"))
+    return _joined(docs, items, True, window, block_chars, join).groupBy("doc_id", "item_id").agg(F.count_distinct("tmpl", "filling").alias("templates"))
