@@ -251,3 +251,30 @@ def test_usage_stream(spark, tmp_path):
     q = U.append_distinct(U.read_events(spark, src), out, str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 5
+
+
+def test_parent_relative_imports_against_brute_force(spark, tmp_path):
+    import itertools
+    import posixpath
+
+    from waymark.plans import extract_queries
+    from waymark.registry import Registry
+
+    exts = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "json"]
+    files = ["a/b/x.ts", "a/y.ts", "a/z.js", "a/z.ts", "c/index.js", "top.json", "a/b/c/w.css"]
+    edges = list(itertools.product(["a/b/m.ts", "a/n.js", "root.ts"], ["./x", "../y", "../z", "../../c", "../../top", "../b/x.ts", "../b/../y", "../none", "./../y", "react", ".", ".."]))
+    spark.createDataFrame(edges, "from_path string, import_path string").write.parquet(f"{tmp_path}/dependencies.parquet")
+    spark.createDataFrame([(p,) for p in files], "path string").write.parquet(f"{tmp_path}/files.parquet")
+
+    def target(src, imp):
+        base = posixpath.normpath("/" + posixpath.join(posixpath.dirname(src), imp)).lstrip("/")
+        keys = [base] if "." in imp.rsplit("/", 1)[-1].lstrip(".") else [base, *[f"{base}.{e}" for e in exts], *[f"{base}/index.{e}" for e in exts]]
+        got = [k for k in keys if k in files]
+        return (got[0] if len(got) == 1 else None, "resolved" if len(got) == 1 else "ambiguous" if got else "unresolved")
+
+    want = sorted(((s, i, *target(s, i)) for s, i in edges if i.startswith(("./", "../"))), key=str)
+    reg = Registry()
+    extract_queries.register(reg)
+    got = reg.builders["resolve_relative_imports"](spark, str(tmp_path))
+    assert rows(got, "from_path", "import_path", "target_path", "confidence") == want
+    assert {"resolved", "ambiguous", "unresolved"} == {w[3] for w in want if w[1].startswith("../")}

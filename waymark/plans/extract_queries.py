@@ -140,8 +140,8 @@ def register(reg: Registry) -> None:
 
     @reg.query("resolve_relative_imports", js_sql)
     def resolve_relative_imports(spark, d):
-        """All relative imports of the edge table by the JavaScript rules, over all known paths."""
-        e = table(spark, d, "dependencies").filter(F.col("import_path").startswith("./")).select("from_path", "import_path").distinct()
+        """All relative imports, ./ and ../, of the edge table by the JavaScript rules, over all known paths."""
+        e = table(spark, d, "dependencies").filter(F.col("import_path").startswith("./") | F.col("import_path").startswith("../")).select("from_path", "import_path").distinct()
         e = e.select("from_path", F.lit(1).alias("from_line"), F.lit(1).alias("from_col"), "import_path", F.lit("js_import").alias("dependency_kind"), F.lit("js").alias("lang"), F.lit("").alias("evidence"), F.lit("x").alias("source"))
         return resolve.resolve(e, table(spark, d, "files")).select("from_path", "import_path", "target_path", "confidence", "unresolved_reason")
 
