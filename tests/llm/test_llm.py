@@ -95,6 +95,14 @@ def test_language_labels_and_stretches():
     assert [langid.label_code(x) for x in (" EN", "en_GB", "deu", "zxx", "", None, "Français")] == ["en", "en", "de", None, None, None, "fr"]
 
 
+def test_short_second_language_sentences_count():
+    lab = langid.Labeller(langid.load_weights())
+    host = "The kettle works exactly as described and feels solid."
+    cases = [("Дякую.", "uk"), ("Спасибо.", "ru"), ("Dziękuję.", "pl"), ("Sehr gut.", "de"), ("Très bon.", "fr"), ("良い。", "ja"), ("最高。", "ja")]
+    got = [c in langid.whole_sentence_languages(m, rows) for (_, c), (m, _, rows) in zip(cases, lab.documents([f"{host} {s}" for s, _ in cases]), strict=True)]
+    assert sum(got) >= 3
+
+
 # credentials
 def test_crf_on_held_out_lines():
     from waymark.llm.train_credentials import labelled, lines

@@ -29,7 +29,7 @@ from waymark.llm.bigru import BiGRU
 
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl", "pl", "sv", "ru", "uk", "ja")
 WEIGHTS = Path(__file__).with_name("langid.npz")
-MIN_SENTENCE_LETTERS = 10
+MIN_SENTENCE_LETTERS = 5
 """Letters below which a sentence is no evidence of its own (ideographs and kana count three)."""
 SURE = 0.75
 """Confidence from which a sentence stands for a second language."""
