@@ -217,27 +217,82 @@ BAD = {
 @pytest.mark.parametrize("ext", sorted(GOOD))
 def test_grammars(ext):
     assert [t for t in GOOD[ext] if grammar.parse(t, ext)] == []
-    assert [t for t in BAD[ext] if not grammar.parse(t, ext) and not (ext in chunks.SPECS and chunks.fault(chunks.summary(t, ext)))] == []
+    assert [t for t in BAD[ext] if not grammar.parse(t, ext) and not (ext in chunks.SPECS and chunks.fault(chunks.summary(t, ext, ["code"])))] == []
+
+
+PARTS = {
+    "py": ['"', "'", '"""', "'''", "\\\n", "\n", "(", ")", "[", "]", "{", "}", "# ", "x ", 'f"{a}" ', "\\", "\r\n"],
+    "js": ['"', "'", "`", "${", "{", "}", "(", ")", "\\\n", "\n", "\n", "/*", "*/", "//", "a ", "\\", "\\\r\n", '= /[/]"/;\n'],
+    "go": ['"', "'", "`", "/*", "*/", "//", "\n", "\n", "(", ")", "{", "}", "a ", "\\"],
+    "rs": ['"', "'a'", "/*", "*/", "//", "\n", "\n", 'r#"', '"#', 'r"', "{", "}", "(", ")", "a ", "\\", "\\\n"],
+    "java": ['"', "'", '"""', "/*", "*/", "//", "\n", "\n", "{", "}", "a ", "\\"],
+    "json": ['"', "{", "}", "[", "]", "\n", ",", "\\"],
+    "toml": ['"', "'", '"""', "'''", "#", "\n", "\n", "[", "]", "a ", "\\"],
+}
 
 
 @pytest.mark.parametrize("ext", sorted(chunks.SPECS))
-def test_chunk_summaries_are_associative(ext):
-    for text in GOOD[ext] + BAD[ext]:
-        parts = [chunks.summary(p, ext) for p in chunks.pieces(text, 8)]
-        left = right = None
-        for p in parts:
-            left = p if left is None else chunks.combine(left, p)
-        for p in reversed(parts):
-            right = p if right is None else chunks.combine(p, right)
-        assert bool(chunks.fault(left)) == bool(chunks.fault(right)) == bool(chunks.fault(chunks.summary(text, ext)))
+def test_chunk_summaries_combine_to_the_whole(ext):
+    """Cuts behind any lines, reduced in any grouping, and the cuts of pieces() with their fewer start states."""
+    r = random.Random(ext)
+    texts = GOOD[ext] + BAD[ext] + ["".join(r.choice(PARTS[ext if ext != "ts" else "js"]) for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    for text in texts:
+        want = chunks.fault(chunks.summary(text, ext, ["code"]))
+        ends = [k + 1 for k, c in enumerate(text) if c == "\n" and k + 1 < len(text) and r.random() < 0.6]
+        parts = [chunks.summary(text[i:j], ext) for i, j in zip([0, *ends], [*ends, len(text)], strict=True)]
+        left = chunks.fold(parts)
+        while len(parts) > 1:
+            k = r.randrange(len(parts) - 1)
+            parts[k : k + 2] = [chunks.combine(parts[k], parts[k + 1])]
+        got = [chunks.fault(x) for x in (left, parts[0], chunks.whole(text, ext, r.randint(1, 30)))]
+        assert [g is None for g in got] == [want is None] * 3, text
+
+
+DEEP = 20_000
+
+
+@pytest.mark.parametrize(
+    ("ext", "text", "valid"),
+    [
+        ("json", "[" * DEEP + "1" + "]" * DEEP, True),
+        ("json", "[" * DEEP + "1," + "]" * DEEP, False),
+        ("js", "(" * DEEP + "1 1" + ")" * DEEP + ";", False),
+        ("js", "(" * DEEP + "1" + ")" * DEEP + ";", True),
+        ("ts", "if (a) ; else " * DEEP + ";", True),
+        ("go", "package a\nvar x = " + "(" * DEEP + "1 1" + ")" * DEEP + "\n", False),
+        ("rs", "fn f() { let x = " + "(" * DEEP + "1" + ")" * DEEP + "; }", True),
+        ("java", "class A { int x = " + "(" * DEEP + "1 1" + ")" * DEEP + "; }", False),
+        ("toml", "a = " + "[" * DEEP + "1 1" + "]" * DEEP, False),
+        ("yaml", "a: " + "[" * DEEP + "]" * DEEP, True),
+        ("py", "x = " + "+".join(["1"] * DEEP), True),
+        ("py", "x = " + "+".join(["1"] * DEEP) + "\ny = 1 1", False),
+        ("py", "x = " + "(" * DEEP + "1" + ")" * DEEP, False),
+    ],
+)
+def test_deep_texts_are_read(ext, text, valid):
+    assert (judged("r/a." + ext, ext, text)[3] is None) == valid
+
+
+def test_remembered_shapes_do_not_hide_faults():
+    for good, bad in (("while (a >= b) { a -= 1; }", "while (a = > b) { a -= 1; }"), ("x = [1, 2, 3];", "x = [1, 2, 3"), ("f(a => 1);", "f(a = > 1);"), ("return_ = 1;", "return = 1;")):
+        assert grammar.parse(good * 3, "js") is None and grammar.parse(bad, "js") and grammar.parse(good + bad, "js")
+    for text in ("let a = 1, 2;", "f((a = 1, 2) => a);", "x = {a: 1, 2: };", "enum E { A = 1, 2 }", "let x = [1, 2, , 3 4];"):
+        assert grammar.parse(text, "ts")
 
 
 def test_large_files_go_through_chunks(spark):
     rows = [("r/a.py", "x = (\n" + "1,\n" * 200 + ")\n"), ("r/b.py", "x = (\n" + "1,\n" * 200), ("r/c.js", "/*\n" + "(\n" * 100 + "*/ let a = 1;\n"), ("r/d.js", "let a = 1;\n" * 50 + "let = ;\n"), ("r/e.txt", "((("), ("r/f.py", None), (None, "x")]
-    got = {x["path"]: x["reason"] is None for x in verdicts(spark.createDataFrame(rows, "path string, text string"), chunk=64).collect()}
+    got = {x["path"]: x["reason"] is None for x in verdicts(spark.createDataFrame(rows, "path string, text string"), 64, 100).collect()}
     assert got == {"r/a.py": True, "r/b.py": False, "r/c.js": True, "r/d.js": False}
 
 
+def test_texts_of_one_large_path_are_judged_each(spark):
+    good, bad = "x = (\n" + "1,\n" * 900 + ")\n", "y = [\n" + "2,\n" * 900
+    rows = [("r/a.py", good), ("r/a.py", bad), ("r/a.py", good + "z = 1\n"), ("r/a.py", good)]
+    got = verdicts(spark.createDataFrame(rows, "path string, text string"), 64, 100).collect()
+    assert sorted(x["reason"] is None for x in got) == [False, True, True, True]
+
+
 CONTINUED = {
     "py": ["x = 'a" + "\\\n" * 60 + "b'\ny = \"" + "c \\\n" * 40 + "\"\n", "x = 'a\\\r\nb'\n" + "y = 1\n" * 20, "# c\\\\\\\n" * 20 + "x = (\n"],
     "js": ["let a = 'x" + "\\\n" * 60 + "y';\n", "let a = 1;\n/[\"(]/.test(a);\n" * 20, "let a = `x${[1].map(\n(b) => `${b}\n`\n).join(`\n`)\n}`;\n" * 8, "let a = `x${\n{b: `}`}.b\n}`;\n" * 8],
@@ -249,24 +304,18 @@ def test_verdicts_do_not_depend_on_the_chunk_size(spark):
     texts = [(ext, t) for some in (GOOD, BAD, CONTINUED) for ext in some for t in some[ext]]
     texts += [(ext, "\n" * 70 + t) for ext, t in texts]
     df = spark.createDataFrame([(f"r/f{k}.{ext}", t) for k, (ext, t) in enumerate(texts)], "path string, text string")
-    small, large = ({x["path"]: x["reason"] is None for x in verdicts(df, chunk=c).collect()} for c in (64, 1 << 20))
+    small, large = ({x["path"]: x["reason"] is None for x in verdicts(df, c, c).collect()} for c in (64, 1 << 20))
     assert small == large and len(small) == len(texts)
     want = [t for ext, some in CONTINUED.items() for t in some if not grammar.parse(t, ext)]
     assert len(want) == 7 and all(small[f"r/f{k}.{ext}"] for k, (ext, t) in enumerate(texts) if t in want)
 
 
-def test_pieces_keep_continued_lines():
-    for text in ("a\\\nb\n" * 9, "a\\\\\nb\n" * 9):
-        got = chunks.pieces(text, 2)
-        assert "".join(got) == text and not any(p.endswith("\\\n") and not p.endswith("\\\\\n") for p in got) and len(got) >= 9
-
-
 REGEXES = ["function f(s) { return /[\"']/.test(s); }\n", "const f = s => /[(]/.test(s);\n", "const t = typeof /[{]/;\n", "switch (x) { case /['`]/: break }\n", "const u = 'a' + /[\"]/.source;\n"]
 
 
 @pytest.mark.parametrize("text", REGEXES)
 def test_regexes_behind_words_and_operators(text):
-    assert chunks.fault(chunks.summary(text, "js")) is None
+    assert chunks.fault(chunks.summary(text, "js", ["code"])) is None
     assert [judged("r/a." + ext, ext, text)[3] for ext in ("js", "ts")] == [None, None]
     assert judged("r/a.js", "js", text + "f(")[3]
 

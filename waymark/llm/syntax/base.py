@@ -19,6 +19,7 @@ class Cursor:
 
     def __init__(self, toks: list[Tok]) -> None:
         self.t, self.i = toks, 0
+        self.pairs: dict[int, int] | None = None
 
     @property
     def cur(self) -> Tok:
@@ -27,6 +28,17 @@ class Cursor:
     def peek(self, k: int = 1) -> Tok:
         return self.t[min(self.i + k, len(self.t) - 1)]
 
+    def closing(self, at: int) -> int:
+        """The place of the ) that closes the ( at a place, or of the end token."""
+        if self.pairs is None:
+            self.pairs, stack = {}, []
+            for k, c in enumerate(self.t):
+                if c.kind == "op" and c.value == "(":
+                    stack.append(k)
+                elif c.kind == "op" and c.value == ")" and stack:
+                    self.pairs[stack.pop()] = k
+        return self.pairs.get(at, len(self.t) - 1)
+
     def fail(self, why: str = "unexpected") -> None:
         c = self.cur
         raise Bad(c.line, f"{why}: {str(c.value)[:30]!r}")

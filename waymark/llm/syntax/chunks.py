@@ -1,132 +1,309 @@
 """Lexer-state maps and bracket summaries of file chunks.
 
-A chunk, a run of whole lines, is read once from every lexer state that can span lines. For each such start
-state its summary holds the state at its end, the closing brackets that match nothing inside the chunk, the
-opening brackets left open, and the first lexical fault. Summaries combine associatively, so the chunks of a
-file can be read anywhere and reduced in any grouping; the combination from the code state tells whether the
-file ends inside a string or comment and whether its brackets match.
+A chunk, a run of whole lines, is read once from every lexer state that can hold at its start: code, comments,
+strings that span lines, and strings continued by a backslash at the end of a line. For each such state the
+summary holds what the chunk does to the stack of open brackets: the closers that match nothing inside it, the
+openers it leaves open, the state at its end and the first lexical fault. Templates and nested comments are on
+that stack too, so what follows their end depends on what was opened: where a chunk closes more than it opens,
+its reading forks by the kind of the bracket taken off (``}`` of a block or of a template's ``${``, ``*/`` of
+an outer or an inner comment).
+
+Summaries combine associatively, so the chunks of a file can be read anywhere and reduced in any grouping; the
+combination from the code state tells whether the file ends inside a string or comment and whether its
+brackets match. Cuts may fall behind any line: the result is that of reading the text in one piece.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from waymark.llm.syntax import ecma
 
-Summary = dict[str, tuple[str, str, str, str]]
-"""start state -> (end state, unmatched closers, unmatched openers, fault)."""
+CLOSES = {")": "(", "]": "[", "}": "{$", "`": "`", "c": "cC"}
+"""closer -> the openers it may take off; c stands for the end of a comment."""
+AFTER = {"$": "tpl", "C": "bc"}
+"""opener -> state behind its end, code unless given."""
 
-PAIR = {")": "(", "]": "[", "}": "{"}
-STR2 = r"\"(?:[^\"\\\n]|\\[\s\S])*\""
-STR1 = r"'(?:[^'\\\n]|\\[\s\S])*'"
-LINE_END = re.compile(r"(?<!\\)(?:\\\\)*\n")
-SPAN_D3 = re.compile(r"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"")
-SPAN_S3 = re.compile(r"(?:[^'\\]|\\[\s\S]|'(?!''))*'''")
+STRING = r"(?:[^{q}\\\n]|\\(?:\r\n|[\s\S]))*+"
+LINED = {q: rf"{q}{STRING.format(q=q)}(?:(?P<{ok}>{q})|(?P<{state}>(?<=\n)\Z)|(?P<{bad}>))" for q, ok, state, bad in (('"', "ok2", "s2", "bad2"), ("'", "ok1", "s1", "bad1"))}
+INSIDE_LINED = {state: rf"{STRING.format(q=q)}(?:(?P<close>{q})|(?P<more>(?<=\n)\Z)|(?P<bad>))" for q, state in (('"', "s2"), ("'", "s1"))}
+PLAIN2 = r"(?P<ok2>\"(?:[^\"\\\n]|\\[^\n])*+\")"
+PLAIN1 = r"(?P<ok1>'(?:[^'\\\n]|\\[^\n])*+')"
+UNCLOSED = r"(?P<bad>[\"'])"
+SLASHES = r"(?P<skip>//[^\n]*)"
+HASH = r"(?P<skip>#[^\n]*)"
+SPAN_D3 = r"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\""
+SPAN_S3 = r"(?:[^'\\]|\\[\s\S]|'(?!''))*+'''"
+COMMENT_END = r"[\s\S]*?\*/"
+RAW_STATES = {f"r{n}": rf"[^\"]*\"(?:[^\"]*\")*?{'#' * n}" if n else r"[^\"]*\"" for n in range(9)}
 
 
 @dataclass(frozen=True)
 class Spec:
-    code: re.Pattern  # next thing of interest in code
-    states: dict[str, re.Pattern]  # state -> pattern from inside it to behind its end
+    """code: next thing of interest in code; inside: state -> pattern to its end or next event; opens: what must stand before a chunk for it to start there."""
+
+    code: re.Pattern
+    inside: dict[str, re.Pattern] = field(default_factory=dict)
+    opens: dict[str, str] = field(default_factory=dict)
+
+
+def spec(parts: list[str], inside: dict[str, str], opens: dict[str, str]) -> Spec:
+    return Spec(re.compile("|".join([*parts, r"(?P<b>[()\[\]{}])"])), {k: re.compile(v) for k, v in inside.items()}, opens)
+
+
+REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/")
+BEFORE_REGEX = frozenset("(,=:[!&|?{};\n>*%^~")
+"""Signs behind which a slash opens a regular expression (fixed values)."""
 
 
-def spec(parts: list[str], states: dict[str, str | re.Pattern]) -> Spec:
-    return Spec(re.compile("|".join([*parts, r"(?P<b>[()\[\]{}])"])), {k: re.compile(v) if isinstance(v, str) else v for k, v in states.items()})
+def _regex_end(text: str, at: int) -> int:
+    """The end of the regular expression at a slash, or 0 where the slash divides."""
+    i = at - 1
+    while i >= 0 and text[i] in " \t":
+        i -= 1
+    c = text[i] if i >= 0 else "\n"
+    if c in "+-":
+        opens = text[i - 1 : i] != c
+    elif c.isalpha():
+        k = i
+        while k >= 0 and i - k < 11 and text[k].isalpha():
+            k -= 1
+        opens = text[k + 1 : i + 1] in ecma.EXPR_WORDS and not (k >= 0 and (text[k].isalnum() or text[k] in "_$."))
+    else:
+        opens = c in BEFORE_REGEX
+    m = REGEX.match(text, at) if opens else None
+    return m.end() if m else 0
 
 
-_BEHIND = "|".join([r"(?<=[(,=:\[!&|?{};\n>*%^~])", r"(?<=[^+]\+)", r"(?<=[^-]-)", r"(?<![\s\S])", *(rf"(?<=(?<![\w$.]){w})" for w in sorted(ecma.EXPR_WORDS))])
-_REGEX = rf"(?P<re>(?=[ \t/])(?:{_BEHIND})" + r"[ \t]*/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/)"
 _JS = spec(
-    [r"(?P<skip>//[^\n]*)", r"(?P<bc>/\*)", rf"(?P<ok>{STR2}|{STR1})", r"(?P<tpl>`)", _REGEX, r"(?P<bad>[\"'])"],
-    {"bc": r"[\s\S]*?\*/", "tpl": r"(?:[^`\\$]|\\[\s\S]|\$\{(?:[^{}`]|\{[^{}`]*\}|`[^`]*`)*\}|\$(?!\{)|\$\{)*`"},
+    [SLASHES, r"(?P<bc>/\*)", LINED['"'], LINED["'"], r"(?P<tpl>`)", r"(?P<slash>/)"],
+    {"bc": COMMENT_END, "tpl": r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(?:(?P<tick>`)|(?P<hole>\$\{))", **INSIDE_LINED},
+    {"bc": "/*", "tpl": "`"},
 )
 SPECS = {
-    "py": spec([r"(?P<skip>#[^\n]*)", r"(?P<d3>\"\"\")", r"(?P<s3>''')", rf"(?P<ok>{STR2}|{STR1})", r"(?P<bad>[\"'])"], {"d3": SPAN_D3, "s3": SPAN_S3}),
+    "py": spec(
+        [HASH, r"(?P<d3>\"\"\")", r"(?P<s3>''')", LINED['"'], LINED["'"]],
+        {"d3": SPAN_D3, "s3": SPAN_S3, **INSIDE_LINED},
+        {"d3": '"""', "s3": "'''"},
+    ),
     "js": _JS,
     "ts": _JS,
-    "go": spec([r"(?P<skip>//[^\n]*)", r"(?P<bc>/\*)", rf"(?P<ok>{STR2}|'(?:[^'\\\n]|\\[^\n]+?)')", r"(?P<raw>`)", r"(?P<bad>[\"'])"], {"bc": r"[\s\S]*?\*/", "raw": r"[^`]*`"}),
+    "go": spec([SLASHES, r"(?P<bc>/\*)", PLAIN2, r"(?P<ok1>'(?:[^'\\\n]|\\[^\n]+?)')", r"(?P<raw>`)", UNCLOSED], {"bc": COMMENT_END, "raw": r"[^`]*`"}, {"bc": "/*", "raw": "`"}),
     "rs": spec(
-        [r"(?P<skip>//[^\n]*)", r"(?P<bc>/\*)", r"(?P<r2>\br\#\#\")", r"(?P<r1>\br\#\")", r"(?P<r0>\br\")", r"(?P<ok>'(?:[^'\\\n]|\\(?:[^u\n]|u\{[^}\n]*\}|x..))'|'[^\W\d]\w*)", r"(?P<st>\")", r"(?P<bad>')"],
-        {"bc": r"(?:/\*(?:/\*[\s\S]*?\*/|[\s\S])*?\*/|[\s\S])*?\*/", "st": r"(?:[^\"\\]|\\[\s\S])*\"", "r0": r"[^\"]*\"", "r1": r"[\s\S]*?\"#", "r2": r"[\s\S]*?\"##"},
+        [SLASHES, r"(?P<bc>/\*)", r"(?P<hashed>\b[bc]?r#*\")", r"(?P<ok1>'(?:[^'\\\n]|\\(?:[^u\n]|u\{[^}\n]*\}|x..))'|'[^\W\d]\w*)", r"(?P<st>\")", r"(?P<bad>')"],
+        {"bc": r"[\s\S]*?(?:(?P<end>\*/)|(?P<inner>/\*))", "st": r"(?:[^\"\\]|\\[\s\S])*+\"", **RAW_STATES},
+        {"bc": "/*", "st": '"', **{f"r{n}": f'r{"#" * n}"' for n in range(9)}},
+    ),
+    "java": spec([SLASHES, r"(?P<bc>/\*)", r"(?P<d3>\"\"\")", PLAIN2, PLAIN1, UNCLOSED], {"bc": COMMENT_END, "d3": SPAN_D3}, {"bc": "/*", "d3": '"""'}),
+    "json": spec([PLAIN2, r"(?P<bad>\")"], {}, {}),
+    "toml": spec(
+        [HASH, r"(?P<d3>\"\"\")", r"(?P<s3>''')", PLAIN2, r"(?P<ok1>'[^'\n]*+')", UNCLOSED],
+        {"d3": SPAN_D3, "s3": r"[\s\S]*?'''"},
+        {"d3": '"""', "s3": "'''"},
     ),
-    "java": spec([r"(?P<skip>//[^\n]*)", r"(?P<bc>/\*)", r"(?P<d3>\"\"\")", rf"(?P<ok>{STR2}|{STR1})", r"(?P<bad>[\"'])"], {"bc": r"[\s\S]*?\*/", "d3": SPAN_D3}),
-    "json": spec([rf"(?P<ok>{STR2})", r"(?P<bad>\")"], {}),
-    "toml": spec([r"(?P<skip>#[^\n]*)", r"(?P<d3>\"\"\")", r"(?P<s3>''')", rf"(?P<ok>{STR2}|'[^'\n]*')", r"(?P<bad>[\"'])"], {"d3": SPAN_D3, "s3": r"[\s\S]*?'''"}),
 }
 
+Node = list
+"""[unmatched closers, {opener taken off: next node} or None, openers left, end state, fault]; a node forks or ends."""
+Summary = tuple[dict[str, int], list[Node]]
+"""(start state -> node, nodes)."""
+
 
-def one(text: str, lang: Spec, start: str) -> tuple[str, str, str, str]:
-    state, at = start, 0
+def _read(text: str, lang: Spec, at: int, state: str, last: int) -> tuple[Node, int]:
+    """Read from ``at`` with no bracket open; the node, its fork unfilled, and the place behind its fork."""
     closers: list[str] = []
-    openers: list[str] = []
+    stack: list[str] = []
+
+    def left(end: str, why: str = "") -> tuple[Node, int]:
+        return ["".join(closers), None, "".join(stack), end, why], len(text)
+
+    templates, nested = "tpl" in lang.inside, "r0" in lang.inside
     while True:
         if state != "code":
-            m = lang.states[state].match(text, at)
+            if state == "tpl" and at > last:
+                return left(state)
+            m = lang.inside[state].match(text, at)
             if m is None:
-                return state, "".join(closers), "".join(openers), ""
-            state, at = "code", m.end()
-        for m in lang.code.finditer(text, at):
+                return left(state)
+            kind, at = m.lastgroup, m.end()
+            if kind == "more":
+                return left(state)
+            if kind == "bad":
+                return left("code", "string not closed on its line")
+            if kind in ("hole", "inner"):
+                stack.append("$" if kind == "hole" else "C")
+                state = "code" if kind == "hole" else "bc"
+                continue
+            if kind == "tick":
+                if not stack:
+                    closers.append("`")
+                elif stack.pop() != "`":
+                    return left("code", "template closes another bracket")
+            elif kind == "end":
+                if not stack:
+                    return ["".join(closers) + "c", {"c": 0, "C": 0}, "", "", ""], at
+                state = AFTER.get(stack.pop(), "code")
+                continue
+            state = "code"
+        search = lang.code.scanner(text, at).search
+        while m := search():
             kind = m.lastgroup
             if kind == "b":
                 c = m.group()
                 if c in "([{":
-                    openers.append(c)
-                elif not openers:
+                    stack.append(c)
+                elif stack:
+                    o = stack.pop()
+                    if o not in CLOSES[c]:
+                        return left("code", f"{c} closes another bracket")
+                    if o == "$":
+                        state, at = "tpl", m.end()
+                        break
+                elif templates and c == "}":
+                    return ["".join(closers) + c, {"{": 0, "$": 0}, "", "", ""], m.end()
+                else:
                     closers.append(c)
-                elif openers.pop() != PAIR[c]:
-                    return state, "".join(closers), "".join(openers), f"{c} closes another bracket"
-            elif kind == "bad":
-                return state, "".join(closers), "".join(openers), "string not closed on its line"
-            elif kind in lang.states:
+            elif kind in ("skip", "ok1", "ok2"):
+                continue
+            elif kind == "slash":
+                if end := _regex_end(text, m.start()):
+                    search = lang.code.scanner(text, end).search
+            elif kind in ("bad", "bad1", "bad2"):
+                return left("code", "string not closed on its line")
+            else:
+                if kind == "tpl":
+                    stack.append("`")
+                elif kind == "bc" and nested:
+                    stack.append("c")
+                elif kind == "hashed":
+                    kind = f"r{m.group().count('#')}"
+                    if kind not in lang.inside:
+                        return left("code", "raw string of more than eight signs")
                 state, at = kind, m.end()
                 break
         else:
-            return state, "".join(closers), "".join(openers), ""
+            return left("code")
 
 
-def summary(text: str, ext: str, all_states: bool = True) -> Summary:
+def summary(text: str, ext: str, starts: list[str] | None = None) -> Summary:
+    """The summary of a chunk from the given start states (all of the language's if None)."""
     lang = SPECS[ext]
-    return {s: one(text, lang, s) for s in (["code", *lang.states] if all_states else ["code"])}
+    last = max(text.rfind("`"), text.rfind("${")) if "tpl" in lang.inside else -1
+    nodes: list[Node] = []
+    known: dict[tuple[int, str], int] = {}
+    todo: list[tuple[int, str]] = []
+
+    def place(at: int, state: str) -> int:
+        got = known.get((at, state))
+        if got is None:
+            got = known[at, state] = len(nodes)
+            nodes.append([])
+            todo.append((at, state))
+        return got
+
+    first = {s: place(0, s) for s in (["code", *lang.inside] if starts is None else starts)}
+    while todo:
+        at, state = todo.pop()
+        node, behind = _read(text, lang, at, state, last)
+        if node[1] is not None:
+            node[1] = {o: place(behind, AFTER.get(o, "code")) for o in node[1]}
+        nodes[known[at, state]] = node
+    return first, nodes
 
 
 def combine(a: Summary, b: Summary) -> Summary:
     """The summary of two neighbouring chunks; associative."""
-    out: Summary = {}
-    for s, (mid, c1, o1, bad) in a.items():
-        if bad or mid not in b:
-            out[s] = (mid, c1, o1, bad or "unknown state")
+    starts, right = b
+    nodes: list[Node] = []
+    tails: dict[int, int] = {}
+    todo: list[tuple[int, int]] = []
+
+    def tail(k: int) -> int:
+        """The copy of a node of b."""
+        if k not in tails:
+            tails[k] = len(nodes)
+            nodes.append([])
+            todo.append((k, tails[k]))
+        return tails[k]
+
+    for node in a[1]:
+        nodes.append(list(node))
+    for node in nodes[: len(a[1])]:
+        if node[1] is not None or node[4]:
             continue
-        end, c2, o2, bad = b[mid]
-        k = min(len(o1), len(c2))
-        if not bad and any(PAIR[c] != o for c, o in zip(c2[:k], reversed(o1), strict=False)):
-            bad = "a closing bracket closes another bracket"
-        out[s] = (end, c1 + c2[k:], o1[: len(o1) - k] + o2, bad)
-    return out
+        closers, _, stack, end, _ = node
+        if end not in starts:
+            node[3], node[4] = end, "unknown state"
+            continue
+        own, taken = list(stack), []
+        k = starts[end]
+        while True:
+            c2, fork, o2, end2, bad = right[k]
+            o, wrong = "", ""
+            for c in c2:
+                if not own:
+                    taken.append(c)
+                    o = ""
+                    continue
+                o = own.pop()
+                if o not in CLOSES[c]:
+                    wrong = f"{'*/' if c == 'c' else c} closes another bracket"
+                    break
+            if wrong:
+                node[:] = [closers + "".join(taken), None, "".join(own), "code", wrong]
+            elif fork is None:
+                node[:] = [closers + "".join(taken), None, "".join(own) + o2, end2, bad]
+            elif o:
+                k = fork[o]
+                continue
+            else:
+                node[:] = [closers + "".join(taken), {x: tail(n) for x, n in fork.items()}, "", "", ""]
+            break
+    while todo:
+        k, at = todo.pop()
+        c2, fork, o2, end2, bad = right[k]
+        nodes[at] = [c2, None if fork is None else {x: tail(n) for x, n in fork.items()}, o2, end2, bad]
+    return a[0], nodes
 
 
 def fault(total: Summary) -> str | None:
     """What the whole file's summary says against it, or None."""
-    end, closers, openers, bad = total["code"]
+    closers, fork, openers, end, bad = total[1][total[0]["code"]]
+    if closers:
+        return f"{closers[0]} closes nothing"
     if bad:
         return bad
-    if end != "code":
+    if end in ("s1", "s2"):
+        return "string not closed on its line"
+    if end != "code" or fork is not None:
         return "string or comment not closed"
-    if closers:
-        return f"{closers[0]} closes nothing"
     return f"{openers[-1]} not closed" if openers else None
 
 
-def pieces(text: str, size: int) -> list[str]:
-    """Runs of whole lines of about ``size`` characters; a longer line is a piece of its own.
+def pieces(text: str, size: int, ext: str) -> list[tuple[str, list[str]]]:
+    """(part, start states) of runs of whole lines of about ``size`` characters; a longer line is a part of its own.
 
-    A line that ends in an odd run of backslashes stays with the next one, so no piece starts inside a string
-    that is continued over a newline.
+    A state is left out where its opener stands nowhere before the part, so it cannot hold there.
     """
+    opens = {s: text.find(o) for s, o in SPECS[ext].opens.items()}
+    lined = [s for s in ("s1", "s2") if s in SPECS[ext].inside]
     out, at = [], 0
     while at < len(text):
-        m = LINE_END.search(text, min(len(text), at + size))
-        end = m.end() if m else len(text)
-        out.append(text[at:end])
+        end = text.find("\n", min(len(text), at + size - 1)) + 1 or len(text)
+        continued = lined if text.endswith(("\\\n", "\\\r\n"), 0, at) else []
+        out.append((text[at:end], ["code", *(s for s, p in opens.items() if 0 <= p < at), *continued]))
         at = end
-    return out or [""]
+    return out or [("", ["code"])]
+
+
+def fold(parts: list[Summary]) -> Summary:
+    total = parts[0]
+    for p in parts[1:]:
+        total = combine(total, p)
+    return total
+
+
+def whole(text: str, ext: str, size: int) -> Summary:
+    """The summary of a text by way of its parts."""
+    return fold([summary(p, ext, s) for p, s in pieces(text, size, ext)])

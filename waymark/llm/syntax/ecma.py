@@ -8,13 +8,20 @@ from waymark.llm.syntax.base import Bad, Cursor, Tok
 
 ID = r"(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4})*"
 TOKEN = re.compile(
-    r"(?P<ws>[ \t\f\v ﻿]+)|(?P<nl>\r\n|[\n\r  ])|(?P<lc>//[^\n\r  ]*)|(?P<bc>/\*[\s\S]*?\*/)"
-    r"|(?P<num>(?:0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?)n?)(?![\w$])"
-    rf"|(?P<id>\#?{ID})"
-    r"|(?P<str>\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')"
-    r"|(?P<tpl>`)"
-    r"|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@])"
+    "[ \\t\\f\\v\xa0\ufeff]*+(?:"
+    r"(?P<id>[A-Za-z_$][\w$]*+(?![\\\u200c\u200d]))"
+    r"|(?P<op>[{}()\[\];,:~@]|\.(?![\d.])|=(?![=>]))"
+    r"|(?P<nl>\r\n|[\n\r\u2028\u2029])"
+    r"|(?P<str>\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+')"
+    r"|(?P<num>(?=\.?\d)(?:0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?)n?(?![\w$]))"
+    r"|(?P<lc>//[^\n\r\u2028\u2029]*)|(?P<bc>/\*[\s\S]*?\*/)"
+    r"|(?P<sign>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|<<|>>|\*\*|[<+>\-*%&|^!?])"
+    r"|(?P<slash>/=?)|(?P<tpl>`)"
+    rf"|(?P<name>\#?{ID})|(?P<end>\Z))"
 )
+PLAIN = re.compile(r"(?:\s*+(?:-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?|\"[^\"\\\n\r]*+\"|'[^'\\\n\r]*+')\s*+,)++")
+"""Plain elements of a list, each with its comma."""
+TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(?:(?P<end>`)|(?P<hole>\$\{))")
 REGEX = re.compile(r"/(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
 RESERVED = frozenset("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield let static implements interface package private protected public await".split())
 HARD = RESERVED - frozenset("let static implements interface package private protected public await yield".split())
@@ -23,87 +30,185 @@ BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "
 ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 
 
-def tokens(text: str, at: int = 0, line: int = 1, inner: bool = False) -> tuple[list[Tok], int, int]:
+WORDS = RESERVED | frozenset(
+    "async of from as get set accessor target meta type satisfies namespace module declare global abstract readonly override"
+    " keyof unique infer asserts is out undefined assert".split()
+)
+"""Words the grammar asks for; any other name is as good as the next."""
+NEAR = 256
+"""Tokens of a statement whose shape is remembered."""
+SHAPES: dict[tuple, bool] = {}
+
+
+class Run(list):
+    """Tokens with their shapes (all the grammar sees of them) and the place of each bracket's match."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.shapes: list[str] = []
+        self.close: dict[int, int] = {}
+
+
+def tokens(text: str, at: int = 0, line: int = 1, inner: bool = False) -> tuple[Run, int, int]:
     """Tokens up to the end, or up to the } that closes a template's expression."""
-    out: list[Tok] = []
-    nl, depth, n = False, 0, len(text)
-    match = TOKEN.match
+    out = Run()
+    shapes, close = out.shapes, out.close
+    nl, stack = False, []
     if at == 0 and text.startswith("#!"):
-        at = text.find("\n") if "\n" in text else n
-    while at < n:
-        m = match(text, at)
+        at = text.find("\n") if "\n" in text else len(text)
+    match = TOKEN.scanner(text, at).match
+    while True:
+        m = match()
         if m is None:
-            raise Bad(line, f"illegal character {text[at]!r}")
-        kind, v = m.lastgroup, m.group()
-        if kind == "op" and v in ("/", "/="):
+            while at < len(text) and text[at] in " \t\f\v\xa0\ufeff":
+                at += 1
+            raise Bad(line, f"illegal character {text[at : at + 1]!r}")
+        kind, at = m.lastgroup, m.end()
+        if kind == "id":
+            v = m[1]
+            out.append(Tok("id", v, line, nl))
+            s = v + " " if v in WORDS else "a "
+        elif kind == "op":
+            v = m[2]
+            if v in "([{":
+                stack.append(len(out))
+            elif v in ")]}":
+                if stack:
+                    close[stack.pop()] = len(out)
+                elif inner and v == "}":
+                    break
+            out.append(Tok("op", v, line, nl))
+            s = v + " " if v in "=." else v
+            if v == "[":
+                p = out[-2] if len(out) > 1 else None
+                lists = p is not None and ((p.kind == "op" and p.value not in (")", "]", "}", ".", "?.", "!")) or (p.kind == "id" and p.value == "return"))
+                if lists and (r := PLAIN.match(text, at)):  # [1, 2, x] is a list where [x] is one
+                    line += text.count("\n", at, r.end())
+                    match = TOKEN.scanner(text, r.end()).match
+        elif kind == "nl":
+            nl = True
+            line += 1
+            continue
+        elif kind == "sign":
+            v = m["sign"]
+            out.append(Tok("op", v, line, nl))
+            s = v + " "
+        elif kind in ("lc", "bc"):
+            if kind == "bc" and (k := m["bc"].count("\n")):
+                line += k
+                nl = True
+            continue
+        elif kind == "end":
+            if inner:
+                raise Bad(line, "unterminated template expression")
+            break
+        elif kind == "slash":
             p = out[-1] if out else None
+            v = m["slash"]
             if p is None or (p.kind == "op" and p.value not in (")", "]", "}")) or (p.kind == "id" and p.value in EXPR_WORDS):
-                r = REGEX.match(text, at)
+                r = REGEX.match(text, at - len(v))
                 if r is None:
                     raise Bad(line, "unterminated regular expression")
                 out.append(Tok("re", r.group(), line, nl))
-                at, nl = r.end(), False
-                continue
-        if kind == "tpl":
+                at, s = r.end(), "r "
+                match = TOKEN.scanner(text, at).match
+            else:
+                out.append(Tok("op", v, line, nl))
+                s = v + " "
+        elif kind == "tpl":
             tok = Tok("tpl", [], line, nl)
-            at += 1
+            held = ["`"]
             while True:
-                if at >= n:
+                t = TEMPLATE.match(text, at)
+                if t is None:
                     raise Bad(tok.line, "unterminated template")
-                c = text[at]
-                if c == "`":
-                    at += 1
+                line += text.count("\n", at, t.end())
+                at = t.end()
+                if t.lastgroup == "end":
                     break
-                if c == "\\":
-                    line += text[at + 1 : at + 2] == "\n"
-                    at += 2
-                elif c == "$" and text[at + 1 : at + 2] == "{":
-                    sub, at, line = tokens(text, at + 2, line, True)
-                    tok.value.append(sub)
-                else:
-                    line += c == "\n"
-                    at += 1
+                sub, at, line = tokens(text, at, line, True)
+                tok.value.append(sub)
+                held += [*sub.shapes, "$"]
             out.append(tok)
-            nl = False
-            continue
-        at = m.end()
-        if kind == "nl":
-            nl = True
-            line += 1
-        elif kind == "bc":
-            k = v.count("\n")
-            line += k
-            nl = nl or k > 0
-        elif kind in ("ws", "lc"):
-            pass
+            s = "".join(held) + "`"
+            match = TOKEN.scanner(text, at).match
         else:
-            if kind == "op":
-                if v == "{":
-                    depth += 1
-                elif v == "}":
-                    if inner and depth == 0:
-                        out.append(Tok("eof", "", line, nl))
-                        return out, at, line
-                    depth -= 1
-            out.append(Tok(kind, v, line, nl))
-            nl = False
+            v = m[kind]
+            out.append(Tok("id" if kind == "name" else kind, v, line, nl))
+            s = "n " if kind == "num" else "s " if kind == "str" else "# " if v[0] == "#" else "a "
             if kind == "str":
                 line += v.count("\n")
-    if inner:
-        raise Bad(line, "unterminated template expression")
+        shapes.append("\n" + s if nl else s)
+        nl = False
     out.append(Tok("eof", "", line, nl))
+    shapes.append("\n$" if nl else "$")
     return out, at, line
 
 
 class Ecma(Cursor):
-    def __init__(self, toks: list[Tok], ts: bool, in_fn: int = 0, loops: int = 0) -> None:
+    def __init__(self, toks: Run, ts: bool, in_fn: int = 0, loops: int = 0) -> None:
         super().__init__(toks)
+        self.shapes, self.close = toks.shapes, toks.close
         self.ts, self.fn, self.loop, self.no_in = ts, in_fn, loops, False
+        self.undo: list[tuple[int, Tok]] = []
+
+    def split(self, value: str) -> bool:
+        at, tok = self.i, self.t[self.i]
+        got = super().split(value)
+        if self.t[at] is not tok:
+            self.undo.append((at, tok))
+        return got
+
+    def back(self, at: int, done: int) -> None:
+        """Return to a place, with the signs that were split since."""
+        while len(self.undo) > done:
+            k, tok = self.undo.pop()
+            self.t[k] = tok
+        self.i = at
 
     # statements
     def module(self) -> None:
         while self.cur.kind != "eof":
-            self.statement(top=True)
+            self.remembered(True)
+
+    def ends(self) -> tuple[int, int]:
+        """Where a short statement may end: behind the first } and behind the first ; at its own depth, or 0."""
+        k, brace, toks, close = self.i, 0, self.t, self.close
+        limit = k + NEAR
+        while k < limit:
+            tok = toks[k]
+            if tok.kind == "op":
+                v = tok.value
+                if v == ";":
+                    return brace, k + 1
+                if v in ("(", "[", "{"):
+                    k = close.get(k, limit)
+                    if v == "{" and not brace and k < limit:
+                        brace = k + 1
+                elif v in (")", "]", "}"):
+                    break
+            elif tok.kind == "eof":
+                break
+            k += 1
+        return brace, 0
+
+    def remembered(self, top: bool = False) -> None:
+        """A statement, read anew only if no statement of its shape, next token included, was read before."""
+        at = self.i
+        keys = []
+        for end in self.ends():
+            if end:
+                key = (self.ts, top, self.fn > 0, self.loop > 0, self.no_in, "".join(self.shapes[at : end + 1]))
+                if key in SHAPES:
+                    self.i = end
+                    return
+                keys.append((end, key))
+        self.statement(top)
+        for end, key in keys:
+            if end == self.i:
+                if len(SHAPES) > 1 << 16:
+                    SHAPES.clear()
+                SHAPES[key] = True
 
     def end(self) -> None:
         if self.eat(";") or self.op("}") or self.cur.kind == "eof" or self.cur.nl:
@@ -115,7 +220,7 @@ class Ecma(Cursor):
         while not self.op("}"):
             if self.cur.kind == "eof":
                 self.fail("block not closed")
-            self.statement()
+            self.remembered()
         self.next()
 
     def body(self) -> None:
@@ -232,7 +337,7 @@ class Ecma(Cursor):
                         self.fail("expected case")
                     self.need(":")
                     while not self.at("case", "default", "}"):
-                        self.statement()
+                        self.remembered()
                 self.loop -= 1
                 return None
             if v == "debugger":
@@ -595,37 +700,28 @@ class Ecma(Cursor):
 
     def arrow_ahead(self) -> bool:
         """At ( or <: does the matching bracket lead to an arrow?"""
-        k, depth = self.i, 0
+        k = self.i
         if self.t[k].value == "<":
-            while k < len(self.t) and not (self.t[k].kind == "op" and self.t[k].value == "("):
+            while not (self.t[k].kind == "op" and self.t[k].value == "("):
                 if self.t[k].kind not in ("id", "op") or self.t[k].value in (";", "{", ")"):
                     return False
                 k += 1
-        while k < len(self.t):
-            tok = self.t[k]
-            if tok.kind == "op":
-                if tok.value in ("(", "[", "{"):
-                    depth += 1
-                elif tok.value in (")", "]", "}"):
-                    depth -= 1
-                    if depth == 0:
-                        break
-            elif tok.kind == "eof":
-                return False
-            k += 1
-        after = self.t[min(k + 1, len(self.t) - 1)]
+        if k not in self.close:
+            return False
+        k = self.close[k] + 1
+        after = self.t[k]
         if after.value == "=>" and after.kind == "op":
             return True
         if self.ts and after.kind == "op" and after.value == ":":
-            mark, toks = self.i, list(self.t)
-            self.i = k + 2
+            mark, done = self.i, len(self.undo)
+            self.i = k + 1
             try:
                 self.return_type()
                 return self.op("=>")
             except Bad:
                 return False
             finally:
-                self.i, self.t = mark, toks
+                self.back(mark, done)
         return False
 
     def arrow_body(self) -> None:
@@ -781,19 +877,19 @@ class Ecma(Cursor):
                 return target
 
     def call_types(self) -> bool:
-        mark, toks = self.i, list(self.t)
+        mark, done = self.i, len(self.undo)
         try:
             self.type_args()
             if self.op("(") or self.cur.kind == "tpl":
                 return True
         except Bad:
             pass
-        self.i, self.t = mark, toks
+        self.back(mark, done)
         return False
 
     def template(self) -> None:
         for sub in self.next().value:
-            inner = Ecma(list(sub), self.ts, self.fn, self.loop)
+            inner = Ecma(sub, self.ts, self.fn, self.loop)
             inner.expression()
             if inner.cur.kind != "eof":
                 inner.fail()
@@ -1013,18 +1109,18 @@ class Ecma(Cursor):
         return None
 
     def arrow_ahead_type(self) -> bool:
-        k, depth = self.i, 0
-        while k < len(self.t) and self.t[k].kind != "eof":
+        k = self.i
+        while self.t[k].kind != "eof":
             tok = self.t[k]
             if tok.kind == "op":
                 if tok.value in ("(", "[", "{"):
-                    depth += 1
-                elif tok.value in (")", "]", "}"):
-                    depth -= 1
-                    if depth == 0 and tok.value == ")":
+                    k = self.close.get(k, len(self.t) - 1)
+                    if self.t[k].value == ")":
                         return self.t[k + 1].value == "=>"
-                    if depth < 0:
+                    if self.t[k].kind == "eof":
                         return False
+                elif tok.value in (")", "]", "}"):
+                    return False
             k += 1
         return False
 

@@ -592,14 +592,7 @@ class Java(Cursor):
             return self.peek().value == "->" and self.peek().kind == "op"
         if not self.op("("):
             return False
-        k, depth = self.i, 0
-        while self.t[k].kind != "eof":
-            v = self.t[k].value if self.t[k].kind == "op" else ""
-            depth += (v == "(") - (v == ")")
-            if not depth:
-                break
-            k += 1
-        return self.t[min(k + 1, len(self.t) - 1)].value == "->"
+        return self.t[min(self.closing(self.i) + 1, len(self.t) - 1)].value == "->"
 
     def conditional(self) -> None:
         self.binary(0)
