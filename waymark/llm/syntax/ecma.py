@@ -8,16 +8,17 @@ from waymark.llm.syntax.base import Bad, Cursor, Tok
 
 ID = r"(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4})*"
 TOKEN = re.compile(
-    "[ \\t\\f\\v\xa0\ufeff]*+(?:"
-    r"(?P<id>[A-Za-z_$][\w$]*+(?![\\\u200c\u200d]))"
-    r"|(?P<op>[{}()\[\];,:~@]|\.(?![\d.])|=(?![=>]))"
+    "[ \\t\\f\\v\xa0\ufeff]*+(?:(?P<tok>"
+    r"[A-Za-z_$][\w$]*+(?![\\\u200c\u200d])"
+    r"|[,;:~@]|\.(?![\d.])|=(?![=>])"
+    r"|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+'"
+    r"|(?=\.?\d)(?:0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?)n?(?![\w$])"
+    r"|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|<<|>>|\*\*|[<+>\-*%&|^!?]"
+    rf"|\#?{ID})"
+    r"|(?P<open>[{(\[])|(?P<close>[})\]])"
     r"|(?P<nl>\r\n|[\n\r\u2028\u2029])"
-    r"|(?P<str>\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+')"
-    r"|(?P<num>(?=\.?\d)(?:0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?)n?(?![\w$]))"
     r"|(?P<lc>//[^\n\r\u2028\u2029]*)|(?P<bc>/\*[\s\S]*?\*/)"
-    r"|(?P<sign>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|<<|>>|\*\*|[<+>\-*%&|^!?])"
-    r"|(?P<slash>/=?)|(?P<tpl>`)"
-    rf"|(?P<name>\#?{ID})|(?P<end>\Z))"
+    r"|(?P<slash>/=?)|(?P<tpl>`)|(?P<end>\Z))"
 )
 PLAIN = re.compile(r"(?:\s*+(?:-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?|\"[^\"\\\n\r]*+\"|'[^'\\\n\r]*+')\s*+,)++")
 """Plain elements of a list, each with its comma."""
@@ -40,67 +41,104 @@ NEAR = 256
 SHAPES: dict[tuple, bool] = {}
 
 
+class Sign(Tok):
+    """A token as the grammar sees it; the same one stands for every place where it occurs."""
+
+    __slots__ = ("shape",)
+
+    def __init__(self, v: str, nl: bool) -> None:
+        c = v[0]
+        if c in "\"'":
+            kind, shape = "str", "s "
+        elif c.isdigit() or (c == "." and v[1:2].isdigit()):
+            kind, shape = "num", "n "
+        elif c in "(){}[],;:~@":
+            kind, shape = "op", v
+        elif c.isalpha() or c in "_$\\#":
+            kind, shape = "id", v + " " if v in WORDS else "# " if c == "#" else "a "
+        else:
+            kind, shape = "op", v + " "
+        super().__init__(kind, v, 0, nl)
+        self.shape = "\n" + shape if nl else shape
+
+
+SIGNS: tuple[dict[str, Sign], dict[str, Sign]] = ({}, {})
+"""Known tokens, within a line and behind a line's end."""
+
+
+def sign(v: str, nl: bool) -> Sign:
+    known = SIGNS[nl]
+    if len(known) > 1 << 16:
+        known.clear()
+    got = known[v] = Sign(v, nl)
+    return got
+
+
+def special(kind: str, value: object, shape: str, nl: bool) -> Sign:
+    got = Sign(";", nl)
+    got.kind, got.value, got.shape = kind, value, "\n" + shape if nl else shape
+    return got
+
+
 class Run(list):
-    """Tokens with their shapes (all the grammar sees of them) and the place of each bracket's match."""
+    """Tokens, the places of their ends in the text and the place of each bracket's match."""
 
-    def __init__(self) -> None:
+    def __init__(self, text: str) -> None:
         super().__init__()
-        self.shapes: list[str] = []
+        self.text = text
+        self.at: list[int] = []
         self.close: dict[int, int] = {}
 
 
-def tokens(text: str, at: int = 0, line: int = 1, inner: bool = False) -> tuple[Run, int, int]:
+def line_of(text: str, at: int) -> int:
+    return text.count("\n", 0, at) + 1
+
+
+def tokens(text: str, at: int = 0, inner: bool = False) -> tuple[Run, int]:
     """Tokens up to the end, or up to the } that closes a template's expression."""
-    out = Run()
-    shapes, close = out.shapes, out.close
-    nl, stack = False, []
+    out = Run(text)
+    ends, close, stack = out.at, out.close, []
     if at == 0 and text.startswith("#!"):
         at = text.find("\n") if "\n" in text else len(text)
     match = TOKEN.scanner(text, at).match
+    nl, known = False, SIGNS[0]
     while True:
         m = match()
         if m is None:
             while at < len(text) and text[at] in " \t\f\v\xa0\ufeff":
                 at += 1
-            raise Bad(line, f"illegal character {text[at : at + 1]!r}")
+            raise Bad(line_of(text, at), f"illegal character {text[at : at + 1]!r}")
         kind, at = m.lastgroup, m.end()
-        if kind == "id":
+        if kind == "tok":
             v = m[1]
-            out.append(Tok("id", v, line, nl))
-            s = v + " " if v in WORDS else "a "
-        elif kind == "op":
-            v = m[2]
-            if v in "([{":
-                stack.append(len(out))
-            elif v in ")]}":
-                if stack:
-                    close[stack.pop()] = len(out)
-                elif inner and v == "}":
-                    break
-            out.append(Tok("op", v, line, nl))
-            s = v + " " if v in "=." else v
-            if v == "[":
-                p = out[-2] if len(out) > 1 else None
-                lists = p is not None and ((p.kind == "op" and p.value not in (")", "]", "}", ".", "?.", "!")) or (p.kind == "id" and p.value == "return"))
-                if lists and (r := PLAIN.match(text, at)):  # [1, 2, x] is a list where [x] is one
-                    line += text.count("\n", at, r.end())
-                    match = TOKEN.scanner(text, r.end()).match
+            tok = known.get(v) or sign(v, nl)
         elif kind == "nl":
-            nl = True
-            line += 1
+            nl, known = True, SIGNS[1]
             continue
-        elif kind == "sign":
-            v = m["sign"]
-            out.append(Tok("op", v, line, nl))
-            s = v + " "
+        elif kind == "open":
+            v = m[2]
+            tok = known.get(v) or sign(v, nl)
+            if v == "[" and out:
+                p = out[-1]
+                if (p.kind == "op" and p.value not in (")", "]", "}", ".", "?.", "!")) or (p.kind == "id" and p.value == "return"):
+                    r = PLAIN.match(text, at)  # [1, 2, x] is a list where [x] is one
+                    if r:
+                        match = TOKEN.scanner(text, r.end()).match
+            stack.append(len(out))
+        elif kind == "close":
+            v = m[3]
+            tok = known.get(v) or sign(v, nl)
+            if stack:
+                close[stack.pop()] = len(out)
+            elif inner and v == "}":
+                break
         elif kind in ("lc", "bc"):
-            if kind == "bc" and (k := m["bc"].count("\n")):
-                line += k
-                nl = True
+            if kind == "bc" and "\n" in m["bc"]:
+                nl, known = True, SIGNS[1]
             continue
         elif kind == "end":
             if inner:
-                raise Bad(line, "unterminated template expression")
+                raise Bad(line_of(text, at), "unterminated template expression")
             break
         elif kind == "slash":
             p = out[-1] if out else None
@@ -108,56 +146,53 @@ def tokens(text: str, at: int = 0, line: int = 1, inner: bool = False) -> tuple[
             if p is None or (p.kind == "op" and p.value not in (")", "]", "}")) or (p.kind == "id" and p.value in EXPR_WORDS):
                 r = REGEX.match(text, at - len(v))
                 if r is None:
-                    raise Bad(line, "unterminated regular expression")
-                out.append(Tok("re", r.group(), line, nl))
-                at, s = r.end(), "r "
+                    raise Bad(line_of(text, at), "unterminated regular expression")
+                tok, at = special("re", r.group(), "r ", nl), r.end()
                 match = TOKEN.scanner(text, at).match
             else:
-                out.append(Tok("op", v, line, nl))
-                s = v + " "
-        elif kind == "tpl":
-            tok = Tok("tpl", [], line, nl)
-            held = ["`"]
+                tok = known.get(v) or sign(v, nl)
+        else:
+            subs, held, first = [], ["`"], at
             while True:
                 t = TEMPLATE.match(text, at)
                 if t is None:
-                    raise Bad(tok.line, "unterminated template")
-                line += text.count("\n", at, t.end())
+                    raise Bad(line_of(text, first), "unterminated template")
                 at = t.end()
                 if t.lastgroup == "end":
                     break
-                sub, at, line = tokens(text, at, line, True)
-                tok.value.append(sub)
-                held += [*sub.shapes, "$"]
-            out.append(tok)
-            s = "".join(held) + "`"
+                sub, at = tokens(text, at, True)
+                subs.append(sub)
+                held += [x.shape for x in sub]
+            tok = special("tpl", subs, "".join(held) + "`", nl)
             match = TOKEN.scanner(text, at).match
-        else:
-            v = m[kind]
-            out.append(Tok("id" if kind == "name" else kind, v, line, nl))
-            s = "n " if kind == "num" else "s " if kind == "str" else "# " if v[0] == "#" else "a "
-            if kind == "str":
-                line += v.count("\n")
-        shapes.append("\n" + s if nl else s)
-        nl = False
-    out.append(Tok("eof", "", line, nl))
-    shapes.append("\n$" if nl else "$")
-    return out, at, line
+        out.append(tok)
+        ends.append(at)
+        nl, known = False, SIGNS[0]
+    out.append(special("eof", "", "$", nl))
+    ends.append(at)
+    return out, at
 
 
 class Ecma(Cursor):
     def __init__(self, toks: Run, ts: bool, in_fn: int = 0, loops: int = 0) -> None:
         super().__init__(toks)
-        self.shapes, self.close = toks.shapes, toks.close
+        self.close = toks.close
         self.ts, self.fn, self.loop, self.no_in = ts, in_fn, loops, False
         self.undo: list[tuple[int, Tok]] = []
 
+    def fail(self, why: str = "unexpected") -> None:
+        raise Bad(line_of(self.t.text, self.t.at[self.i]), f"{why}: {str(self.cur.value)[:30]!r}")
+
     def split(self, value: str) -> bool:
-        at, tok = self.i, self.t[self.i]
-        got = super().split(value)
-        if self.t[at] is not tok:
-            self.undo.append((at, tok))
-        return got
+        c = self.cur
+        if c.kind != "op" or not c.value.startswith(value):
+            return False
+        if c.value == value:
+            self.i += 1
+        else:
+            self.undo.append((self.i, c))
+            self.t[self.i] = sign(c.value[len(value) :], False)
+        return True
 
     def back(self, at: int, done: int) -> None:
         """Return to a place, with the signs that were split since."""
@@ -198,7 +233,7 @@ class Ecma(Cursor):
         keys = []
         for end in self.ends():
             if end:
-                key = (self.ts, top, self.fn > 0, self.loop > 0, self.no_in, "".join(self.shapes[at : end + 1]))
+                key = (self.ts, top, self.fn > 0, self.loop > 0, self.no_in, "".join([c.shape for c in self.t[at : end + 1]]))
                 if key in SHAPES:
                     self.i = end
                     return
@@ -1174,5 +1209,5 @@ class Ecma(Cursor):
 
 def check(text: str, ts: bool) -> None:
     """Raise Bad if the text is no module."""
-    toks, _, _ = tokens(text)
+    toks, _ = tokens(text)
     Ecma(toks, ts).module()
