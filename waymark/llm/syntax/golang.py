@@ -7,11 +7,11 @@ import re
 from waymark.llm.syntax.base import Bad, Cursor, Tok
 
 TOKEN = re.compile(
-    r"(?P<ws>[ \t\r]+)|(?P<nl>\n)|(?P<lc>//[^\n]*)|(?P<bc>/\*[\s\S]*?\*/)"
+    r"[ \t\r]*+(?:(?P<nl>\n)|(?P<lc>//[^\n]*)|(?P<bc>/\*[\s\S]*?\*/)"
     r"|(?P<num>(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)i?)(?!\w)"
     r"|(?P<id>[^\W\d]\w*)"
     r"|(?P<str>\"(?:[^\"\\\n]|\\(?:[abfnrtv\\'\"]|x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}|[0-7]{3}))*\"|`[^`]*`|'(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}|[0-7]{3}))')"
-    r"|(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[+\-*/%&|^<>=!()\[\]{},;.:~])"
+    r"|(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[+\-*/%&|^<>=!()\[\]{},;.:~])|(?P<end>\Z))"
 )
 KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
 ENDS = frozenset("break continue fallthrough return ++ -- ) ] }".split())
@@ -30,9 +30,9 @@ def tokens(text: str) -> list[Tok]:
     while at < n:
         m = TOKEN.match(text, at)
         if m is None:
-            raise Bad(line, f"illegal character {text[at]!r}")
-        kind, v = m.lastgroup, m.group()
-        at = m.end()
+            raise Bad(line, f"illegal character {text[at:].lstrip()[:1]!r}")
+        kind = m.lastgroup
+        v, at = m[kind], m.end()
         if kind == "nl":
             newline()
             line += 1
@@ -41,7 +41,7 @@ def tokens(text: str) -> list[Tok]:
             if k:
                 newline()
             line += k
-        elif kind not in ("ws", "lc"):
+        elif kind not in ("lc", "end"):
             out.append(Tok(kind, v, line, False))
             if kind == "str":
                 line += v.count("\n")

@@ -8,12 +8,12 @@ from waymark.llm.syntax.base import Bad, Cursor, Tok
 
 ESC = r"\\(?:[btnfrs0-7\"'\\]|u+[\da-fA-F]{4})"
 TOKEN = re.compile(
-    r"(?P<ws>\s+)|(?P<lc>//[^\n\r]*)|(?P<bc>/\*[\s\S]*?\*/)"
+    r"\s*+(?:(?P<lc>//[^\n\r]*)|(?P<bc>/\*[\s\S]*?\*/)"
     r"|(?P<txt>\"\"\"[ \t\f]*\r?\n(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\")"
     rf"|(?P<str>\"(?:[^\"\\\n\r]|{ESC})*\"|'(?:[^'\\\n\r]|{ESC})')"
     r"|(?P<num>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[lLfFdD]?)(?![\w$])"
     r"|(?P<id>[^\W\d]\w*(?:\$\w*)*|\$[\w$]*)"
-    r"|(?P<op>>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|&=|\|=|\^=|%=|<<|[=<>!~?:+\-*/&|^%(){}\[\];,.@])"
+    r"|(?P<op>>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|&=|\|=|\^=|%=|<<|[=<>!~?:+\-*/&|^%(){}\[\];,.@])|(?P<end>\Z))"
 )
 KEYWORDS = frozenset(
     "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new"
@@ -31,14 +31,19 @@ def tokens(text: str) -> list[Tok]:
     while at < n:
         m = TOKEN.match(text, at)
         if m is None:
-            if text[at] == "\x1a" and at == n - 1:
+            if text[at:].lstrip() == "\x1a":
                 break
-            raise Bad(line, f"illegal character {text[at]!r}")
-        kind, v = m.lastgroup, m.group()
-        at = m.end()
-        if kind not in ("ws", "lc", "bc"):
+            raise Bad(line + text.count("\n", at) - text[at:].lstrip().count("\n"), f"illegal character {text[at:].lstrip()[:1]!r}")
+        kind, end = m.lastgroup, m.end()
+        if kind not in ("lc", "bc", "end"):
+            v = m[kind]
+            line += text.count("\n", at, end - len(v))
             out.append(Tok("str" if kind == "txt" else kind, v, line, False))
-        line += v.count("\n")
+            if kind == "txt":
+                line += v.count("\n")
+        else:
+            line += text.count("\n", at, end)
+        at = end
     out.append(Tok("eof", "", line, True))
     return out
 

@@ -7,13 +7,13 @@ import re
 from waymark.llm.syntax.base import Bad, Cursor, Tok
 
 TOKEN = re.compile(
-    r"(?P<ws>\s+)|(?P<lc>//[^\n]*)|(?P<bc>/\*)"
+    r"\s*+(?:(?P<lc>//[^\n]*)|(?P<bc>/\*)"
     r"|(?P<raw>(?:b|c)?r(?P<h>#*)\"[\s\S]*?\"(?P=h))|(?P<str>(?:b|c)?\"(?:[^\"\\]|\\[\s\S])*\")"
     r"|(?P<chr>b?'(?:[^'\\\n]|\\(?:[nrt\\0'\"]|x[\da-fA-F]{2}|u\{[\da-fA-F_]{1,8}\}))')|(?P<life>'[^\W\d]\w*)"
     r"|(?P<num>0x[\da-fA-F_]+(?:[ui](?:8|16|32|64|128|size))?|0b[01_]+(?:[ui](?:8|16|32|64|128|size))?|0o[0-7_]+(?:[ui](?:8|16|32|64|128|size))?"
     r"|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?[\d_]+)?(?:[ui](?:8|16|32|64|128|size)|f32|f64)?)(?!\w)"
     r"|(?P<id>(?:r\#)?[^\W\d]\w*)"
-    r"|(?P<op><<=|>>=|\.\.\.|\.\.=|::|->|=>|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|<<|>>|\.\.|[+\-*/%^!&|=<>@.,;:#$?~()\[\]{}])"
+    r"|(?P<op><<=|>>=|\.\.\.|\.\.=|::|->|=>|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|<<|>>|\.\.|[+\-*/%^!&|=<>@.,;:#$?~()\[\]{}])|(?P<end>\Z))"
 )
 KEYWORDS = frozenset("as break const continue crate else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while async await dyn".split())
 PATH_WORDS = frozenset("self Self super crate".split())
@@ -30,11 +30,13 @@ def tokens(text: str) -> list[Tok]:
     while at < n:
         m = TOKEN.match(text, at)
         if m is None:
-            raise Bad(line, f"illegal character {text[at]!r}")
-        kind, v = m.lastgroup, m.group()
+            raise Bad(line + text.count("\n", at) - text[at:].lstrip().count("\n"), f"illegal character {text[at:].lstrip()[:1]!r}")
+        kind, end = m.lastgroup, m.end()
         if kind == "h":
             kind = "raw"
-        at = m.end()
+        v = m[kind]
+        line += text.count("\n", at, end - len(v))
+        at = end
         if kind == "bc":
             depth = 1
             while depth:
@@ -45,9 +47,10 @@ def tokens(text: str) -> list[Tok]:
                 line += text.count("\n", at, k.end())
                 at = k.end()
             continue
-        if kind not in ("ws", "lc"):
+        if kind not in ("lc", "end"):
             out.append(Tok("str" if kind in ("raw", "chr") else kind, v, line, False))
-        line += v.count("\n")
+            if kind in ("str", "raw"):
+                line += v.count("\n")
     out.append(Tok("eof", "", line, True))
     return out
 
