@@ -179,6 +179,33 @@ def test_notices_in_headers(path, text, want):
     assert machine_made.text_reason(path, text, machine_made.automaton()) == want
 
 
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("r/src/a.py", "# offsets copied from the header table\nx = 1\n", None),
+        ("r/src/a.py", "# totals generated from the ledger are cached\nx = 1\n", None),
+        ("r/src/a.go", "// written by the protoc compiler\n// Code generated by protoc. DO NOT EDIT.\npackage a\n", "generated"),
+        ("r/src/a.py", "# Copyright the r authors. Written by the x team.\n# Code generated by q.\n", "generated"),
+        ("r/src/a.py", "# writes files that say DO NOT EDIT; this one is edited by hand.\nx = 1\n", "hand"),
+        ("r/src/a.py", "x = 1\n# do not modify the list while it is read\n", None),
+        ("r/src/a.py", "x = 1\n# Generated from the ledger.\n", None),
+        ("r/src/a.py", "# Generated from api.proto\nx = 1\n", "generated"),
+        ("r/src/a.py", "# This file was copied from the q project\n", "third party"),
+        ("r/src/a.py", "# It must not be edited by hand\n", "generated"),
+        ("r/src/a.py", "# No longer generated by x.\n", "hand"),
+        ("r/src/a.js", "\n".join(f"// line {k}" for k in range(300)) + "\n/*! q 1.2.3 */\nlet a = 1\n", "third party"),
+    ],
+)
+def test_notices_are_told_from_remarks(path, text, want):
+    assert machine_made.text_reason(path, text, machine_made.automaton()) == want
+
+
+def test_texts_of_one_path_are_settled_by_a_stated_order(spark):
+    src = spark.createDataFrame([("r/a.py", "# Code generated by x.\n"), ("r/a.py", "# Edited by hand.\n"), ("r/b.py", "x = 1\n"), ("r/b.py", "# Vendored from q.\n"), ("r/b.py", "# @generated\n")], "path string, text string")
+    files = spark.createDataFrame([("r/a.py", 1), ("r/b.py", 2), ("vendor/c.py", 3), ("r/Gen/d.py", 4)], "path string, shown int")
+    assert {x["path"]: x["reason"] for x in machine_made.judge_files(files, src).collect()} == {"r/a.py": None, "r/b.py": "third party", "vendor/c.py": None, "r/Gen/d.py": "generated"}
+
+
 def test_table_tokens_are_linear():
     assert not machine_made.bulk("deadbeef" * 20_000 + "!" + " g" * 200_000 + "h" * 200_000 + "\\" * 50_000 + '"' * 50_001)
 

@@ -1,9 +1,9 @@
 """Generated, minified, copied and bulk-data files, by a multi-pattern automaton over comments and path rules.
 
 Evidence in the text goes before the path. One automaton of notices (generated, third party, hand-written) in
-several languages reads every comment line of a file's header, in block comments and docstrings too and at any
-indentation, and comment lines that stand alone at the margin behind it; a notice inside a string literal is
-code, not a notice. Text statistics tell minified code, tables of literals and runs of numbered stubs. Only where the
+several languages reads every comment line of a file's header, however long, in block comments and docstrings
+too and at any indentation; firm notices also count in comment lines that stand alone at the margin behind it. A
+notice inside a string literal is code, not a notice. Text statistics tell minified code, tables of literals and runs of numbered stubs. Only where the
 text shows nothing, or there is none, rules on directories, lock files and suffixes decide.
 
 Defined results: a path without text, or with a null or empty one, is judged by its path; a null path is no
@@ -17,28 +17,49 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NOTICES = {
     "generated": (
         "code generated by", "automatically created", "automatically generated", "automatically produced", "autogenerated", "auto-generated", "auto generated", "@generated",
-        "was produced by", "changes will be lost", "will be overwritten", "machine written", "machine generated", "machine-generated", "machine made", "buffer-read-only: t",
-        "do not edit", "do not modify", "don't edit", "edit the schema instead", "this file is generated", "this file was generated", "generated by ", "generated from ",
-        "nicht von hand aendern", "nicht von hand andern", "nicht bearbeiten", "automatisch erzeugt", "automatisch generiert", "fichier genere", "genere automatiquement", "genere par",
-        "ne pas modifier", "generado automaticamente", "generado por", "no editar", "generato automaticamente", "generato da", "non modificare", "gerado automaticamente", "nao editar",
-        "automatisch gegenereerd", "niet bewerken", "wygenerowano", "nie edytowac", "сгенерирован", "не редактировать", "згенеровано", "自動生成", "automatiskt genererad",
+        "changes will be lost", "changes will be overwritten", "edits will be lost", "edits will be overwritten", "file will be overwritten", "buffer-read-only: t", "machine written on",
+        "edit the schema instead", "not be edited by hand", "not be edited manually", "never edited by hand", "not be written by hand", "never written by hand",
+        "this file is generated", "this file was generated", "file is machine generated", "file is machine-generated",
+        "nicht von hand aendern", "nicht von hand andern", "automatisch erzeugt", "automatisch generiert", "fichier genere", "genere automatiquement",
+        "generado automaticamente", "generato automaticamente", "gerado automaticamente", "automatisch gegenereerd", "automatiskt genererad",
+        "файл сгенерирован", "файл згенеровано", "plik wygenerowano", "自動生成",
+    ),
+    "edit": (
+        "do not edit", "do not modify", "don't edit", "nicht bearbeiten", "ne pas modifier", "no editar", "non modificare", "nao editar", "niet bewerken", "nie edytowac", "не редактировать",
+    ),
+    "generated?": (
+        "generated by ", "generated from ", "was produced by", "machine generated", "machine-generated", "machine made",
+        "genere par", "generado por", "generato da", "wygenerowano", "сгенерирован", "згенеровано",
     ),
     "third party": (
-        "copied unchanged", "vendored from", "local patches are not allowed", "upstream copy", "distribution at tag", "imported from upstream", "copied from", "taken unchanged",
-        "third-party library", "third party library", "bundled copy of", "see upstream", "unmodified copy", "mirror of the upstream",
+        "copied unchanged", "vendored from", "local patches are not allowed", "distribution at tag", "imported from upstream", "taken unchanged from",
+        "third-party library", "third party library", "bundled copy of", "unmodified copy", "mirror of the upstream", "upstream copy",
     ),
+    "third party?": ("copied from", "taken unchanged", "see upstream"),
     "hand": (
-        "edited by hand", "written by hand", "hand-written", "handwritten", "hand written", "maintained by", "our own", "written by the", "please send patches", "before changing",
-        "reworked the", "von hand geschrieben", "not generated", "no longer generated", "hand-maintained", "maintained manually",
+        "edited by hand", "written by hand", "hand-written", "handwritten", "hand written", "von hand geschrieben", "not generated", "not autogenerated", "not auto-generated",
+        "no longer generated", "hand-maintained", "maintained manually",
     ),
+    "hand?": ("maintained by", "our own", "written by the", "please send patches", "before changing", "reworked the"),
 }
-"""Notices, lower case and without accents (fixed values)."""
+"""Notices, lower case and without accents (fixed values). Of matches that overlap the longest counts.
+
+``edit`` stands for a generated file only at the end of a clause or before "by hand" and the like. A kind with a
+question mark counts in the header only: generated and third party where the comment, or its sentence about this
+file, begins with it, hand where nothing else in the text says otherwise.
+"""
+CLAUSE_END = re.compile(r"\s*(?:$|[.!,;:)\-\u2013\u2014*]|(?:it|this|this file|the file|by hand|manually|directly|me|dieses? datei)\b)")
+SUBJECT = re.compile(
+    r"(?:^|[.;:!]\s)\W*(?:(?:this|the)?\s*(?:file|code|module|source|script|table|content|header|copy)s?\s*(?:(?:is|was|are|were|has been|have been)\s*)?)?"
+    r"(?:(?:diese datei (?:wurde|ist)|ce fichier (?:est|a ete)|este archivo (?:fue|es)|questo file (?:e|e stato)|этот файл|цей файл|ten plik)\s*)?$"
+)
+TOOL = re.compile(r"\b(?:compiler|generator|codegen|tool|script|preprocessor)\b")
 
 COMMENT = re.compile(r"^(?://+!?|#+!?|/\*+!?|\*+|--|<!--|;+|%+|rem\b)\s?(.*)$", re.IGNORECASE)
 COPYRIGHT = re.compile(r"(?:\(c\)|copyright|©)\s+(?:\d{4}\S*\s+)?(?:by\s+)?(?:the\s+)?([\w.\-]+)\s+(project|authors|contributors|team|library|developers)\b(.*)")
@@ -46,7 +67,7 @@ OPENERS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
 PREFIXED = re.compile(r"[rbuRBU]{1,2}(?=\"\"\"|''')")
 PASSED = re.compile(r"<\?(?:php|xml)\b|<!doctype\b|[\"']use strict[\"'];?$", re.IGNORECASE)
 ONE_LINE = re.compile(r"""^[rbuRBU]{0,2}(?:["'])(.*)["']$""")
-BANNER = re.compile(r"^/\*!\s*[\w.@/\-]+\s+v?\d+\.\d+")
+BANNER = re.compile(r"^\s*/\*!\s*[\w.@/\-]+\s+v?\d+\.\d+")
 NUMBER = re.compile(r"\d+")
 TABLE = re.compile(
     r"(?P<text>[rbuLf]?(?:\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?))"
@@ -63,12 +84,13 @@ VENDORED_DIRS = frozenset("vendor vendors vendored node_modules third_party thir
 GENERATED_DIRS = frozenset("gen generated dist build target out __generated__ autogen".split())
 LOCK_NAMES = frozenset("package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml cargo.lock poetry.lock pipfile.lock composer.lock gemfile.lock go.sum mix.lock pubspec.lock uv.lock bun.lockb flake.lock".split())
 SUFFIXES = (
-    (re.compile(r"[.\-](?:min|bundle|compiled|packed|prod)\.(?:js|css|mjs|cjs)$|[.\-]bundle\.\w+$|\.compiled\.\w+$|\.(?:js|css)\.map$"), "minified"),
-    (re.compile(r"\.(?:generated|gen|g|pb|pb\.gw|designer|freezed|autogen)\.\w+$|_pb2(?:_grpc)?\.pyi?$|grpc\.java$|_generated\.\w+$|\.pb\.\w+$"), "generated"),
-    (re.compile(r"\.data\.\w+$"), "bulk data"),
-    (re.compile(r"[.\-_]lock\.(?:json|ya?ml|toml)$|\.lock$"), "lock file"),
+    (r"[.\-](?:min|bundle|compiled|packed|prod)\.(?:js|css|mjs|cjs)$|[.\-]bundle\.\w+$|\.compiled\.\w+$|\.(?:js|css)\.map$", "minified"),
+    (r"\.(?:generated|gen|g|pb|pb\.gw|designer|freezed|autogen)\.\w+$|_pb2(?:_grpc)?\.pyi?$|grpc\.java$|_generated\.\w+$|\.pb\.\w+$", "generated"),
+    (r"\.data\.\w+$", "bulk data"),
+    (r"[.\-_]lock\.(?:json|ya?ml|toml)$|\.lock$", "lock file"),
 )
 """Path rules (fixed values)."""
+VERDICTS = ("hand", "third party", "generated", "minified", "bulk data", "lock file")
 
 
 def fold(s: str) -> str:
@@ -82,23 +104,21 @@ def automaton():  # noqa: ANN201
     a = ahocorasick.Automaton()
     for kind, phrases in NOTICES.items():
         for p in phrases:
-            a.add_word(p, kind)
+            a.add_word(p, (kind, len(p)))
     a.make_automaton()
     return a
 
 
-def path_reason(path: str) -> str | None:
-    """What the path suggests: third party, generated, minified, bulk data, lock file, or None."""
-    parts = path.lower().split("/")
-    name, dirs = parts[-1], parts[1:-1]
-    if name in LOCK_NAMES:
-        return "lock file"
-    if any(d in VENDORED_DIRS for d in dirs):
-        return "third party"
+def path_reason(path: Column) -> Column:
+    """What the path suggests: third party, generated, minified, bulk data, lock file, or null. The repository's name is no evidence."""
+    low = F.lower(path)
+    name = F.substring_index(low, "/", -1)
+    dirs = F.split(F.regexp_extract(low, r"^[^/]*/(.*)/[^/]*$", 1), "/")
+    among = lambda names: F.arrays_overlap(dirs, F.array(*[F.lit(n) for n in sorted(names)]))
+    out = F.when(name.isin(*sorted(LOCK_NAMES)), "lock file").when(among(VENDORED_DIRS), "third party")
     for rx, kind in SUFFIXES:
-        if rx.search(name):
-            return kind
-    return "generated" if any(d in GENERATED_DIRS for d in dirs) else None
+        out = out.when(name.rlike(rx), kind)
+    return out.when(among(GENERATED_DIRS), "generated")
 
 
 def header(lines: list[str], ext: str) -> tuple[list[str], int]:
@@ -131,26 +151,44 @@ def header(lines: list[str], ext: str) -> tuple[list[str], int]:
     return out, len(lines)
 
 
-def notice(lines: list[str], repository: str, auto, ext: str = "") -> str | None:
-    """The strongest notice: hand, third party, generated or None.
-
-    Notices count in every comment line of the leading header, behind it in stand-alone comments at the margin.
+def said(body: str, repository: str, auto, in_header: bool) -> set[str]:
+    """The kinds of notices in a comment line, lower case and without accents."""
+    kinds = set()
+    for end, (kind, n) in auto.iter_long(body):
+        before, behind = body[: end + 1 - n], body[end + 1 :]
+        if kind == "edit":
+            if CLAUSE_END.match(behind):
+                kinds.add("generated")
+        elif kind == "hand?":
+            if in_header and not (body.startswith("written by the", end + 1 - n) and TOOL.search(behind)):
+                kinds.add(kind)
+        elif kind[-1] != "?" or (in_header and SUBJECT.search(before)):
+            kinds.add(kind)
+    c = COPYRIGHT.search(body)
+    if c:
+        if c.group(1) == repository.lower():
+            kinds.add("hand?")
+        elif c.group(2) in ("project", "library"):
+            kinds.add("third party")
+    return kinds
+
+
+def notice(head: list[str], rest: list[str], repository: str, auto) -> str | None:
+    """What the notices say: hand, third party, generated or None.
+
+    Notices count in every comment line of the leading header, firm ones also behind it in stand-alone comments
+    at the margin. A line that says the file is written by hand outweighs what the same line says of generated
+    files; a notice of generated or copied text in another line outweighs it in turn, and every mere credit.
     """
-    head, n = header(lines, ext)
-    margin = [m.group(1) for line in lines[n:] if (m := COMMENT.match(line))]
     seen: set[str] = set()
-    for body in map(fold, head + margin):
-        kinds = {kind for _, kind in auto.iter(body)}
-        c = COPYRIGHT.search(body)
-        if c:
-            if c.group(1) == repository.lower():
-                kinds.add("hand")
-            elif c.group(2) in ("project", "library"):
-                kinds.add("third party")
-        if "hand" in kinds:
-            return "hand"
-        seen |= kinds
-    return "third party" if "third party" in seen else "generated" if "generated" in seen else None
+    margin = [m.group(1) for line in rest if (m := COMMENT.match(line))]
+    for k, body in enumerate(map(fold, head + margin)):
+        kinds = said(body, repository, auto, k < len(head))
+        seen |= {"hand"} if "hand" in kinds else kinds
+    for kind, means in (("third party", "third party"), ("generated", "generated"), ("hand", "hand"), ("hand?", "hand"), ("third party?", "third party"), ("generated?", "generated")):
+        if kind in seen:
+            return means
+    return None
 
 
 def minified(text: str, lines: list[str], ext: str) -> bool:
@@ -214,20 +252,21 @@ def text_reason(path: str, text: str, auto) -> str | None:
     """What the text shows: hand, third party, generated, minified, bulk data, lock file, or None."""
     lines = text.splitlines()
     ext = path.rpartition(".")[2].lower()
-    said = notice(lines, path.split("/", 1)[0], auto, ext)
-    if said == "hand":
-        return said
+    head, n = header(lines, ext)
+    noted = notice(head, lines[n:], path.split("/", 1)[0], auto)
+    if noted == "hand":
+        return noted
     if ext in ("json", "yaml", "yml", "toml", "lock") and LOCK_TEXT.search(text):
         return "lock file"
     if minified(text, lines, ext):
         return "minified"
-    if said:
-        return said
+    if noted:
+        return noted
     if ext not in ("json", "yaml", "yml", "toml", "md", "txt", "csv") and bulk(text, ext != "css"):
         return "bulk data"
     if ext not in ("json", "yaml", "yml", "toml", "md", "txt", "csv", "css") and stubs(lines):
         return "generated"
-    if any(BANNER.match(ln) for ln in lines[:3]) and ext in ("js", "css", "ts"):
+    if any(BANNER.match(ln) for ln in lines[:n]) and ext in ("js", "css", "ts"):
         return "third party"
     return None
 
@@ -248,16 +287,11 @@ def judge_texts(source: DataFrame) -> DataFrame:
 def judge_files(files: DataFrame, source: DataFrame) -> DataFrame:
     """(path, shown, suggested, reason): one row per distinct path of ``files``; reason null is hand-written.
 
-    Only paths and verdicts are shuffled, never texts. Several texts of one path give the least verdict by name.
+    Only paths and verdicts are shuffled, never texts. Of several texts of one path the first verdict in the
+    order of VERDICTS counts: a path with a text written by hand is no machine-made file.
     """
-    shown = judge_texts(source.filter(F.col("path").isNotNull())).groupBy("path").agg(F.min("shown").alias("shown"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            paths = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([path_reason(p) for p in paths], pa.string())], names=["path", "suggested"])
-
-    paths = files.filter(F.col("path").isNotNull()).select("path").distinct().mapInArrow(run, "path string, suggested string")
-    both = paths.join(shown, "path", "left")
+    rank = F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), F.col("shown"))
+    shown = judge_texts(source.filter(F.col("path").isNotNull())).groupBy("path").agg(F.min_by("shown", F.when(rank > 0, rank)).alias("shown"))
+    both = files.filter(F.col("path").isNotNull()).select("path").distinct().join(shown, "path", "left").withColumn("suggested", path_reason(F.col("path")))
     reason = F.when(F.col("shown") == "hand", F.lit(None)).otherwise(F.coalesce("shown", "suggested"))
     return both.select("path", "shown", "suggested", reason.alias("reason"))
