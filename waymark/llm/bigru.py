@@ -50,6 +50,39 @@ class GRU:
             out[t] = s
         return out, tape
 
+    def states(self, x: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+        """Hidden states without the tape; with row lengths, from each row's end to its start."""
+        p, k, h = self.p, self.k, self.h
+        table = p["E"] @ p[f"{k}W"] + p[f"{k}b"]
+        table[:, : 2 * h] *= F32(0.5)
+        u = p[f"{k}U"].copy()
+        u[:, : 2 * h] *= F32(0.5)
+        c = p[f"{k}c"]
+        t_n, b_n = x.shape
+        out = np.empty((t_n, b_n, h), F32)
+        s, last = np.zeros((b_n, h), F32), t_n if n is None else int(n.min())
+        for t in range(t_n) if n is None else range(t_n - 1, -1, -1):
+            a = table[x[t]]
+            g = s @ u
+            zr = g[:, : 2 * h]
+            zr += a[:, : 2 * h]
+            np.tanh(zr, out=zr)
+            zr *= F32(0.5)
+            zr += F32(0.5)
+            m = g[:, 2 * h :]
+            m += c
+            m *= zr[:, h:]
+            m += a[:, 2 * h :]
+            np.tanh(m, out=m)
+            new = out[t]
+            np.subtract(s, m, out=new)
+            new *= zr[:, :h]
+            new += m
+            if n is not None and t >= last:
+                new *= (t < n)[:, None]
+            s = new
+        return out
+
     def backward(self, x: np.ndarray, tape: list, d_out: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         p, k, h = self.p, self.k, self.h
         u = p[f"{k}U"]
@@ -98,11 +131,13 @@ class BiGRU:
         return np.take_along_axis(x, at if x.ndim == 2 else at[:, :, None], 0)
 
     def log_probs(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        f, _ = self.fw.forward(x)
-        b, _ = self.bw.forward(self.flip(x, n))
-        y = np.concatenate([f, self.flip(b, n)], 2) @ self.p["V"] + self.p["v"]
+        h = self.fw.h
+        y = self.fw.states(x) @ self.p["V"][:h]
+        y += self.bw.states(x, n) @ self.p["V"][h:]
+        y += self.p["v"]
         y -= y.max(2, keepdims=True)
-        return y - np.log(np.exp(y).sum(2, keepdims=True))
+        y -= np.log(np.exp(y).sum(2, keepdims=True))
+        return y
 
     def step(self, x: np.ndarray, n: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients; target -1 marks positions that count for nothing."""

@@ -9,7 +9,8 @@ The weights (under 100 KB) are trained in numpy on a bounded sample of labelled
 ``train_langid``; they are sent to the executors once.
 
 Defined results: null texts and texts without letters have lang null and confidence null and no stretch;
-whole texts are read, whatever their length; repeated texts get equal rows.
+whole texts are read, whatever their length, a sentence without an end in runs of LONGEST bytes whose letters
+are pooled; repeated texts get equal rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +36,9 @@ MIN_SENTENCE_LETTERS = 5
 SURE = 0.75
 """Confidence from which a sentence stands for a second language."""
 BATCH_POSITIONS = 1 << 16
+LONGEST = 4096
+"""Bytes of a sentence read at once; the runs of a longer one are pooled."""
+REMEMBERED = 1 << 16
 
 ISO_CODES = frozenset(
     "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu"
@@ -89,8 +94,13 @@ def sentences(text: str) -> list[str]:
     return [" ".join(s.split()).lstrip(">/ ") for s in BREAK.split(text) if s and s.strip(">/ \t\r")]
 
 
+NO_LETTERS = bytes(c for c in range(256) if not chr(c).isalpha() or c >= 128)
+
+
 def weight(s: str) -> int:
     """Letters, ideographs and kana three times."""
+    if s.isascii():
+        return len(s.encode().translate(None, NO_LETTERS))
     return sum(3 if c >= "぀" else 1 for c in s if c.isalpha())
 
 
@@ -98,14 +108,35 @@ def to_bytes(s: str) -> bytes:
     return unicodedata.normalize("NFKC", s).lower().encode("utf-8")
 
 
+def runs(raw: bytes) -> list[bytes]:
+    """A sentence's bytes in runs of at most LONGEST, cut at blanks where there are any."""
+    out, at = [], 0
+    while len(raw) - at > LONGEST:
+        end = raw.rfind(b" ", at + 1, at + LONGEST) + 1 or at + LONGEST
+        out.append(raw[at:end])
+        at = end
+    return [*out, raw[at:]]
+
+
+LETTER = np.zeros(256, bool)
+LETTER[128:] = True
+LETTER[97:123] = True
+
+
 class Labeller:
+    """Labels sentences; those met before are remembered in a bounded table."""
+
     def __init__(self, params: dict[str, np.ndarray]) -> None:
         self.net = BiGRU(params)
+        self.known: dict[str, tuple[np.ndarray, str, float, int] | None] = {}
+
+    def pooled(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every row: sums of probabilities and of log-probabilities at its letters, and their number.
 
-    def positions(self, rows: list[bytes]) -> list[np.ndarray]:
-        """Log-probabilities of every byte of every row."""
-        out: list[np.ndarray] = [np.zeros((0, len(LANGS)), np.float32)] * len(rows)
-        order = sorted((i for i in range(len(rows)) if rows[i]), key=lambda i: len(rows[i]))
+        Positions live only as long as their batch of at most BATCH_POSITIONS (or one run of LONGEST bytes).
+        """
+        probs, logs, count = np.zeros((len(rows), len(LANGS))), np.zeros((len(rows), len(LANGS))), np.zeros(len(rows), np.int64)
+        order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
         at = 0
         while at < len(order):
             end, longest = at, 0
@@ -113,43 +144,61 @@ class Labeller:
                 longest = max(longest, len(rows[order[end]]))
                 end += 1
             part = order[at:end]
+            at = end
             n = np.array([len(rows[i]) for i in part])
             x = np.zeros((longest, len(part)), np.uint8)
             for b, i in enumerate(part):
                 x[: n[b], b] = np.frombuffer(rows[i], np.uint8)
             lp = self.net.log_probs(x, n)
-            for b, i in enumerate(part):
-                out[i] = lp[: n[b], b]
-            at = end
-        return out
+            on = LETTER[x] & (np.arange(longest)[:, None] < n[None, :])
+            lp *= on[:, :, None]
+            logs[part] = lp.sum(0, dtype=np.float64)
+            np.exp(lp, out=lp)
+            lp *= on[:, :, None]
+            probs[part] = lp.sum(0, dtype=np.float64)
+            count[part] = on.sum(0)
+        return probs, logs, count
+
+    def learn(self, some: list[str]) -> None:
+        """Label sentences not known yet: (summed probabilities, language, confidence, weight), None without letters."""
+        rows, owner = [], []
+        weights = [weight(s) for s in some]
+        for k, s in enumerate(some):
+            if weights[k]:
+                own = runs(to_bytes(s))
+                rows += own
+                owner += [k] * len(own)
+        probs, logs, count = self.pooled(rows)
+        total = np.zeros((len(some), 2 * len(LANGS) + 1))
+        np.add.at(total, owner, np.concatenate([probs, logs, count[:, None]], 1))
+        for k, s in enumerate(some):
+            n = total[k, -1]
+            if not n:
+                self.known[s] = None
+                continue
+            mean = total[k, len(LANGS) : -1] / n
+            p = np.exp(mean - mean.max())
+            p /= p.sum()
+            best = int(p.argmax())
+            self.known[s] = (total[k, : len(LANGS)], LANGS[best], float(p[best]), weights[k])
 
     def documents(self, texts: list[str | None]) -> list[tuple[str | None, float | None, list[tuple[str, str, float, int]]]]:
         """Per text: language, confidence, and sentences as (sentence, language, confidence, weight)."""
         cut = [sentences(t) if t else [] for t in texts]
-        raw = [[to_bytes(s) for s in ss] for ss in cut]
-        lps = iter(self.positions([r for rr in raw for r in rr]))
-        out = []
-        for ss, rr in zip(cut, raw, strict=True):
-            rows, total = [], np.zeros(len(LANGS))
-            for s, r in zip(ss, rr, strict=True):
-                own = next(lps)
-                codes = np.frombuffer(r, np.uint8)
-                letters = (codes >= 128) | ((codes >= 97) & (codes <= 122))
-                w = weight(s)
-                if not w or not letters.any():
-                    continue
-                total += np.exp(own[letters]).sum(0)
-                mean = own[letters].mean(0)
-                p = np.exp(mean - mean.max())
-                p /= p.sum()
-                k = int(p.argmax())
-                rows.append((s, LANGS[k], float(p[k]), w))
-            if rows:
-                k = int(total.argmax())
-                out.append((LANGS[k], float(total[k] / total.sum()), rows))
-            else:
-                out.append((None, None, []))
-        return out
+        wanted = {s for ss in cut for s in ss}
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [s for s in wanted if s not in self.known]
+        for k in range(0, len(new), 4096):
+            self.learn(new[k : k + 4096])
+        met = [[(s, got) for s in ss if (got := self.known[s]) is not None] for ss in cut]
+        starts = np.cumsum([0, *map(len, met)])[:-1][[bool(m) for m in met]]
+        if not len(starts):
+            return [(None, None, [])] * len(texts)
+        totals = np.add.reduceat(np.stack([got[0] for m in met for _, got in m]), starts)
+        best, every = totals.argmax(1), totals.sum(1)
+        own = iter((LANGS[k], float(row[k] / e)) for k, row, e in zip(best, totals, every, strict=True))
+        return [(*next(own), [(s, *got[1:]) for s, got in m]) if m else (None, None, []) for m in met]
 
 
 def whole_sentence_languages(main: str | None, rows: list[tuple[str, str, float, int]]) -> list[str]:
@@ -209,7 +258,7 @@ def wrong_labels(df: DataFrame, least_letters: int = 25) -> DataFrame:
     def make(b: pd.DataFrame, done: list) -> list:
         out = []
         for i, label, text, (main, _, rows) in zip(b["doc_id"], b["lang"], b["text"], done, strict=True):
-            if main is None or sum(map(str.isalpha, text)) < least_letters:
+            if main is None or sum(1 for _ in islice(filter(str.isalpha, text), least_letters)) < least_letters:
                 continue
             langs = whole_sentence_languages(main, rows)
             if len(langs) > 1 or label_code(label if isinstance(label, str) else None) != main:
