@@ -103,6 +103,20 @@ def test_short_second_language_sentences_count():
     assert sum(got) >= 3
 
 
+def test_long_and_repeated_sentences(monkeypatch):
+    lab = langid.Labeller(langid.load_weights())
+    en = "the kettle works exactly as described and feels solid in the hand "
+    (a, p, rows), (b, q, _), (c, r, _) = lab.documents([en * 400, en.strip(), "x" * 30_000 + "!"])
+    assert (a, b) == ("en", "en") and len(rows) == 1 and p > 0.9 and q > 0.9 and c is not None
+    assert all(len(x) <= langid.LONGEST for x in langid.runs(b"ab " * 9000)) and b"".join(langid.runs(b"ab " * 9000)) == b"ab " * 9000
+    texts = [f"{en} {k % 3}. Das Kabel ist etwas kurz." for k in range(30)] + [None, "", "12"]
+    once = lab.documents(texts)
+    monkeypatch.setattr(langid, "REMEMBERED", 0)
+    monkeypatch.setattr(langid, "BATCH_POSITIONS", 50)
+    for x, y in zip(once, [langid.Labeller(lab.net.p).documents([t])[0] for t in texts], strict=True):
+        assert x[0] == y[0] and (x[1] is None or abs(x[1] - y[1]) < 1e-5) and [s[1] for s in x[2]] == [s[1] for s in y[2]]
+
+
 # credentials
 def test_crf_on_held_out_lines():
     from waymark.llm.train_credentials import labelled, lines

@@ -67,6 +67,8 @@ _NAMES = {n: code for code, names in LABEL_NAMES.items() for n in names.split()}
 
 TAG = re.compile(r"<[^<>]*>")
 BREAK = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])\s*|\n\s*\n|\s//\s|\s\|\s")
+CODE = re.compile(r"\w\([^()\s]*\)|[{}=\\]|\w_\w|::|->|;\s*$|^--\s?\S+$")
+"""Signs of program code and signatures, which stand for no language (fixed values)."""
 LONG_RUN = re.compile(r"(\w)\1{4,}")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 
@@ -180,7 +182,7 @@ class Labeller:
             p = np.exp(mean - mean.max())
             p /= p.sum()
             best = int(p.argmax())
-            self.known[s] = (total[k, : len(LANGS)], LANGS[best], float(p[best]), weights[k])
+            self.known[s] = (total[k, : len(LANGS)], LANGS[best], float(p[best]), 1 if CODE.search(s) else weights[k])
 
     def documents(self, texts: list[str | None]) -> list[tuple[str | None, float | None, list[tuple[str, str, float, int]]]]:
         """Per text: language, confidence, and sentences as (sentence, language, confidence, weight)."""

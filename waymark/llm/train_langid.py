@@ -1,8 +1,9 @@
 """Train the byte network: ``python -m waymark.llm.train_langid FOLDER`` writes langid.npz.
 
-The sample is at most TRAIN_DOCUMENTS labelled documents. Labels are noisy, so a sentence (digits masked) gets
-the label most of its documents have; after a first stage, sentences that the network contradicts are dropped.
-Held-out documents (id hash) are never trained on.
+The sample is at most TRAIN_DOCUMENTS labelled documents, those least by the hash of their ids. Labels are
+noisy, so a sentence (digits masked) gets the label most of its documents have; after a first stage, sentences
+that the network contradicts are dropped. Held-out documents (id hash) are never trained on, and no other table
+is read. STEPS and the seeds fix the result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from waymark.llm.bigru import Adam, BiGRU
 from waymark.llm.langid import LANGS, WEIGHTS, Labeller, label_code, sentences, to_bytes, weight
 
 TRAIN_DOCUMENTS = 10_000
+STEPS = 6_500
+HIDDEN = 32
 LENGTH, BATCH = 128, 96
 COUNTS: dict[str, int] = {}
 """Documents per sentence; a sentence is drawn in proportion to the root of its count."""
@@ -34,13 +37,13 @@ def mask(s: str) -> str:
 
 
 def sample(folder: str) -> dict[str, list[str]]:
-    t = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text", "lang"]).slice(0, TRAIN_DOCUMENTS).to_pylist()
-    items = pq.read_table(f"{folder}/eval_items.parquet", columns=["text"]).to_pylist()
+    t = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    t = sorted((r for r in t if r["text"] and label_code(r["lang"]) in LANGS), key=lambda r: (crc32(f"sample {r['doc_id']}".encode()), r["doc_id"]))[:TRAIN_DOCUMENTS]
     votes: dict[str, Counter] = defaultdict(Counter)
     one: dict[str, str] = {}
     for r in t:
         code = label_code(r["lang"])
-        if r["text"] and code in LANGS and not held_out(r["doc_id"]):
+        if not held_out(r["doc_id"]):
             for s in sentences(r["text"]):
                 if weight(s) >= 8:
                     votes[mask(s)][code] += 1
@@ -52,11 +55,22 @@ def sample(folder: str) -> dict[str, list[str]]:
         if n * 10 >= 6 * total:
             by[code].append(one[m])
             COUNTS[one[m]] = n
-    return by | {"": [s for r in items if r["text"] for s in sentences(r["text"])]}
+    return by
+
+
+def invented(rng: np.random.Generator) -> str:
+    """A name of random syllables, which tells no language."""
+    return "".join("bcdfghjklmnprstvz"[int(rng.integers(17))] + "aeiou"[int(rng.integers(5))] + ("" if rng.random() < 0.6 else "lnrs"[int(rng.integers(4))]) for _ in range(int(rng.integers(2, 5))))
 
 
 def damaged(s: str, rng: np.random.Generator) -> str:
     r = rng.random()
+    if rng.random() < 0.25:
+        ws = s.split(" ")
+        if len(ws) > 4:
+            for _ in range(1 + len(ws) // 8):
+                ws.insert(int(rng.integers(len(ws) + 1)), invented(rng))
+            s = " ".join(ws)
     if r < 0.3:
         s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
     if rng.random() < 0.08:
@@ -87,37 +101,31 @@ def batch(by: dict[str, list[str]], weights: dict[str, np.ndarray], rng: np.rand
     return x, n, y
 
 
-def main(folder: str, seconds: float = 240) -> None:
+def main(folder: str) -> None:
     rng = np.random.default_rng(7)
     by = sample(folder)
-    extra = by.pop("")
-    print({k: len(v) for k, v in by.items()}, len(extra))
-    net = BiGRU.fresh(len(LANGS))
-    opt, began, stage, loss = Adam(net.p, 4e-3), time.time(), 0, 0.0
-    k, weights = 0, roots(by)
-    while (past := (time.time() - began) / seconds) < 1:
-        if stage == 0 and past > 0.35:
-            stage = 1
+    print({k: len(v) for k, v in by.items()})
+    net = BiGRU.fresh(len(LANGS), hidden=HIDDEN)
+    opt, began, loss = Adam(net.p, 4e-3), time.time(), 0.0
+    weights = roots(by)
+    for k in range(STEPS):
+        past = k / STEPS
+        if k == STEPS * 35 // 100:
             lab = Labeller(net.p)
             for code in LANGS:
                 done = lab.documents(by[code])
                 kept = [s for s, (m, c, _) in zip(by[code], done, strict=True) if m == code or (c or 0) < 0.7]
                 print(code, len(by[code]), "->", len(kept))
                 by[code] = kept
-            done = lab.documents(extra)
-            for s, (m, c, _) in zip(extra, done, strict=True):
-                if m and c > 0.6:
-                    by[m].append(s)
             weights = roots(by)
         x, n, y = batch(by, weights, rng)
         now, grads = net.step(x, n, y)
         loss = 0.98 * loss + 0.02 * now if k else now
-        opt.update(grads, 4e-3 * (1 - past) ** 1.0 + 1e-4)
-        k += 1
-        if k % 50 == 0:
-            print(k, round(past, 2), round(loss, 4), flush=True)
+        opt.update(grads, 4e-3 * (1 - past) + 1e-4)
+        if k % 200 == 0:
+            print(k, round(loss, 4), round(time.time() - began), flush=True)
     np.savez_compressed(WEIGHTS, **net.p)
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], float(sys.argv[2]) if len(sys.argv) > 2 else 240)
+    main(sys.argv[1])
