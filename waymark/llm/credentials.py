@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
@@ -53,6 +56,8 @@ CONTEXT = frozenset(
 )
 """Words that are features by themselves (fixed values)."""
 PLACEHOLDER = re.compile(r"(?i)^(?:your_\w+|x{4,}|redacted\w*|changeme\w*|change_me|replace_?me|todo|placeholder|dummy|example|user|password|host|db|secret|none|null|undefined|true|false|tbd|fixme)$")
+TELLING = PASS_WORDS | TOKEN_WORDS | KEY_WORDS | ADDRESS_WORDS | HASH_WORDS | META_WORDS | frozenset("dejar mot de passe max min num".split())
+PUBLIC_SIGNS = ("-----BEGIN", "ssh-", "ecdsa-", "sha")
 SUBWORD = re.compile(r"[A-Z]+(?![a-zà-ÿ])|[A-Z]?[a-zà-ÿ]+|\d+")
 
 
@@ -77,6 +82,13 @@ def key_class(name: str) -> str:
     return "other"
 
 
+KNOWN_TOKEN = re.compile(KNOWN + "$")
+PREFIXES = tuple("sk_ rk_ ghp_ gho_ ghu_ ghs_ ghr_ npm_ pypi- AKIA ASIA AIza eyJ".split())
+"""How the known token shapes begin (fixed values)."""
+DIGIT = re.compile("[0-9]")
+HEX = re.compile("[0-9a-f]+|[0-9A-F]+")
+
+
 def shape(tok: str) -> str:
     c = tok[0]
     if not (c.isalnum() or c == "_"):
@@ -86,13 +98,16 @@ def shape(tok: str) -> str:
         return "v:" + low
     if PLACEHOLDER.match(tok):
         return "hold"
-    if re.match(KNOWN + "$", tok):
+    if tok.startswith(PREFIXES) and KNOWN_TOKEN.match(tok):
         return "jwt" if tok.startswith("eyJ") else "known"
     n = len(tok)
     if tok.isdigit():
         return "num" if n < 8 else "bignum"
-    up, lo, di, un = (any(f(x) for x in tok) for f in (str.isupper, str.islower, str.isdigit, "_".__eq__))
-    if di and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", tok) and n >= 8:
+    if tok.isascii():
+        up, lo, di, un = tok != low, tok != tok.upper(), DIGIT.search(tok) is not None, "_" in tok
+    else:
+        up, lo, di, un = (any(f(x) for x in tok) for f in (str.isupper, str.islower, str.isdigit, "_".__eq__))
+    if di and n >= 8 and HEX.fullmatch(tok):
         return "hex8" if n < 16 else "hex16" if n < 31 else "hex32"
     size = "S" if n < 8 else "M" if n < 16 else "L" if n < 28 else "X"
     if un:
@@ -113,13 +128,15 @@ def entropy(tok: str) -> str:
     n = len(tok)
     if n < 6:
         return "e-"
-    counts: dict[str, int] = {}
-    for ch in tok:
-        counts[ch] = counts.get(ch, 0) + 1
-    h = -sum(v / n * math.log2(v / n) for v in counts.values())
+    h = -sum([part(tok.count(ch), n) for ch in dict.fromkeys(tok)])
     return f"e{int(h * 2)}"
 
 
+@lru_cache(1 << 14)
+def part(v: int, n: int) -> float:
+    return v / n * math.log2(v / n)
+
+
 def own_features(tok: str) -> list[str]:
     s = shape(tok)
     return [f"s={s}", f"{entropy(tok)}", f"l={min(len(tok), 40) // 4}", f"s={s}&{entropy(tok)}"]
@@ -170,28 +187,29 @@ class Lexer:
             k = self.keys[name] = key_class(name)
         return k
 
-    def lex(self, text: str) -> tuple[list[str], list[int], list[tuple]]:
-        toks, starts = [], []
-        for m in TOKEN.finditer(text):
-            toks.append(m.group())
-            starts.append(m.start())
-        n = len(toks)
-        flags = ["-"] * n
-        for rx, name, group in ((USERINFO, "userinfo", 1), (PEM, "pem", 1), (PUBLIC, "public", 0)):
-            for m in rx.finditer(text) if (name != "userinfo" or "@" in text) and (name != "pem" or "PRIVATE" in text) else ():
+    def look(self, text: str) -> tuple[list[str], list[int] | None, list[str] | None, str]:
+        """Tokens, their starts and flags (None where no flag is set), and whether the value is read from elsewhere."""
+        toks, starts, flags = TOKEN.findall(text), None, None
+        for rx, name, group, on in ((USERINFO, "userinfo", 1, "@" in text), (PEM, "pem", 1, "PRIVATE" in text), (PUBLIC, "public", 0, any(s in text for s in PUBLIC_SIGNS))):
+            for m in rx.finditer(text) if on else ():
                 lo, hi = m.span(group)
-                for i in range(n):
-                    if lo <= starts[i] < hi:
-                        flags[i] = name
-        away = "y" if ELSEWHERE.search(text) else "n"
+                starts = starts or token_starts(toks)
+                flags = flags or ["-"] * len(toks)
+                for i in range(bisect_left(starts, lo), bisect_left(starts, hi)):
+                    flags[i] = name
+        return toks, starts, flags, "y" if ELSEWHERE.search(text) else "n"
+
+    def context(self, toks: list[str], flags: list[str] | None, away: str) -> list[tuple]:
+        n = len(toks)
+        flags = flags or ["-"] * n
         shapes = [self.shape(t) for t in toks]
         solid = [i for i in range(n) if shapes[i] != "sp"]
         key, name, dist, quote = "none", "", 9, ""
         ctx: list[tuple | None] = [None] * n
+        line = ["^", "^", "^", *(shapes[i] for i in solid), "$", "$"]
         for j, i in enumerate(solid):
             t, s = toks[i], shapes[i]
-            p1, p2, p3 = (shapes[solid[j - d]] if j >= d else "^" for d in (1, 2, 3))
-            n1, n2 = (shapes[solid[j + d]] if j + d < len(solid) else "$" for d in (1, 2))
+            p3, p2, p1, _, n1, n2 = line[j : j + 6]
             ctx[i] = (s, key, quote, p1, p2, p3, n1, n2, min(dist, 4), flags[i], away)
             dist += 1
             if t in "\"'`":
@@ -210,25 +228,40 @@ class Lexer:
                 name += "_"
             elif t[0].isalnum() or t[0] == "_":
                 name = name + t if name.endswith("_") and i and toks[i - 1] == "-" else t
+        near = "^"
         for i in range(n):
             if ctx[i] is None:
-                near = next((shapes[k] for k in range(i - 1, -1, -1) if shapes[k] != "sp"), "^")
                 ctx[i] = ("sp", "none", "", near, "", "", "", "", 0, flags[i], away)
-        return toks, starts, ctx
+            else:
+                near = shapes[i]
+        return ctx
+
+
+def token_starts(toks: list[str]) -> list[int]:
+    return [0, *accumulate(map(len, toks))][:-1] if toks else []
 
 
 class Finder:
+    """Labels texts. Texts whose tokens are alike in all that the features see are decoded once.
+
+    A token's kind is its shape, entropy and length class and the telling words of its name, or the sign itself.
+    Labels are a function of the kinds in a text, its flags and whether it reads the value from elsewhere; they
+    are remembered by that signature in bounded tables.
+    """
+
     def __init__(self, crf: Crf) -> None:
         self.crf, self.lexer = crf, Lexer()
-        self.own: dict[str, np.ndarray] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.kind_of: dict[str, int] = {}
+        self.labels: dict[tuple, bytes] = {}
+        self.own: dict[int, np.ndarray] = {}
         self.around: dict[tuple, np.ndarray] = {}
 
     def emission(self, tok: str, ctx: tuple) -> np.ndarray:
-        a = self.own.get(tok)
+        k = self.kind_of[tok]
+        a = self.own.get(k)
         if a is None:
-            if len(self.own) > 1 << 16:
-                self.own.clear()
-            a = self.own[tok] = self.crf.score(own_features(tok))
+            a = self.own[k] = self.crf.score(own_features(tok))
         b = self.around.get(ctx)
         if b is None:
             if len(self.around) > 1 << 17:
@@ -236,33 +269,53 @@ class Finder:
             b = self.around[ctx] = self.crf.score(context_features(ctx))
         return a + b
 
+    def kind(self, tok: str) -> int:
+        if tok[0].isalnum() or tok[0] == "_":
+            words = [w.lower() for w in SUBWORD.findall(tok)]
+            seen = (self.lexer.shape(tok), entropy(tok), min(len(tok), 40) // 4, bool(words), tok[-1] == "_", *(w for w in words if w in TELLING))
+        else:
+            seen = (tok == " ", entropy(tok), min(len(tok), 40) // 4) if tok.isspace() else (tok,)
+        k = self.kind_of[tok] = self.kinds.setdefault(seen, len(self.kinds))
+        return k
+
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
         """Character spans of credentials in each text."""
-        emissions, held = [], []
+        if len(self.kinds) > 1 << 16 or len(self.labels) > 1 << 16:
+            for table in (self.kinds, self.kind_of, self.labels, self.own):
+                table.clear()
+        elif len(self.kind_of) > 1 << 17:
+            self.kind_of.clear()
+        known = self.kind_of
+        read: dict[str, tuple] = {}
+        new: dict[tuple, list[np.ndarray]] = {}
         for text in texts:
-            if not text:
-                emissions.append(np.zeros((0, 3)))
-                held.append(None)
+            if not text or text in read:
                 continue
-            flat, keep = joined(text)
-            toks, starts, ctx = self.lexer.lex(flat)
-            emissions.append(np.array([self.emission(t, c) for t, c in zip(toks, ctx, strict=True)]))
-            held.append((toks, starts, keep, len(text)))
-        out = []
-        for labels, h in zip(self.crf.viterbi(emissions), held, strict=True):
-            found: list[list[int]] = []
-            if h is not None and labels.any():
-                toks, starts, keep, _ = h
-                for i in np.flatnonzero(labels != O).tolist():
-                    lo, hi = starts[i], starts[i] + len(toks[i])
-                    if labels[i] != B and found and found[-1][1] == lo:
-                        found[-1][1] = hi
-                    else:
-                        found.append([lo, hi])
-                if keep is not None:
-                    found = [x for lo, hi in found for x in broken(keep[lo:hi])]
-            out.append([(lo, hi) for lo, hi in found])
-        return out
+            toks, starts, flags, away = self.lexer.look(joined(text)[0])
+            key = (away, tuple(flags) if flags else None, tuple([known[t] if t in known else self.kind(t) for t in toks]))
+            read[text] = (toks, key)
+            if key not in self.labels and key not in new:
+                new[key] = np.array([self.emission(t, c) for t, c in zip(toks, self.lexer.context(toks, flags, away), strict=True)])
+        decoded = {key: lab.astype(np.int8).tobytes() if lab.any() else b"" for key, lab in zip(new, self.crf.viterbi(list(new.values())), strict=True)}
+        done: dict[str, list[tuple[int, int]]] = {}
+        for text, (toks, key) in read.items():
+            labels = decoded[key] if key in decoded else self.labels[key]
+            if labels:
+                done[text] = self.found(text, toks, np.frombuffer(labels, np.int8))
+        self.labels.update({key: lab for key, lab in decoded.items() if len(key[2]) <= 256})
+        return [done.get(t, []) for t in texts]
+
+    def found(self, text: str, toks: list[str], labels: np.ndarray) -> list[tuple[int, int]]:
+        starts, keep, spans = token_starts(toks), joined(text)[1], []
+        for i in np.flatnonzero(labels != O).tolist():
+            lo, hi = starts[i], starts[i] + len(toks[i])
+            if labels[i] != B and spans and spans[-1][1] == lo:
+                spans[-1][1] = hi
+            else:
+                spans.append([lo, hi])
+        if keep is not None:
+            spans = [x for lo, hi in spans for x in broken(keep[lo:hi])]
+        return [(lo, hi) for lo, hi in spans]
 
 
 def broken(places: list[int]) -> list[list[int]]:

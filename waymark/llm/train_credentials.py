@@ -11,7 +11,7 @@ import random
 import sys
 from collections.abc import Callable
 
-from waymark.llm.credentials import WEIGHTS, Lexer, context_features, joined, own_features
+from waymark.llm.credentials import WEIGHTS, Lexer, context_features, joined, own_features, token_starts
 from waymark.llm.crf import B, Crf, I, O, train
 
 SECRET_KEYS = (
@@ -282,7 +282,8 @@ def example(marked: str, lexer: Lexer) -> tuple[list[list[str]], list[int]]:
     flat, keep = joined(text)
     if keep is not None:
         mask = [mask[i] for i in keep]
-    toks, starts, ctx = lexer.lex(flat)
+    toks, _, flags, away = lexer.look(flat)
+    starts, ctx = token_starts(toks), lexer.context(toks, flags, away)
     labels, last = [], O
     for t, s in zip(toks, starts, strict=True):
         on = mask[s] or mask[s + len(t) - 1]
