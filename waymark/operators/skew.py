@@ -74,20 +74,18 @@ def eager_join_sum(left: DataFrame, right: DataFrame, key: str, value: Column) -
 def hot_keys(states: list[tuple[str, DataFrame]], one_in: int = 50) -> DataFrame:
     """Keys holding more than 1/one_in of all rows of their table: (field, hot_key).
 
-    ``states`` are named count states. The table sizes are rolled up from the same states and joined back by
-    field name; that side has one row per named table, so it is broadcast whatever the data's size. Rows with
-    a null key belong to the table, so each state table carries them under ``null_rows`` via a null key row.
+    The rows of a key are held against the rows of its table, a join of the named tables with themselves by
+    field, of which only the pre-aggregated states are joined: one row per key on the left, rolled up to one row
+    per field on the right (that side has one row per named table, so it is broadcast whatever the data's size).
+    Rows with a null key belong to the table, so state tables keep them under a null key.
     """
     tagged = None
     for name, st in states:
-        part = st.select(F.lit(name).alias("field"), "key", "n_rows")
+        part = st.select(F.lit(name).alias("key"), F.col("key").alias("hot_key"), "n_rows")
         tagged = part if tagged is None else tagged.unionByName(part)
-    totals = tagged.groupBy("field").agg(F.sum("n_rows").alias("total"))
-    return (
-        tagged.join(F.broadcast(totals), "field")
-        .filter(F.col("key").isNotNull() & (F.col("n_rows") * one_in > F.col("total")))
-        .select("field", F.col("key").alias("hot_key"))
-    )
+    totals = tagged.groupBy("key").agg(F.sum("n_rows").alias("n_rows"))
+    share = joined_states(tagged, F.broadcast(totals))
+    return share.filter(F.col("l_hot_key").isNotNull() & (F.col("l_n_rows") * one_in > F.col("r_n_rows"))).select(F.col("key").alias("field"), F.col("l_hot_key").alias("hot_key"))
 
 
 def table_states(df: DataFrame, key: str) -> DataFrame:
