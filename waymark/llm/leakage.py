@@ -3,21 +3,21 @@
 Words are runs of letters and digits after decoding HTML entities, dropping tags, lower-casing and removing
 accents. Each word becomes a template token: numbers, names and units give way to typed placeholders, other
 words stay. Every run of WINDOW template tokens of a document is hashed and joined by hash with the windows
-of the evaluation items. A joined pair is then held against its slots, the words behind the placeholders:
+of the evaluation items. What stands behind the placeholders, the slots, then decides on the pair:
 
-* equal slots and equal words: the document repeats the item word for word (``verbatim``);
-* another filling that renames consistently (equal slots stay equal, different ones stay different):
-  the document repeats a re-parameterised form of the item (``template_matches``).
-
-A consistent renaming means that both windows number their slots by first occurrence alike, so that check is
-an equality too and the join emits no pair it has to drop.
+* slots with equal words: the document repeats the item word for word (``verbatim``);
+* slots that rename consistently (equal slots stay equal, different ones stay different): the document repeats
+  a re-parameterised form of the item (``template_matches``); both windows then number their slots alike.
 
 Names are words the evaluation items write with a capital inside a sentence. The verbatim join uses only this
 lexicon, so a document in capitals or without accents gets the same template as the item; the template join
 also takes capitalised words inside a sentence of the document for names.
 
-The evaluation set is taken in blocks of at most BLOCK_CHARS characters. A block's lexicon and window hashes
-(at most 8 bytes a window) go to the executors; each block passes once over the documents.
+The documents are read once, whatever the number of items. The lexicon and the items' window hashes go to the
+executors as bit filters of at most MAX_BITS bits each (16 MB): a word that the first takes for a name by
+chance is one on both sides, and the slots decide; a window that the second lets pass by chance finds nothing
+in the join. Items that share a window form a class (a fingerprint of the set), so the join has one row per
+window, and only the documents' classes are spread to items.
 
 Defined results: null, empty or short texts have no windows; repeated documents are reported each; items that
 share a passage are all reported; a text with fewer than WINDOW words leaks nothing; empty tables give no rows.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 12
-BLOCK_CHARS = 4_000_000
+MAX_BITS = 1 << 27
 
 UNITS = frozenset(
     "mm cm m km g kg mg t l ml s min h kb mb gb inch inches foot feet yard yards mile miles metre metres meter meters"
@@ -88,10 +88,48 @@ def cased_words(text: str | None) -> list[tuple[str, bool]]:
     return out
 
 
+class Bits:
+    """A bit filter of hashes: two bits each."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    @staticmethod
+    def places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        h = hashes.astype(np.uint64, copy=False)
+        return h & np.uint64(size - 1), (h >> np.uint64(29)) * np.uint64(0x9E3779B1) >> np.uint64(5) & np.uint64(size - 1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        a, b = self.places(hashes, len(self.words) * 64)
+        six, low = np.uint64(6), np.uint64(63)
+        return ((self.words[a >> six] >> (a & low)) & (self.words[b >> six] >> (b & low)) & np.uint64(1)).astype(bool)
+
+
+def collected(df: DataFrame, size: int, hashes) -> Bits:  # noqa: ANN001
+    """The filter of all hashes that ``hashes`` (batch of pandas rows -> array) gives: set words are merged per task, then by bit_or."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = np.zeros(size // 64, np.uint64)
+        for b in batches:
+            for p in Bits.places(hashes(b), size):
+                np.bitwise_or.at(words, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
+        on = np.flatnonzero(words)
+        yield pd.DataFrame({"at": on.astype(np.int64), "bits": words[on].view(np.int64)})
+
+    rows = df.mapInPandas(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most size / 64 rows
+    words = np.zeros(size // 64, np.uint64)
+    words[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return Bits(words)
+
+
+def word_hash(w: str) -> int:
+    return xxhash.xxh64_intdigest(w)
+
+
 class Templates:
     """Turns words into template windows."""
 
-    def __init__(self, names: set[str], window: int = WINDOW) -> None:
+    def __init__(self, names: Bits, window: int = WINDOW) -> None:
         self.names, self.window = names, window
         self.tokens: dict[str, tuple[int, str]] = {}
         self.power = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(window)], np.uint64)
@@ -99,18 +137,18 @@ class Templates:
     def token(self, word: str, name: bool) -> tuple[int, str]:
         """(hash of the template token, slot type or '')."""
         if name:
-            return xxhash.xxh64_intdigest("\0name"), "n"
+            return TYPED["n"], "n"
         got = self.tokens.get(word)
         if got is None:
-            kind = "d" if word.isdigit() else "n" if word in self.names else "u" if word in UNITS else ""
-            typed = {"d": "\0number", "n": "\0name", "u": "\0unit"}.get(kind, word)
+            h = word_hash(word)
+            kind = "d" if word.isdigit() else "u" if word in UNITS else "n" if self.names.has(np.array([h], np.uint64))[0] else ""
             if len(self.tokens) > 1 << 18:
                 self.tokens.clear()
-            got = self.tokens[word] = (xxhash.xxh64_intdigest(typed), kind)
+            got = self.tokens[word] = (TYPED.get(kind, h), kind)
         return got
 
-    def windows(self, words: list[str], flags: list[bool] | None = None) -> tuple[np.ndarray, list[str]]:
-        """Hash of each window's template, and the slot type of each word."""
+    def windows(self, words: list[str], flags: list[bool] | None = None) -> tuple[np.ndarray, list[tuple[int, str]]]:
+        """Hash of each window's template, and the token of each word."""
         if len(words) < self.window:
             return np.zeros(0, np.int64), []
         toks = [self.token(w, bool(flags and flags[k])) for k, w in enumerate(words)]
@@ -119,95 +157,86 @@ class Templates:
         acc = np.zeros(n, np.uint64)
         for j in range(self.window):
             acc += (h[j : j + n] ^ (h[j : j + n] >> np.uint64(29))) * self.power[j]
-        return acc.view(np.int64), [t[1] for t in toks]
-
-    def filling(self, words: list[str], kinds: list[str], at: int) -> str:
-        """The window's slots numbered by first occurrence."""
+        return acc.view(np.int64), toks
+
+    def row(self, words: list[str], toks: list[tuple[int, str]], at: int, renamed: bool) -> tuple[int, str]:
+        """(a second hash of the template, its slots): the words in them, or their numbers by first occurrence."""
+        part = list(zip(words[at : at + self.window], toks[at : at + self.window], strict=True))
+        second = xxhash.xxh64_intdigest(" ".join(f"<{k}>" if k else w for w, (_, k) in part), 1) - (1 << 63)
+        if not renamed:
+            return second, " ".join(w for w, (_, k) in part if k)
         seen: dict[str, int] = {}
-        return ",".join(f"{k}{seen.setdefault(w, len(seen))}" for w, k in zip(words[at : at + self.window], kinds[at : at + self.window], strict=True) if k)
+        return second, ",".join(f"{k}{seen.setdefault(w, len(seen))}" for w, (_, k) in part if k)
+
 
+TYPED = {k: word_hash("\0" + name) for k, name in (("d", "number"), ("n", "name"), ("u", "unit"))}
 
-def item_blocks(items: DataFrame, text: str, block_chars: int) -> list[DataFrame]:
-    chars = items.agg(F.sum(F.length(text)).alias("c")).first()["c"] or 0
-    n = max(1, -(-chars // block_chars))
-    return [items if n == 1 else items.filter(F.pmod(F.hash(*items.columns), F.lit(n)) == k) for k in range(n)]
 
+def read_words(text: str | None, cased: bool) -> tuple[list[str], list[bool] | None]:
+    if not cased:
+        return norm_words(text), None
+    pairs = cased_words(text)
+    return [w for w, _ in pairs], [f for _, f in pairs]
 
-def lexicon(items: list[str]) -> set[str]:
-    return {w for t in items for w, inner in cased_words(t) if inner and not w.isdigit()}
 
+def name_hashes(b: pd.DataFrame) -> np.ndarray:
+    return np.array([word_hash(w) for w in {w for t in b["text"] if isinstance(t, str) for w, inner in cased_words(t) if inner and not w.isdigit()}], np.uint64)
 
-def _windows(df: DataFrame, id_col: str, text_col: str, names: set[str], wanted: np.ndarray | None, cased: bool, window: int) -> DataFrame:
-    """(id, tmpl, filling, words) of all windows, or of those whose template hash is wanted."""
-    sc = df.sparkSession.sparkContext
-    shared = sc.broadcast((names, wanted))
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("tmpl", T.LongType()), T.StructField("filling", T.StringType()), T.StructField("words", T.StringType())])
+
+def _windows(df: DataFrame, id_col: str, names: Bits, wanted: Bits | None, cased: bool, window: int) -> DataFrame:
+    """(id, tmpl, second, slots) of all windows, or of those the filter of wanted templates lets pass."""
+    shared = df.sparkSession.sparkContext.broadcast((names, wanted))
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T._parse_datatype_string("tmpl long, second long, slots string").fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, wanted = shared.value
         make = Templates(names, window)
         for b in batches:
             out: list[tuple] = []
-            for i, text in zip(b[id_col].tolist(), b[text_col].tolist(), strict=True):
-                if cased:
-                    pairs = cased_words(text)
-                    words, flags = [w for w, _ in pairs], [f for _, f in pairs]
-                else:
-                    words, flags = norm_words(text), None
+            for i, text in zip(b[id_col].tolist(), b["text"].tolist(), strict=True):
+                words, flags = read_words(text if isinstance(text, str) else None, cased)
                 if len(words) < window:
                     continue
-                h, kinds = make.windows(words, flags)
-                if wanted is None:
-                    hits = range(len(h))
-                else:
-                    pos = np.searchsorted(wanted, h)
-                    pos[pos == len(wanted)] = 0
-                    hits = np.flatnonzero(wanted[pos] == h).tolist() if len(wanted) else []
-                out.extend((i, int(h[k]), make.filling(words, kinds, k), " ".join(words[k : k + window])) for k in hits)
-            yield pd.DataFrame(out, columns=[id_col, "tmpl", "filling", "words"])
-
-    return df.select(id_col, text_col).mapInPandas(run, schema)
-
-
-def _joined(docs: DataFrame, items: DataFrame, cased: bool, window: int, block_chars: int, join) -> DataFrame:
-    out = None
-    for block in item_blocks(items.select("item_id", "text"), "text", block_chars):
-        texts = [r["text"] for r in block.select("text").distinct().collect() if r["text"]]  # at most block_chars characters
-        names = lexicon(texts)
-        make = Templates(names, window)
-        hashes = []
-        for t in texts:
-            pairs = cased_words(t) if cased else [(w, False) for w in norm_words(t)]
-            hashes.append(make.windows([w for w, _ in pairs], [f for _, f in pairs])[0])
-        wanted = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.int64)
-        ours = _windows(block, "item_id", "text", names, None, cased, window)
-        theirs = _windows(docs, "doc_id", "text", names, wanted, cased, window)
-        part = join(theirs, ours)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def verbatim(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                h, toks = make.windows(words, flags)
+                hits = range(len(h)) if wanted is None else np.flatnonzero(wanted.has(h.view(np.uint64))).tolist()
+                out.extend((i, int(h[k]), *make.row(words, toks, k, cased)) for k in hits)
+            yield pd.DataFrame(out, columns=[id_col, "tmpl", "second", "slots"])
+
+    return df.select(id_col, "text").mapInPandas(run, schema)
+
+
+def _matches(docs: DataFrame, items: DataFrame, cased: bool, window: int, max_bits: int) -> DataFrame:
+    """(doc_id, item_id, windows): pairs sharing windows of equal template and slots, and their number."""
+    items = items.select("item_id", "text").filter("text IS NOT NULL")
+    chars = items.agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0
+    size = min(max_bits, 1 << max(10, (8 * chars).bit_length()))
+    names = collected(items, size, name_hashes)
+    shared = items.sparkSession.sparkContext.broadcast(names)
+
+    def window_hashes(b: pd.DataFrame) -> np.ndarray:
+        make = Templates(shared.value, window)
+        return np.concatenate([np.zeros(0, np.uint64), *(make.windows(*read_words(t, cased))[0].view(np.uint64) for t in b["text"])])
+
+    wanted = collected(items, size, window_hashes)
+    key = ["tmpl", "second", "slots"]
+    ours = _windows(items, "item_id", names, None, cased, window).distinct()
+    salted = F.xxhash64("item_id", F.lit("again"))
+    classes = ours.groupBy(*key).agg(F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("item_id")), F.bit_xor(salted)).alias("class"))
+    members = ours.join(classes, key).select("class", "item_id").distinct()
+    theirs = _windows(docs, "doc_id", names, wanted, cased, window).distinct()
+    found = theirs.join(classes, key).groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(members, "class").groupBy("doc_id", "item_id").agg(F.sum("n").alias("windows"))
+
+
+def verbatim(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, item_id, windows): documents sharing at least ``window`` consecutive words with an item."""
+    return _matches(docs, items, False, window, max_bits)
 
-    def join(theirs: DataFrame, ours: DataFrame) -> DataFrame:
-        a = theirs.select("doc_id", "tmpl", "words").distinct()
-        b = ours.select("item_id", "tmpl", "words").distinct()
-        return a.join(b, ["tmpl", "words"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"))
-
-    return _joined(docs, items, False, window, block_chars, join)
 
-
-def template_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def template_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, item_id, templates): documents with windows that rename a window of the item consistently.
 
     ``templates`` counts the distinct windows of the item (template and slot pattern) found in the document,
     word-for-word ones included. Items that share a passage are all reported.
     """
-
-    def join(theirs: DataFrame, ours: DataFrame) -> DataFrame:
-        a = theirs.select("doc_id", "tmpl", "filling").distinct()
-        b = ours.select("item_id", "tmpl", "filling").distinct()
-        return a.join(b, ["tmpl", "filling"])
-
-    return _joined(docs, items, True, window, block_chars, join).groupBy("doc_id", "item_id").agg(F.count_distinct("tmpl", "filling").alias("templates"))
+    return _matches(docs, items, True, window, max_bits).withColumnRenamed("windows", "templates")
