@@ -1,12 +1,14 @@
 """Single operators on small inputs: nulls, ties, repeated rows, empty tables, random models."""
 
 import random
+import re
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import paths
+from tests.outlines import FIXTURES
 from waymark.operators import caps, extract, file_refs, manifest, quality, resolve, skew, symbols
 from waymark.operators import context as C
 from waymark.operators import search as S
@@ -229,6 +231,24 @@ def test_symbols_skip_comments_and_strings(spark):
     assert got == {("a.ts", "variable", "s"), ("a.ts", "class", "Yes"), ("b.py", "function", "f"), ("b.py", "class", "Late")}
 
 
+@pytest.mark.parametrize("lang", sorted(FIXTURES))
+def test_outlines(spark, lang):
+    text, want, refs = FIXTURES[lang]
+    f = spark.createDataFrame([(f"a/b.{lang}", text), (f"a/c.{lang}", ""), (f"a/d.{lang}", None), (None, text), (f"a/e.{lang}", text[: len(text) // 2])], "path string, text string")
+    got = symbols.parsed(f).filter(f"path = 'a/b.{lang}'").collect()
+    at = lambda ref: sorted(f"{r['kind']}:{r['name']}@{r['line']}:{r['col']}" for r in got if r["is_ref"] == ref)
+    assert at(False) == sorted(re.split(r" (?=\w+:)", want))
+    assert at(True) == sorted(refs.split())
+    assert {r["lang"] for r in got} == {lang} and {r["source"] for r in got} == {"tree_sitter"}
+
+
+def test_syntax_references(spark):
+    f = spark.createDataFrame([("a.ts", FIXTURES["ts"][0]), ("b.py", "def f(:\n  pass\nclass Late:\n  pass\n")], "path string, text string")
+    got = {(r["ref_kind"], r["to_kind"], r["to_name"], r["confidence"]) for r in symbols.syntax_refs(f).collect()}
+    assert got == {("call", "callable", "check", "syntax"), ("export", "export", "make", "syntax")}
+    assert {r["source"] for r in symbols.symbols(f).filter("path = 'b.py'").collect()} == {"line_rules"}
+
+
 def test_command_grammar():
     assert ops.parse_command(["refs", "x", "y"]) == ("refs", "x y")
     assert ops.parse_command(["doctor"]) == ("doctor", "")

@@ -1,8 +1,9 @@
-"""Parsed symbols and call references of source texts.
+"""Parsed symbols and references of source texts.
 
-Python is parsed with the standard library's grammar; texts it cannot parse, and the other languages, go
-through line patterns that skip comments and strings. The extractor of a language is looked up by extension,
-so another one can be put in its place. Columns are 1-based byte offsets, texts the trimmed line cut at 120.
+Python is parsed with the standard library's grammar, seventeen other language ids by the token grammars of
+``outline``. The extractor of a language id is looked up by extension, so another one can be put in its place.
+A Python text that does not parse goes through line patterns; its rows carry the source ``line_rules`` and are
+never promoted to parsed ones. Columns are 1-based byte offsets, texts the trimmed line cut at 120.
 """
 
 from __future__ import annotations
@@ -10,120 +11,36 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.outline import LANGUAGES, REFERENCE_KINDS, REFERENCE_TARGETS, outline
+
 SCHEMA = "path string, line int, col int, lang string, kind string, name string, text string, source string, is_ref boolean"
 
-LINE_RULES = {
-    "js": (
-        ("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)"),
-        ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"),
-        ("constant", r"^(?:export\s+)?const\s+([A-Z][A-Z0-9_]*)\s*[=:]"),
-        ("variable", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)"),
-        ("method", r"^\s+(?:public |private |protected |static |async |get |set )*([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*(?::[^{;]+)?\{\s*$"),
-        ("import", r"^\s*(?:import|export)\b.*?from\s*(['\"][^'\"]+['\"])"),
-        ("import", r"^\s*import\s*(['\"][^'\"]+['\"])"),
-    ),
-    "ts": (
-        ("interface", r"^\s*(?:export\s+)?(?:declare\s+)?interface\s+([A-Za-z_$][\w$]*)"),
-        ("type", r"^\s*(?:export\s+)?(?:declare\s+)?type\s+([A-Za-z_$][\w$]*)"),
-        ("enum", r"^\s*(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)"),
-    ),
-    "go": (
-        ("method", r"^func\s+\([^)]*\)\s*([A-Za-z_]\w*)"),
-        ("function", r"^func\s+([A-Za-z_]\w*)"),
-        ("struct", r"^type\s+([A-Za-z_]\w*)\s+struct\b"),
-        ("interface", r"^type\s+([A-Za-z_]\w*)\s+interface\b"),
-        ("type", r"^type\s+([A-Za-z_]\w*)"),
-        ("constant", r"^const\s+([A-Za-z_]\w*)"),
-        ("variable", r"^var\s+([A-Za-z_]\w*)"),
-        ("import", r"^import\s+(?:[A-Za-z_.]\w*\s+)?(\"[^\"]+\")"),
-        ("import", r"^\s+(?:[A-Za-z_.]\w*\s+)?(\"[^\"]+\")\s*$"),
-    ),
-    "rs": (
-        ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+([A-Za-z_]\w*)"),
-        ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)"),
-        ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+([A-Za-z_]\w*)"),
-        ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+([A-Za-z_]\w*)"),
-        ("type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+([A-Za-z_]\w*)"),
-        ("module", r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+([A-Za-z_]\w*)"),
-        ("constant", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?([A-Za-z_]\w*)"),
-    ),
-    "java": (
-        ("class", r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*class\s+([A-Za-z_]\w*)"),
-        ("interface", r"^\s*(?:(?:public|private|protected|static|sealed)\s+)*interface\s+([A-Za-z_]\w*)"),
-        ("enum", r"^\s*(?:(?:public|private|protected|static)\s+)*enum\s+([A-Za-z_]\w*)"),
-        ("constant", r"^\s*(?:(?:public|private|protected)\s+)?static\s+final\s+[\w<>\[\], ]+\s([A-Z][A-Z0-9_]*)\s*="),
-        ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*[\w<>\[\],.]+\s+([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:throws [\w, .]+)?\{"),
-        ("import", r"^import\s+((?:static\s+)?[\w.*]+)\s*;"),
-    ),
-}
-"""Patterns of definitions by extension; the first that matches a line gives its record (fixed values)."""
-LINE_RULES["ts"] = LINE_RULES["ts"] + LINE_RULES["js"]
-for _e in ("jsx", "mjs", "cjs"):
-    LINE_RULES[_e] = LINE_RULES["js"]
-LINE_RULES["tsx"] = LINE_RULES["ts"]
-COMPILED = {e: [(k, re.compile(p)) for k, p in rules] for e, rules in LINE_RULES.items()}
-NOT_NAMES = frozenset("if for while switch catch return function new else do try constructor super".split())
-CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(|\.([A-Za-z_$][\w$]*)\s*\(")
-QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|//.*$")
-DEFINES = re.compile(r"\b(?:function|func|fn|class|def|interface|struct|enum|trait|type|new)\s*$")
+PARSED, GUESSED = "tree_sitter", "line_rules"
+"""Sources of rows of a parser (the label snapshots use for it) and of line patterns."""
+PY_FALLBACK = [("class", re.compile(r"^\s*class\s+([A-Za-z_]\w*)")), ("function", re.compile(r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)")), ("import", re.compile(r"^\s*from\s+([\w.]+)\s+import\b")), ("import", re.compile(r"^\s*import\s+([\w.]+)"))]
+"""Patterns of definitions in Python texts that do not parse; the first that matches a line gives its record."""
+QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|#.*$")
 
 Row = tuple[int, int, str, str, bool]
 """line, byte column, kind, name, is a reference."""
 
 
-class ByteColumns:
-    """1-based byte columns of rising character positions of one line; each part of the line is encoded once."""
-
-    def __init__(self, line: str) -> None:
-        self.line, self.at, self.bytes, self.plain = line, 0, 0, line.isascii()
-
-    def __call__(self, k: int) -> int:
-        if self.plain:
-            return k + 1
-        if k < self.at:
-            self.at = self.bytes = 0
-        self.bytes += len(self.line[self.at : k].encode("utf-8"))
-        self.at = k
-        return self.bytes + 1
-
-
-def blank(m: re.Match) -> str:
-    return " " * len(m.group())
-
-
-def by_lines(text: str, ext: str) -> list[Row]:
+def by_lines(text: str) -> list[Row]:
     out: list[Row] = []
-    comment = False
     for n, line in enumerate((ln.rstrip("\r") for ln in text.split("\n")), 1):
-        code = line
-        if comment:
-            end = code.find("*/")
-            if end < 0:
-                continue
-            code, comment = " " * (end + 2) + code[end + 2 :], False
-        kept = code
-        code = QUOTED.sub(blank, code)
-        start = code.find("/*")
-        if start >= 0:
-            comment = code.find("*/", start) < 0
-            code = code[:start] if comment else code[:start] + re.sub(r"/\*.*?\*/", blank, code[start:])
-        own, byte_at = None, ByteColumns(line)
-        for kind, rx in COMPILED[ext]:
-            m = rx.match(kept if kind == "import" else code)
-            if m and m.group(1) not in NOT_NAMES:
-                own = m.span(1)
-                out.append((n, byte_at(own[0]), kind, m.group(1), False))
+        code = QUOTED.sub(lambda m: " " * len(m.group()), line)
+        for kind, rx in PY_FALLBACK:
+            m = rx.match(code)
+            if m:
+                out.append((n, len(line[: m.start(1)].encode("utf-8")) + 1, kind, m.group(1), False))
                 break
-        for m in CALL.finditer(code):
-            g = 1 if m.group(1) else 2
-            if m.span(g) != own and m.group(g) not in NOT_NAMES and not DEFINES.search(code[max(0, m.start(g) - 24) : m.start(g)]):
-                out.append((n, byte_at(m.start(g)), "call", m.group(g), True))
     return out
 
 
@@ -145,53 +62,63 @@ def by_python(text: str) -> list[Row]:
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             out.append((*name_at(node, node.name, b"def"), "function", node.name, False))
         elif isinstance(node, ast.Import):
-            out += [(a.lineno, a.col_offset + 1, "import", a.name, False) for a in node.names]
+            out += [(a.lineno, a.col_offset + 1, "import", a.name, False) for a in node.names if a.asname is None]
         elif isinstance(node, ast.ImportFrom):
-            module = "." * node.level + (node.module or "")
-            at = raw[node.lineno - 1].find(module.encode(), node.col_offset + 4)
-            out.append((node.lineno, max(at, node.col_offset) + 1, "import", module, False))
+            at = raw[node.lineno - 1].find((node.module or "").encode(), node.col_offset + 4)
+            if not node.level and at >= 0:
+                out.append((node.lineno, at + 1, "import", node.module, False))
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+            out += [(t.lineno, t.col_offset + 1, "variable", t.id, False) for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) if isinstance(t, ast.Name)]
         elif isinstance(node, ast.Call):
             f = node.func
             if isinstance(f, ast.Name):
                 out.append((f.lineno, f.col_offset + 1, "call", f.id, True))
             elif isinstance(f, ast.Attribute):
                 out.append((f.end_lineno, f.end_col_offset - len(f.attr.encode()) + 1, "call", f.attr, True))
-    for node in tree.body:
-        for t in node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []:
-            if isinstance(t, ast.Name):
-                out.append((t.lineno, t.col_offset + 1, "variable", t.id, False))
     return out
 
 
-PY_FALLBACK = [("class", re.compile(r"^\s*class\s+([A-Za-z_]\w*)")), ("function", re.compile(r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)")), ("import", re.compile(r"^\s*from\s+(\.*[\w.]*)\s+import\b")), ("import", re.compile(r"^\s*import\s+([\w.]+)"))]
-COMPILED["_py"] = PY_FALLBACK
+def python(text: str) -> list[Row]:
+    return by_python(text)
 
 
-def python(text: str) -> list[Row]:
-    try:
-        return by_python(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return by_lines(text, "_py")
+def outlined(lang: str) -> Callable[[str], list[Row]]:
+    def run(text: str) -> list[Row]:
+        starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        out, plain = [], text.isascii()
+        for at, kind, name, ref in outline(text, lang):
+            line = bisect_right(starts, at)
+            own = starts[line - 1]
+            out.append((line, (at - own if plain else len(text[own:at].encode("utf-8"))) + 1, kind, name, ref))
+        return out
+
+    return run
 
 
-EXTRACTORS: dict[str, Callable[[str], list[Row]]] = {"py": python} | {e: (lambda text, e=e: by_lines(text, e)) for e in LINE_RULES}
+EXTRACTORS: dict[str, Callable[[str], list[Row]]] = {"py": python} | {e: outlined(lang) for e, lang in LANGUAGES.items() if e != "py"}
+LANG_IDS = dict(LANGUAGES)
+"""Language id of records by extension."""
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Records and call references of ``files(path, text)``; SCHEMA. No shuffle."""
+    """Records and references of ``files(path, text)``; SCHEMA. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ext = path.rpartition(".")[2].lower() if path and "." in path else ""
-                make = EXTRACTORS.get(ext)
+                ext = path.rpartition("/")[2].rpartition(".")[2].lower() if path and "." in path else ""
+                make, source = EXTRACTORS.get(ext), PARSED
                 if not text or make is None:
                     continue
+                try:
+                    found = make(text)
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    found, source = (by_lines(text) if ext == "py" else []), GUESSED
                 lines = text.split("\n")
-                for line, col, kind, name, ref in sorted(set(make(text))):
+                for line, col, kind, name, ref in sorted(set(found)):
                     shown = lines[line - 1].strip() if line <= len(lines) else ""
-                    rows.append((path, line, col, ext, kind, name, shown if len(shown) <= 120 else shown[:119] + "…", "tree_sitter", ref))
+                    rows.append((path, line, col, LANG_IDS.get(ext, ext), kind, name, shown if len(shown) <= 120 else shown[:119] + "…", source, ref))
             cols = list(zip(*rows, strict=True)) or [()] * 9
             types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["path", "line", "col", "lang", "kind", "name", "text", "source", "is_ref"])
@@ -203,8 +130,10 @@ def symbols(files: DataFrame) -> DataFrame:
     return parsed(files).filter(~F.col("is_ref")).drop("is_ref")
 
 
-def call_refs(files: DataFrame) -> DataFrame:
+def syntax_refs(files: DataFrame) -> DataFrame:
+    """Calls and exports of parsed texts, with the kind of what they point at."""
     from waymark.operators.extract import as_refs
 
-    r = parsed(files).filter("is_ref").select("path", F.col("line").alias("line_no"), "col", "name", "text")
-    return as_refs(r, F.lit("call"), F.lit(None).cast("string"), F.col("text"), "tree_sitter")
+    r = parsed(files).filter("is_ref").select("path", F.col("line").alias("line_no"), "col", F.trim(F.translate("name", "\"'`", "")).alias("name"), "text", "kind")
+    pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("kind")]
+    return as_refs(r, F.coalesce(pairs(REFERENCE_KINDS), F.col("kind")), pairs(REFERENCE_TARGETS), F.col("text"), PARSED)

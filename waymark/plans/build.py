@@ -40,7 +40,7 @@ def file_refs_of(texts: DataFrame, deps: DataFrame, files: DataFrame) -> DataFra
 
 def refs_of(texts: DataFrame, records: DataFrame, deps: DataFrame) -> DataFrame:
     """All references, one per (place, name, kind); caps are applied on reading."""
-    scanned = symbols.call_refs(texts).unionByName(extract.line_imports(texts)).unionByName(extract.text_references(texts, records)).unionByName(extract.structured_refs(texts))
+    scanned = symbols.syntax_refs(texts).unionByName(extract.line_imports(texts)).unionByName(extract.text_references(texts, records)).unionByName(extract.structured_refs(texts))
     every = extract.enrich(scanned, records).unionByName(extract.refs_from_dependencies(deps, records))
     return caps.keep_first(every, ["from_path", "from_line", "from_col", "to_name", "ref_kind"], ["source", "to_kind", "confidence", "reason", "evidence"])
 

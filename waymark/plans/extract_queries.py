@@ -71,7 +71,7 @@ def register(reg: Registry) -> None:
     reg.query("config_keys")(lambda spark, d: X.line_landmarks(texts(spark, d)).filter(F.col("lang").isin("toml", "yaml", "yml")))
     reg.query("line_landmarks")(lambda spark, d: X.line_landmarks(texts(spark, d)))
     reg.query("parsed_symbols")(lambda spark, d: symbols.symbols(texts(spark, d)))
-    reg.query("call_references")(lambda spark, d: symbols.call_refs(texts(spark, d)))
+    reg.query("call_references")(lambda spark, d: symbols.syntax_refs(texts(spark, d)))
     reg.query("line_imports")(lambda spark, d: X.line_imports(texts(spark, d)))
 
     py_sql = f"""WITH {LINES}, p AS (SELECT path, line_no, line, regexp_extract(line, '^(\\s*from .*? import |\\s*import )', 1) AS head FROM lines WHERE lang = 'py'),
