@@ -180,7 +180,7 @@ def test_build_from_a_directory(spark, tmp_path):
     (root / "bin.py").write_bytes(b"\x00\x01")
     assert build.build_index(spark, str(root), out)["built"]
     tables = store.read_snapshot(spark, out)
-    assert {r["path"] for r in tables["files"].collect()} == {*TREE, "keep.log", "bin.py"}
+    assert {r["path"] for r in tables["files"].collect()} == {*TREE, "keep.log", "bin.py", ".gitignore"}
     assert not build.build_index(spark, str(root), out)["built"]
     t = C.Tables(tables["records"], tables["refs"], tables["dependencies"], tables["file_references"])
     assert C.refs_of(t, "Alpha").count() > 0
@@ -194,6 +194,16 @@ def test_manifest_diff(spark):
     assert manifest.is_fresh(a, a) and not manifest.is_fresh(a, b)
 
 
+def test_walk_sees_hidden_and_empty_files(spark, tmp_path):
+    for name, text in {".github/workflows/ci.yml": "a: 1", ".env": "K=1", "_x/y z%20.py": "x = 1", "empty.py": "", ".git/info/exclude": "*.tmp\n", "a.tmp": "t", "d/e/f/g/h/deep.py": "y = 2", "d/.gitignore": "/e/f/no.py\n", "d/e/f/no.py": "", ".dev_index/z": "z", "b.log": "l"}.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    got = {r["path"]: r["text"] for r in tree.read_texts(spark, str(tmp_path), global_rules="*.log").collect()}
+    assert got == {".github/workflows/ci.yml": "a: 1", ".env": "K=1", "_x/y z%20.py": "x = 1", "empty.py": "", "d/e/f/g/h/deep.py": "y = 2", "d/.gitignore": "/e/f/no.py\n"}
+    assert {r["path"]: r["size"] for r in tree.walk(spark, str(tmp_path), global_rules="*.log").collect()} == {k: len(v) for k, v in got.items()}
+
+
 def test_ignore_rules_order_and_anchors():
     import re
 

@@ -1,15 +1,20 @@
 """Reading source trees: walk with ignore rules, size and binary policy, UTF-8 decoding, repository root.
 
-Directories are read with the binaryFile source, so sizes and times filter before any content is fetched and
-content is only read for files that are indexed. Ignore files are few and small; their rules are compiled on
-the driver into one pattern each and applied as filters.
+Folders are listed and files read through pyarrow's file systems, so a root may be a local folder or any URI they
+know; names that begin with a dot or an underscore and empty files are seen, which Spark's own file sources leave
+out. The driver lists only the uppermost folders; the rest is listed on the executors. Sizes and times filter
+before any content is read, and content is only read for files that are indexed. Ignore files are few and small;
+their rules are compiled on the driver into one pattern each and applied as filters.
 """
 
 from __future__ import annotations
 
 import re
-from pathlib import Path, PurePosixPath
+from collections.abc import Iterator
+from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,36 +97,97 @@ def always_ignored(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/", -1), F.array(*[F.lit(d) for d in IGNORE_DIRS]))
 
 
-def relative(path: Column, root: str) -> Column:
-    plain = F.regexp_replace(path, "^file:/+", "/")
-    return F.substring(plain, len(root.rstrip("/")) + 2, 1 << 30)
-
-
-def root_rules(root: str) -> list[tuple[str, bool]]:
-    """Rules of all ignore files below the root, outer ones first."""
-    base = Path(root)
-    found = sorted((p for name in IGNORE_FILES for p in base.rglob(name) if not set(p.relative_to(base).parts) & set(IGNORE_DIRS)), key=lambda p: (len(p.parts), IGNORE_FILES.index(p.name)))
-    return [r for p in found for r in ignore_rules(p.read_text(errors="replace"), "" if p.parent == base else str(PurePosixPath(p.parent.relative_to(base))))]
-
-
-def walk(spark: SparkSession, root: str, rules: list[tuple[str, bool]] | None = None) -> DataFrame:
-    """(path, mtime_ns, size) of the files below ``root`` that are not ignored; no content is read."""
-    rules = root_rules(root) if rules is None else rules
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    f = raw.select(relative(F.col("path"), root).alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"))
-    return f.filter(~always_ignored(F.col("path")) & ~ignored(F.col("path"), rules))
-
-
-def read_texts(spark: SparkSession, root: str, rules: list[tuple[str, bool]] | None = None) -> DataFrame:
-    """(path, mtime_ns, size, text): text is null for files too large, binary, or no valid UTF-8."""
-    rules = root_rules(root) if rules is None else rules
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    p = relative(F.col("path"), root)
-    kept = raw.withColumn("rel", p).filter(~always_ignored(F.col("rel")) & ~ignored(F.col("rel"), rules))
-    meta = [F.col("rel").alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size")]
-    small = kept.filter(F.col("length") <= MAX_BYTES).select(*meta, decoded(F.col("content")).alias("text"))
-    large = kept.filter(F.col("length") > MAX_BYTES).select(*meta, F.lit(None).cast("string").alias("text"))
-    return small.unionByName(large)
+def file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder or URI, and its path there."""
+    if "://" in root:
+        own, path = pafs.FileSystem.from_uri(root)
+        return own, path.rstrip("/")
+    return pafs.LocalFileSystem(), str(Path(root).resolve()).rstrip("/")
+
+
+FOLDERS, LEVELS = 256, 4
+"""The driver lists folders level by level until there are so many, or so deep."""
+LISTING = "path string, mtime_ns bigint, size bigint"
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime_ns, size) of every file below ``root`` but in folders that are never read."""
+    own, base = file_system(root)
+    skip = len(base) + 1
+    folders, files = [base], []
+    for _ in range(LEVELS):
+        if not 0 < len(folders) < FOLDERS:
+            break
+        found = [x for d in folders for x in own.get_file_info(pafs.FileSelector(d)) if x.base_name not in IGNORE_DIRS]
+        files += [(x.path[skip:], x.mtime_ns, x.size) for x in found if x.type == pafs.FileType.File]
+        folders = [x.path for x in found if x.type == pafs.FileType.Directory]
+    top = spark.createDataFrame(files, LISTING)
+    if not folders:
+        return top
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, _ = file_system(root)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                todo = [folder]
+                while todo:
+                    found = [x for x in here.get_file_info(pafs.FileSelector(todo.pop())) if x.base_name not in IGNORE_DIRS]
+                    todo += [x.path for x in found if x.type == pafs.FileType.Directory]
+                    rows = [x for x in found if x.type == pafs.FileType.File]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.path[skip:] for x in rows], pa.string()), pa.array([x.mtime_ns for x in rows], pa.int64()), pa.array([x.size for x in rows], pa.int64())], names=["path", "mtime_ns", "size"])
+
+    parts = min(len(folders), max(1, spark.sparkContext.defaultParallelism) * 4)
+    below = spark.createDataFrame([(d,) for d in folders], "folder string").repartition(parts).mapInArrow(run, LISTING)
+    return top.unionByName(below)
+
+
+def read_text(root: str, path: str) -> str | None:
+    """A small text file below the root, None if there is none."""
+    own, base = file_system(root)
+    full = f"{base}/{path}"
+    if own.get_file_info(full).type != pafs.FileType.File:
+        return None
+    with own.open_input_file(full) as f:
+        return f.read().decode("utf-8", "replace")
+
+
+def root_rules(files: DataFrame, root: str, global_rules: str = "") -> list[tuple[str, bool]]:
+    """Rules of a global text, of .git/info/exclude and of all ignore files below the root, outer ones first."""
+    found = [r["path"] for r in files.filter(F.substring_index("path", "/", -1).isin(*IGNORE_FILES)).select("path").collect()]  # ignore files are few
+    found.sort(key=lambda p: (p.count("/"), IGNORE_FILES.index(p.rpartition("/")[2]), p))
+    rules = ignore_rules(global_rules) + ignore_rules(read_text(root, ".git/info/exclude") or "")
+    return rules + [r for p in found for r in ignore_rules(read_text(root, p) or "", p.rpartition("/")[0])]
+
+
+def walk(spark: SparkSession, root: str, rules: list[tuple[str, bool]] | None = None, global_rules: str = "") -> DataFrame:
+    """(path, mtime_ns, size) of the files below ``root`` that are not ignored, hidden ones included; no content is read."""
+    every = listed(spark, root)
+    rules = root_rules(every, root, global_rules) if rules is None else rules
+    return every.filter(~always_ignored(F.col("path")) & ~ignored(F.col("path"), rules))
+
+
+def read_texts(spark: SparkSession, root: str, rules: list[tuple[str, bool]] | None = None, global_rules: str = "") -> DataFrame:
+    """(path, mtime_ns, size, text): text is null for files too large, binary, or no valid UTF-8.
+
+    Files are spread by path before they are read; one that vanishes meanwhile has no text.
+    """
+    _, base = file_system(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = file_system(root)
+        for b in batches:
+            for row in b.to_pylist():
+                content = None
+                if row["size"] <= MAX_BYTES:
+                    try:
+                        with own.open_input_file(f"{base}/{row['path']}") as f:
+                            content = f.read()
+                    except FileNotFoundError:
+                        content = None
+                yield pa.RecordBatch.from_pylist([row | {"content": content}], schema=pa.schema([("path", pa.string()), ("mtime_ns", pa.int64()), ("size", pa.int64()), ("content", pa.binary())]))
+
+    kept = walk(spark, root, rules, global_rules).repartition("path")
+    return kept.mapInArrow(run, LISTING + ", content binary").select("path", "mtime_ns", "size", decoded(F.col("content")).alias("text"))
 
 
 def decoded(content: Column) -> Column:

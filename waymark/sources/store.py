@@ -1,38 +1,56 @@
 """Snapshots of the six tables, the usage log, and benchmark and comparator inputs.
 
 A snapshot is written table by table under ``snapshot=N`` and becomes current when a small pointer file is
-renamed over the old one, so readers see all tables of one build or of the one before. Parquet statistics and
-column pruning do the work of the indexes; nothing is sorted on reading.
+moved over the old one, so readers see all tables of one build or of the one before. Tables are written in ranges
+of their canonical order and sorted within them, so row groups are pruned by path and name statistics. The pointer
+goes through pyarrow's file systems, so a snapshot may lie in any folder or URI that Spark writes to as well.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import tomllib
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources.files import file_system, read_text
+
 SCHEMA_VERSION = 12
 TABLES = ("files", "records", "refs", "dependencies", "file_references", "semantic_facts")
 
 
+ORDER = {
+    "files": ("path",),
+    "records": ("path", "line", "col", "kind", "name", "source"),
+    "refs": ("from_path", "from_line", "from_col", "to_name", "ref_kind", "source"),
+    "dependencies": ("from_path", "from_line", "from_col", "import_path", "dependency_kind", "lang", "source"),
+    "file_references": ("source_path", "source_line", "source_col", "raw_target", "reference_kind", "source"),
+    "semantic_facts": ("source_path", "source_line", "source_col", "kind", "symbol", "target_path"),
+}
+"""Canonical orders of the stored tables."""
+
+
 def pointer(root: str) -> dict | None:
-    p = Path(root, "CURRENT.json")
-    return json.loads(p.read_text()) if p.exists() else None
+    text = read_text(root, "CURRENT.json")
+    return json.loads(text) if text else None
+
+
+def set_pointer(root: str, value: dict) -> None:
+    own, base = file_system(root)
+    own.create_dir(base, recursive=True)
+    with own.open_output_stream(f"{base}/CURRENT.json.new") as f:
+        f.write(json.dumps(value).encode())
+    own.move(f"{base}/CURRENT.json.new", f"{base}/CURRENT.json")
 
 
 def write_snapshot(root: str, tables: dict[str, DataFrame], updated_at: int) -> int:
-    """Write all tables as the next snapshot and make it current."""
+    """Write all tables, sorted, as the next snapshot and make it current."""
     n = (pointer(root) or {"snapshot": 0})["snapshot"] + 1
     for name in TABLES:
-        tables[name].write.mode("overwrite").parquet(f"{root}/snapshot={n}/{name}")
-    Path(root).mkdir(parents=True, exist_ok=True)
-    new = Path(root, "CURRENT.json.new")
-    new.write_text(json.dumps({"snapshot": n, "schema_version": SCHEMA_VERSION, "updated_at": updated_at}))
-    os.replace(new, Path(root, "CURRENT.json"))
+        ordered = tables[name].repartitionByRange(*ORDER[name]).sortWithinPartitions(*ORDER[name])
+        ordered.write.mode("overwrite").parquet(f"{root}/snapshot={n}/{name}")
+    set_pointer(root, {"snapshot": n, "schema_version": SCHEMA_VERSION, "updated_at": updated_at})
     return n
 
 
