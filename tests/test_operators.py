@@ -259,6 +259,87 @@ def test_syntax_references(spark):
     assert {r["source"] for r in symbols.symbols(f).filter("path = 'b.py'").collect()} == {"line_rules"}
 
 
+def test_gate_plan_and_exports(spark, tmp_path):
+    import json
+
+    from waymark.operators import gate
+    from waymark.plans import reports
+
+    rec = spark.createDataFrame([("a.py", k, 1, "py", "function", n, n, "tree_sitter") for k, n in ((1, "alpha"), (2, "beta"), (3, "gamma"), (4, "delta"))] + [("b.go", 1, 1, "go", "struct", "Box", "Box", "tree_sitter"), ("x.zz", 1, 1, "unknown", "key", "k", "k", "extras")], REC)
+    ref = spark.createDataFrame([("a.py", 1, 1, "beta", None, "call", "syntax", "why", "beta()", "tree_sitter")] * 2, REF)
+    ddl = "language string, path string, kind string, name string"
+    expected = spark.createDataFrame([("py", None, None, "omega"), (None, None, None, "Lost"), ("go", None, "struct", "Box")], ddl)
+    absent = spark.createDataFrame([(None, None, None, "Box")], ddl)
+    thr = spark.createDataFrame([("py", 9, None, None)], "language string, min_records int, max_duplicate_locations int, max_malformed_records int")
+    com = spark.createDataFrame([("a.py", 2, 1, "func", "beta", None), ("a.py", 9, 1, "func", "new", None)], "path string, line int, column int, kind string, name string, language string")
+    g = gate.evaluate("r", rec, ref, expected, absent, [{"name_regex": "^z", "min_count": 1, "language": "py"}], thr, com)
+    found = {r["item"]: r["failing"] for r in g.summary().collect()}
+    assert found == {"expected symbols": 2, "expected patterns": 1, "expected absent symbols": 1, "thresholds": 1, "duplicate-records": 0, "duplicate-refs": 1, "malformed-records": 0, "malformed-refs": 0, "dev-index-paths": 0, "ctags-sources": 0}
+    assert not g.passes()
+    with pytest.raises(gate.GateFailure, match="expected symbols=2"):
+        g.check()
+    texts = [r["text"] for r in g.missing.orderBy("name").collect()]
+    assert texts[1].endswith('language=Some("py") path=None kind=None name=omega nearby=a.py:1:1 function alpha (py); a.py:2:1 function beta (py); a.py:3:1 function gamma (py)') and "nearby=a.py:1:1" in texts[0]
+    assert {r["language"] for r in g.languages.collect()} == {"py", "go", "unknown"}
+    c, r = g.comparator
+    gaps = quality.gaps(g.missing, g.failing, g.thresholds, g.integrity, g.extensions, c, r, g.found_absent)
+    assert gaps.count() == 2 + 1 + 1 + 1 + 1 + 1 + 1 + 5
+    plan = quality.cycle_plan(gaps, 3)
+    assert [x["evidence_source"] for x in plan.filter("selected").orderBy("id").collect()] == ["expected-symbol", "expected-symbol", "integrity"]
+    ends = lambda df, n=0: {x["condition"] for x in gate.finalize(plan, df, n).collect()}
+    assert ends(gaps) == {"verification_failed_needs_human_review"}
+    fixed = gaps.join(plan.filter("selected").select("id", F.lit(1).alias("s")), "id", "left").withColumn("status", F.when(F.col("s") == 1, "fixed").otherwise("unsupported")).drop("s")
+    assert ends(fixed) == {"selected_gaps_fixed", "remaining_gaps_unsupported"} and "verification_failed_needs_human_review" in ends(fixed, 1)
+    assert {x["condition"] for x in gate.finalize(plan.filter("false"), gaps.limit(0)).collect()} == {"no_selected_gaps"}
+    assert "tests: index integrity regression coverage" in {x["target"] for x in gate.change_targets(plan).collect()}
+    groups = quality.gap_groups(gaps).collect()
+    assert len(groups) == gaps.count() and all(1 <= x["position"] <= x["size"] for x in groups) and max(x["size"] for x in groups if x["evidence_source"] == "record-only") == 3
+    s = reports.export_summary(g, rec, ref, gaps, plan)
+    reports.write_export(str(tmp_path / "q"), s, gate.details("r", g, gaps))
+    assert json.loads((tmp_path / "q/QUALITY_REPORT.json").read_text())["gaps"]["severity"]["critical"] == 1 and "| Rust | supported | .rs |" in (tmp_path / "q/QUALITY_REPORT.md").read_text()
+    lines = spark.read.json(str(tmp_path / "q/QUALITY_REPORT_DETAILS"))
+    assert lines.count() == 4 + 1 + 5 + gaps.count()
+    assert "missing" in reports.gate_report(g) and "GAP-0001" in reports.plan_report("QUALITY_CYCLE_01", plan) and "stop conditions: none" in reports.final_report("C", gate.finalize(plan, gaps).limit(0))
+
+
+def test_triage_states_and_strict_check(spark):
+    from waymark.operators import gate
+    from waymark.plans import reports
+
+    one = spark.createDataFrame([("a", 1, "function", "x", "py"), ("a", 2, "function", "y", "py")], "path string, line int, kind string, name string, language string")
+    items = quality.triage(one, one.limit(1))
+    with pytest.raises(gate.GateFailure, match="3 open"):
+        gate.check_triage("r", items)
+    done = gate.promoted(items.withColumn("state", F.lit("fixed")))
+    gate.check_triage("r", done)
+    assert {r["promotion"] for r in done.collect()} == {"rerun quality gates and keep regression coverage"}
+    assert spark.createDataFrame([("open",)], "s string").select(gate.triage_state(F.col("s"))).first()[0] == "open"
+    with pytest.raises(Exception, match="unknown triage state"):
+        spark.createDataFrame([("nope",)], "s string").select(gate.triage_state(F.col("s"))).collect()
+    assert "open: 3" in reports.triage_report("r", items)
+    assert sorted((r["source"], r["position"], r["size"]) for r in quality.triage_groups(items).collect()) == [("comparator-only", 1, 2), ("comparator-only", 2, 2), ("record-only", 1, 1)]
+
+
+def test_support_and_forbidden_tools(spark):
+    from waymark.plans import support
+
+    assert support.matrix(spark).count() == 32 and {r["level"]: r["n"] for r in support.counts(spark).collect()} == {"supported": 14, "experimental": 5, "extras-backed": 6, "blocked": 7}
+    assert support.entry(spark, "go").first()["real_repo"].startswith("fixture + committed") and support.dashboard(spark).count("\n| ") == 32 + 4 + 4
+    t = spark.createDataFrame([("src/a.rs", "x\nuse Ctags\n"), ("src/quality/b.rs", "ctags"), ("docs/QUALITY.md", "ctags"), ("tests/c.rs", "ctags"), ("d", None)], "path string, text string")
+    assert [(r["path"], r["line"]) for r in ops.forbidden_lines(t).orderBy("path").collect()] == [("src/a.rs", 2), ("tests/c.rs", 1)]
+    assert [r["path"] for r in ops.forbidden_artifacts(spark.createDataFrame([("bin/ctags",), ("bin/ctags-5",), ("ctagsx",)], "path string")).orderBy("path").collect()] == ["bin/ctags", "bin/ctags-5"]
+    assert "filenames" in ops.miss_report("q") and "filenames" not in ops.miss_report("q", S.Options(kind="class"))
+
+
+def test_usage_report(spark):
+    from waymark.plans import reports
+    from waymark.streaming import usage_stream as U
+
+    e = spark.createDataFrame([(k, 1_000_000 - k, c, f"q{k}", 1, n, n > 0, False, False, False, False, "r", 1) for k, (c, n) in enumerate([("search", 2), ("pack", 4), ("impact", 6), ("search", 0)])], U.SCHEMA)
+    text = reports.usage_report(e, 1_000_000)
+    assert "1d        4         3     1       75.0%      3.0" in text and "Context commands: 2 (refs 0, pack 1, impact 1)" in text and text.rstrip().endswith("- q3")
+
+
 def test_command_grammar():
     assert ops.parse_command(["refs", "x", "y"]) == ("refs", "x y")
     assert ops.parse_command(["doctor"]) == ("doctor", "")

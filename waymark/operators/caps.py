@@ -10,11 +10,14 @@ already bounded, in one pass over candidate lists per file.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.session import cut, written
+
 PER_FILE, PER_KIND = 96, 64
 PER_TARGET, PER_SOURCE, PER_BUILD = 20, 50, 5_000
 """Caps of file references per file and per file and kind; of references per target, file and build (fixed values)."""
@@ -66,7 +69,7 @@ def cap_warnings(refs: DataFrame, order: list[str] | None = None) -> DataFrame:
     return dropped.groupBy("source_path", kind.alias("reference_kind"), cap.alias("cap")).agg(F.count(F.lit(1)).alias("dropped")).select("source_path", "reference_kind", F.col("cap").alias("kept"), "dropped", "cap")
 
 
-REF_ORDER = ["from_line", "from_col", "to_name", "ref_kind", "confidence", "source", "evidence"]
+REF_ORDER = ["from_line", "from_col", "to_name", "ref_kind", "source", "confidence", "evidence"]
 
 
 def ref_caps_per_file(refs: DataFrame) -> DataFrame:
@@ -78,31 +81,47 @@ def ref_caps_global(refs: DataFrame, per_target: int = PER_TARGET, per_file: int
     """The cap over a whole build: 20 per target over all files, 50 per file, 5,000 in all, in path order.
 
     A row only counts when every cap lets it pass, so the fold needs the order of paths. Each (file, target)
-    pair first keeps its 20 least rows, which changes nothing. The result has at most ``total`` rows; the fold
-    reads the rest in path order and stops when the build is full: a prefix of paths, in blocks, so what one
-    task holds is bounded by a block and the counters of targets seen in at most ``total`` kept rows.
+    pair first keeps its 20 least rows, which changes nothing. The rest is written in ranges of paths. The fold
+    takes one range after the other, each in one task; before a range, rows of targets that are full are filtered
+    out, and ranges with no other rows are skipped. Every range that is taken keeps a row at least, so there are
+    at most ``total`` of them; the driver holds only the counters of the kept rows.
     """
     pre = Window.partitionBy("from_path", "to_name").orderBy(*REF_ORDER)
     rows = refs.withColumn("_rk", F.row_number().over(pre)).filter(F.col("_rk") <= per_target).drop("_rk")
-    cols = rows.columns
-    ordered = rows.orderBy("from_path", *REF_ORDER).coalesce(1)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_target: dict[str, int] = {}
-        file, in_file, kept = None, 0, 0
-        for b in batches:
-            if kept >= total:
-                break
-            take = []
-            for p, t in zip(b["from_path"], b["to_name"], strict=True):
-                if p != file:
-                    file, in_file = p, 0
-                ok = kept < total and in_file < per_file and by_target.get(t, 0) < per_target
-                if ok:
-                    kept += 1
-                    in_file += 1
-                    by_target[t] = by_target.get(t, 0) + 1
-                take.append(ok)
-            yield b[take]
-
-    return ordered.select(*cols).mapInPandas(fold, ordered.schema)
+    blocks = written(rows.repartitionByRange("from_path").withColumn("_block", F.spark_partition_id()), "_block")
+    cols, left, last = rows.columns, total, -1
+    by_target: dict[str, int] = {}
+    kept: list[DataFrame] = []
+
+    def fold(have: dict[str, int], room: int):  # noqa: ANN202
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts, file, in_file, n = dict(have), None, 0, 0
+            for b in batches:
+                take = []
+                for p, t in zip(b["from_path"], b["to_name"], strict=True):
+                    if p != file:
+                        file, in_file = p, 0
+                    ok = n < room and in_file < per_file and counts.get(t, 0) < per_target
+                    if ok:
+                        n += 1
+                        in_file += 1
+                        counts[t] = counts.get(t, 0) + 1
+                    take.append(ok)
+                yield b[take]
+
+        return run
+
+    while left > 0:
+        full = [t for t, n in by_target.items() if n >= per_target]
+        ahead = blocks.filter(F.col("_block") > last)
+        ahead = ahead.filter(~F.coalesce(F.col("to_name").isin(full), F.lit(False))) if full else ahead
+        last = ahead.agg(F.min("_block")).first()[0]
+        if last is None:
+            break
+        one = ahead.filter(F.col("_block") == last).select(*cols).repartition(1).sortWithinPartitions("from_path", *REF_ORDER)
+        got = cut(one.mapInPandas(fold(by_target, left), rows.schema))
+        for r in got.groupBy("to_name").count().collect():  # at most ``left`` targets
+            by_target[r["to_name"]] = by_target.get(r["to_name"], 0) + r["count"]
+            left -= r["count"]
+        kept.append(got)
+    return reduce(DataFrame.unionByName, kept) if kept else rows.limit(0)

@@ -25,10 +25,10 @@ LINE_PROXIMITY = 3
 MAX_GAPS_PER_CYCLE = 10
 SEVERITY = ("critical", "high", "medium", "low")
 EVIDENCE = ("expected-symbol", "expected-symbol-pattern", "expected-absent-symbol", "integrity", "quality-threshold", "comparator-only", "record-only", "unsupported-extension")
-FIXES = ("parser-query", "fixture", "manifest", "integrity-fix", "comparator-triage", "performance", "documentation")
+FIXES = ("parser-query", "fixture", "manifest-expected-symbol", "comparator-triage", "integrity-fix", "performance-triage", "documentation")
 TRIAGE_ACTIONS = {
     "open": "triage before promoting",
-    "accepted_expected_symbol": "add an expected symbol or pattern",
+    "accepted_expected_symbol": "add [[repo.expected_symbol]] or [[repo.expected_symbol_pattern]]",
     "fixture_needed": "add or extend a parser conformance fixture",
     "comparator_false_positive": "record as accepted comparator false positive",
     "unsupported_syntax": "document unsupported syntax or support-level gap",
@@ -111,7 +111,7 @@ def glob_pattern(glob: str) -> str:
 def expected_matches(expected: DataFrame, records: DataFrame, contains: bool = False) -> DataFrame:
     """Expected symbols (language, path, kind, name; nulls match anything) with the number of records that match."""
     e = expected.select(*[F.col(c).alias(f"e_{c}") for c in ("language", "path", "kind", "name")]).distinct()
-    r = records.select(language(F.col("lang")).alias("lang"), quality_path(F.col("path")).alias("p"), "kind", "name").join(F.broadcast(e.select(F.col("e_name").alias("name")).distinct()), "name", "left_semi")
+    r = records.select(language(F.col("lang")).alias("lang"), quality_path(F.col("path")).alias("p"), "kind", "name").join(e.select(F.col("e_name").alias("name")).distinct(), "name", "left_semi")
     at = quality_path(F.col("e_path"))
     where = F.col("p").contains(at) if contains else F.col("p") == at
     kind = compatible(F.col("kind"), F.col("e_kind")) if contains else F.col("kind") == F.col("e_kind")
@@ -194,9 +194,13 @@ def comparator_match(records: DataFrame, comparator: DataFrame) -> tuple[DataFra
             yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in out], schema=target)
         yield pa.RecordBatch.from_pylist([{n: x[n] for n in names} for x in assign(held)], schema=target)
 
-    # rows of one path, name and kind group meet in one task, records first; a group is part of one file
-    rows = r.unionByName(c).repartition("path", "name", "g").sortWithinPartitions("path", "name", "g", "side", "line", "col", "kind", "language")
-    done = cut(rows.mapInArrow(run, schema))
+    # rows of one path, name and kind group meet in one task, records first; a group is part of one file. Rows
+    # whose key the other side does not have match nothing and stay where they are
+    both = r.select("path", "name", "g").distinct().join(c.select("path", "name", "g").distinct(), ["path", "name", "g"]).withColumn("both", F.lit(True))
+    every = cut(r.unionByName(c).join(both, ["path", "name", "g"], "left"))
+    alone = every.filter("both IS NULL").drop("both", "g").withColumn("matched", F.lit(False))
+    rows = every.filter("both").drop("both").select(*r.columns).repartition("path", "name", "g").sortWithinPartitions("path", "name", "g", "side", "line", "col", "kind", "language")
+    done = cut(rows.mapInArrow(run, schema).unionByName(alone))
     return done.filter("side = 0").drop("side"), done.filter("side = 1").drop("side")
 
 
@@ -246,12 +250,13 @@ def gap_rows(df: DataFrame, evidence: str, severity: str, fix: str, detail: Colu
     return df.select(pick(path).alias("path"), language_.alias("language"), pick(symbol).alias("symbol"), pick(kind).alias("kind"), pick(pattern).alias("pattern"), F.lit(evidence).alias("evidence_source"), F.lit(severity).alias("severity"), F.lit(fix).alias("suggested_fix"), detail.alias("detail"))
 
 
-def gaps(missing: DataFrame, failing: DataFrame, thresholds: DataFrame, integrity: DataFrame, extensions: DataFrame, comparator_only: DataFrame | None = None, record_only: DataFrame | None = None) -> DataFrame:
+def gaps(missing: DataFrame, failing: DataFrame, thresholds: DataFrame, integrity: DataFrame, extensions: DataFrame, comparator_only: DataFrame | None = None, record_only: DataFrame | None = None, found_absent: DataFrame | None = None) -> DataFrame:
     """One open gap per finding with ids in insertion order: producers in turn, each in its own order."""
     unknown = F.lit("unknown")
     parts = [
         gap_rows(missing, "expected-symbol", "high", "parser-query", F.concat(F.lit("Expected symbol missing: "), "name"), F.coalesce("language", unknown), F.col("path"), F.col("name"), F.col("kind")),
         gap_rows(failing, "expected-symbol-pattern", "high", "parser-query", F.concat(F.lit("Expected symbol pattern failing: "), "name_regex"), unknown, pattern=F.col("name_regex")),
+        *([] if found_absent is None else [gap_rows(found_absent, "expected-absent-symbol", "high", "parser-query", F.concat(F.lit("Expected-absent symbol found: "), "name"), F.coalesce("language", unknown), F.col("path"), F.col("name"), F.col("kind"))]),
         gap_rows(thresholds, "quality-threshold", "medium", "fixture", F.col("message"), F.col("language")),
         gap_rows(integrity.filter(F.col("n") > 0), "integrity", "critical", "integrity-fix", F.concat("name", F.lit(" count="), F.col("n").cast("string")), unknown, kind=F.col("name")),
         gap_rows(extensions, "unsupported-extension", "low", "documentation", F.concat(F.lit("Unsupported extension "), "extension", F.lit(" seen "), F.col("n").cast("string"), F.lit(" time(s)")), unknown, kind=F.col("extension")),
@@ -270,10 +275,22 @@ def gap_key() -> list[Column]:
     return [F.col("language"), F.col("evidence_source"), rank(F.col("severity"), SEVERITY), rank(F.col("suggested_fix"), FIXES), blank("path"), F.coalesce("symbol", "pattern", "detail")]
 
 
+def grouped(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``position`` in its group and the group's ``size``.
+
+    Rows are numbered over all groups in ranges, and a group's least number is taken off, so a group that holds
+    most rows is still spread; nothing is collected per group.
+    """
+    n = numbered(df, [*by, *order])
+    sizes = n.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("n").alias("_first"), F.count(F.lit(1)).alias("size"))
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return n.join(sizes, on).select(*[c for c in n.columns if c != "n"], (F.col("n") - F.col("_first") + 1).alias("position"), "size")
+
+
 def gap_groups(g: DataFrame) -> DataFrame:
-    """Ordered ids per (language, construct, severity, evidence)."""
+    """Gaps by (language, construct, severity, evidence): one row per gap with its position in the group by id."""
     construct = F.coalesce("kind", "pattern", "symbol", F.lit("general"))
-    return g.groupBy("language", construct.alias("construct"), "severity", "evidence_source").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return grouped(g.select("language", construct.alias("construct"), "severity", "evidence_source", "id"), ["language", "construct", "severity", "evidence_source"], ["id"])
 
 
 def gap_summary(g: DataFrame) -> DataFrame:
@@ -294,18 +311,6 @@ def cycle_plan(g: DataFrame, requested: int) -> DataFrame:
     return open_.join(F.broadcast(chosen), "id", "left").select("id", *GAP, F.coalesce("_s", F.lit(False)).alias("selected"), later.alias("needs_later_plan"))
 
 
-def cycle_decision(before: DataFrame, after: DataFrame, plan: DataFrame) -> str:
-    """Why a cycle ends: nothing selected, all closed, no progress, only later-plan gaps, or continue."""
-    if plan.filter("selected").isEmpty():
-        return "no actionable gaps"
-    if after.filter(F.col("status") == "open").isEmpty():
-        return "no open gaps"
-    left = after.filter(F.col("status") == "open").join(plan.filter("selected").select("id"), "id", "left_semi")
-    if not left.isEmpty() and left.count() == plan.filter("selected").count():
-        return "no progress"
-    return "continue"
-
-
 def triage(comparator_only: DataFrame, record_only: DataFrame) -> DataFrame:
     """Open triage items with ids in sorted order."""
     side = lambda df, k, name: df.select(F.lit(k).alias("k"), F.lit(name).alias("source"), "language", "kind", "path", "line", "name")
@@ -315,9 +320,8 @@ def triage(comparator_only: DataFrame, record_only: DataFrame) -> DataFrame:
 
 
 def triage_groups(items: DataFrame) -> DataFrame:
-    """Items per (source, language, kind, path) with ids ordered by line, name and id."""
-    g = items.groupBy("source", "language", "kind", "path").agg(F.sort_array(F.collect_list(F.struct("line", "name", "id"))).alias("x"), F.count(F.lit(1)).alias("n"))
-    return g.select("source", "language", "kind", "path", "n", F.transform("x", lambda s: s["id"]).alias("ids"))
+    """Items by (source, language, kind, path): one row per item with its position by line, name and id."""
+    return grouped(items.select("source", "language", "kind", "path", "line", "name", "id"), ["source", "language", "kind", "path"], ["line", "name", "id"])
 
 
 def bench_integrity(records: DataFrame, refs: DataFrame) -> DataFrame:
@@ -328,10 +332,3 @@ def bench_integrity(records: DataFrame, refs: DataFrame) -> DataFrame:
     a = r.agg(zero(F.sum("n")).alias("records"), zero(F.sum(F.col("n") - 1)).alias("duplicate_records"), zero(F.sum("bad")).alias("malformed_records"))
     b = f.agg(zero(F.sum("n")).alias("refs"), zero(F.sum(F.col("n") - 1)).alias("duplicate_refs"), zero(F.sum("bad")).alias("malformed_refs"))
     return a.select("*", *[b.select(c).scalar().alias(c) for c in b.columns])
-
-
-def detail_rows(g: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One JSON-ready row per finding and per language metric."""
-    a = g.select(F.lit("gap").alias("type"), "id", F.to_json(F.struct(*GAP, "status")).alias("body"))
-    b = metrics.select(F.lit("metric").alias("type"), F.col("language").alias("id"), F.to_json(F.struct(*metrics.columns)).alias("body"))
-    return a.unionByName(b)

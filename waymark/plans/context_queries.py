@@ -186,8 +186,8 @@ def register(reg: Registry) -> None:
     def dedupe_dependencies(spark, d):
         return caps.keep_first(table(spark, d, "dependencies"), ["from_path", "import_path", "target_path", "dependency_kind"], ["from_line", "from_col", "lang", "confidence", "unresolved_reason", "evidence", "source"])
 
-    two = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY from_path, to_name ORDER BY from_line, from_col, to_name, ref_kind, confidence, source, evidence, to_kind NULLS FIRST, reason NULLS FIRST) AS rk FROM refs),
-      b AS (SELECT *, row_number() OVER (PARTITION BY from_path ORDER BY from_line, from_col, to_name, ref_kind, confidence, source, evidence, to_kind NULLS FIRST, reason NULLS FIRST) AS rf FROM a WHERE rk <= 20) SELECT * EXCLUDE (rk, rf) FROM b WHERE rf <= 50"""
+    two = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY from_path, to_name ORDER BY from_line, from_col, to_name, ref_kind, source, confidence, evidence, to_kind NULLS FIRST, reason NULLS FIRST) AS rk FROM refs),
+      b AS (SELECT *, row_number() OVER (PARTITION BY from_path ORDER BY from_line, from_col, to_name, ref_kind, source, confidence, evidence, to_kind NULLS FIRST, reason NULLS FIRST) AS rf FROM a WHERE rk <= 20) SELECT * EXCLUDE (rk, rf) FROM b WHERE rf <= 50"""
 
     @reg.query("ref_caps_per_file", two)
     def ref_caps_per_file(spark, d):

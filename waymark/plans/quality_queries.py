@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waymark.operators import gate, symbols
 from waymark.operators import quality as G
 from waymark.plans import sqltext as Q
 from waymark.registry import Registry, table
@@ -31,10 +32,18 @@ def thresholds(spark):  # noqa: ANN001, ANN201
     return spark.createDataFrame(THRESHOLDS, "language string, min_records int, max_duplicate_locations int, max_malformed_records int")
 
 
-def shifted(spark, d):  # noqa: ANN001, ANN201
-    """A comparator made of the records themselves: two lines lower and without a language."""
-    r = table(spark, d, "records")
-    return r.select("path", (F.col("line") + 2).alias("line"), F.col("col").alias("column"), "kind", "name", F.lit(None).cast("string").alias("language"))
+ABSENT = [("py", None, "function", "config"), (None, None, None, "NoSuchName")]
+"""Symbols that must not be found."""
+
+
+def absent(spark):  # noqa: ANN001, ANN201
+    return spark.createDataFrame(ABSENT, "language string, path string, kind string, name string")
+
+
+def comparator_of(spark, d):  # noqa: ANN001, ANN201
+    """An independent comparator: the symbols parsed from the source texts."""
+    s = symbols.symbols(table(spark, d, "source_files"))
+    return s.select("path", "line", F.col("col").alias("column"), "kind", "name", F.col("lang").alias("language"))
 
 
 def only(df):  # noqa: ANN001, ANN201
@@ -104,27 +113,87 @@ def register(reg: Registry) -> None:
 
     @reg.query("comparator_match")
     def comparator_match(spark, d):
-        r, c = G.comparator_match(table(spark, d, "records"), shifted(spark, d))
+        r, c = G.comparator_match(table(spark, d, "records"), comparator_of(spark, d))
         return r.withColumn("side", F.lit("record")).unionByName(c.withColumn("side", F.lit("comparator")))
 
     @reg.query("comparison_metrics")
     def comparison_metrics(spark, d):
-        return G.comparison_metrics(table(spark, d, "records"), shifted(spark, d))
+        return G.comparison_metrics(table(spark, d, "records"), comparator_of(spark, d))
+
+    counter_sql = f"""WITH {METRICS}, k AS (SELECT count(*) AS n, count(*) FILTER ({bad_ref}) AS bad, count(*) FILTER (contains(from_path, '.dev_index')) AS idx FROM refs GROUP BY {QPATH('from_path')}, from_line, from_col, to_name, ref_kind),
+        a AS (SELECT coalesce(sum(duplicate_locations), 0) AS d, coalesce(sum(malformed), 0) AS x, coalesce(sum(index_dir_paths), 0) AS i, coalesce(sum(comparator_sources), 0) AS c FROM m), b AS (SELECT coalesce(sum(n - 1), 0) AS d, coalesce(sum(bad), 0) AS x, coalesce(sum(idx), 0) AS i FROM k)
+        SELECT unnest(['duplicate-records', 'duplicate-refs', 'malformed-records', 'malformed-refs', 'dev-index-paths', 'ctags-sources']) AS name, unnest([a.d, b.d, a.x, b.x, a.i + b.i, a.c])::BIGINT AS n FROM a, b"""
+
+    @reg.query("gate_counters", counter_sql)
+    def gate_counters(spark, d):
+        return gate.counters(table(spark, d, "records"), table(spark, d, "refs"))
+
+    lang_sql = reg.sql["gate_refs_by_language"]
+    told = sorted({x[0] for x in EXPECTED + ABSENT + THRESHOLDS if x[0]} | {p["language"] for p in PATTERNS if p.get("language")})
+
+    @reg.query("gate_languages", f"SELECT DISTINCT {LANG} AS language FROM records UNION SELECT language FROM ({lang_sql}) UNION SELECT unnest({told})")
+    def gate_languages(spark, d):
+        return gate.languages_checked(table(spark, d, "records"), gate_refs_by_language(spark, d), expected(spark), absent(spark), thresholds(spark), spark.createDataFrame([(p["language"],) for p in PATTERNS if p.get("language")], "language string"))
+
+    all_values = ", ".join(f"({', '.join(lit(x) for x in row)})" for row in EXPECTED)
+    top = "coalesce(nullif(array_to_string(list_transform(list_slice(list_sort(list_distinct(list(x))), 1, 3), lambda r: r.path || ':' || r.line || ':' || r.col || ' ' || r.kind || ' ' || r.name || ' (' || r.lang || ')'), '; '), ''), 'none')"
+    at = "{'path': r.path, 'line': r.line, 'col': r.col, 'kind': r.kind, 'name': r.name, 'source': r.source, 'lang': r.lang}"
+
+    @reg.query(
+        "gate_nearby",
+        f"""WITH e(language, path, kind, name) AS (SELECT a::VARCHAR, b::VARCHAR, c::VARCHAR, d::VARCHAR FROM (VALUES {all_values}) v(a, b, c, d)),
+        h AS (SELECT e.*, {at} AS x FROM e JOIN records r ON {QPATH('r.path')} = {QPATH('e.path')} OR {LANG.replace('lang', 'r.lang')} = e.language OR r.kind = e.kind),
+        f AS (SELECT e.*, {at} AS x FROM e, (SELECT * FROM records ORDER BY path, line, col, kind, name, source, lang LIMIT 3) r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.name = e.name AND h.path IS NOT DISTINCT FROM e.path AND h.kind IS NOT DISTINCT FROM e.kind AND h.language IS NOT DISTINCT FROM e.language))
+        SELECT language, path, kind, name, {top} AS nearby FROM (SELECT * FROM h UNION ALL SELECT * FROM f) GROUP BY language, path, kind, name""",
+    )
+    def gate_nearby(spark, d):
+        return gate.near(expected(spark), table(spark, d, "records"))
+
+    gone = ", ".join(f"({', '.join(lit(x) for x in row)})" for row in ABSENT)
+
+    @reg.query(
+        "gate_absent_found",
+        f"""WITH e(language, path, kind, name) AS (SELECT a::VARCHAR, b::VARCHAR, c::VARCHAR, d::VARCHAR FROM (VALUES {gone}) v(a, b, c, d)), h AS (SELECT e.*, {at} AS x FROM e JOIN records r ON r.name = e.name AND (e.language IS NULL OR {LANG.replace('lang', 'r.lang')} = e.language) AND (e.path IS NULL OR {QPATH('r.path')} = e.path) AND (e.kind IS NULL OR r.kind = e.kind))
+        SELECT language, path, kind, name, {top.replace('list_distinct(list(x))', 'list(x)')} AS nearby FROM h GROUP BY language, path, kind, name""",
+    )
+    def gate_absent_found(spark, d):
+        return gate.matching(absent(spark), table(spark, d, "records"))
+
+    def the_gate(spark, d, compare=True):  # noqa: ANN001, ANN202
+        return gate.evaluate("all", table(spark, d, "records"), table(spark, d, "refs"), expected(spark), absent(spark), PATTERNS, thresholds(spark), comparator_of(spark, d) if compare else None)
+
+    parts = f"""SELECT 'expected symbols' AS item, {len(EXPECTED)}::BIGINT AS checked, count(*) AS failing FROM ({reg.sql['gate_expected']}) WHERE matches = 0
+        UNION ALL SELECT 'expected patterns', {len(PATTERNS)}, count(*) FROM ({pats}) WHERE actual < min_count UNION ALL SELECT 'expected absent symbols', {len(ABSENT)}, count(*) FROM ({reg.sql['gate_absent_found']})
+        UNION ALL SELECT 'thresholds', {len(THRESHOLDS)}, count(*) FROM ({thr_sql}) UNION ALL SELECT name, NULL, n FROM ({counter_sql})"""
+
+    @reg.query("gate_summary", parts)
+    def gate_summary(spark, d):
+        return the_gate(spark, d, False).summary()
 
     def all_gaps(spark, d):  # noqa: ANN001, ANN202
-        r, c = G.comparator_match(table(spark, d, "records"), shifted(spark, d))
-        m, f = gate_record_metrics(spark, d), gate_ref_metrics(spark, d)
-        integrity = m.agg(F.sum("duplicate_locations").alias("n")).select(F.lit("duplicate-records").alias("name"), "n").unionByName(m.agg(F.sum("malformed").alias("n")).select(F.lit("malformed-records").alias("name"), "n")).unionByName(f.select(F.lit("duplicate-refs").alias("name"), F.col("duplicate_refs").alias("n"))).unionByName(f.select(F.lit("malformed-refs").alias("name"), F.col("malformed_refs").alias("n")))
-        return G.gaps(gate_expected(spark, d).filter("matches = 0"), gate_patterns(spark, d).filter("actual < min_count"), gate_thresholds(spark, d), integrity, unsupported_extensions(spark, d), only(c), only(r))
+        g = the_gate(spark, d)
+        c, r = g.comparator
+        return G.gaps(g.missing, g.failing, g.thresholds, g.integrity, g.extensions, c, r, g.found_absent)
 
     reg.query("quality_gaps")(all_gaps)
     reg.query("gap_groups")(lambda spark, d: G.gap_groups(all_gaps(spark, d)))
     reg.query("gap_summary")(lambda spark, d: G.gap_summary(all_gaps(spark, d)))
     reg.query("cycle_plan")(lambda spark, d: G.cycle_plan(all_gaps(spark, d), 5))
-    reg.query("quality_details")(lambda spark, d: G.detail_rows(all_gaps(spark, d), gate_record_metrics(spark, d)))
+    reg.query("cycle_targets")(lambda spark, d: gate.change_targets(G.cycle_plan(all_gaps(spark, d), 5)))
+
+    @reg.query("cycle_end")
+    def cycle_end(spark, d):
+        gaps = all_gaps(spark, d)
+        return gate.finalize(G.cycle_plan(gaps, 5), gaps)
+
+    @reg.query("quality_details")
+    def quality_details(spark, d):
+        g = the_gate(spark, d)
+        c, r = g.comparator
+        return gate.details("all", g, G.gaps(g.missing, g.failing, g.thresholds, g.integrity, g.extensions, c, r, g.found_absent))
 
     def all_triage(spark, d):  # noqa: ANN001, ANN202
-        r, c = G.comparator_match(table(spark, d, "records"), shifted(spark, d))
+        r, c = G.comparator_match(table(spark, d, "records"), comparator_of(spark, d))
         return G.triage(only(c), only(r))
 
     reg.query("triage_items")(all_triage)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of executors and are not computed twice."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, partition: str) -> DataFrame:
+    """``df`` written to the checkpoint folder by a column, so that later filters on it read only their part."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(partition).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
