@@ -30,6 +30,11 @@ SENSITIVE_ENDS = (".pem", ".key", ".p12", ".pfx")
 SENSITIVE_DIRS = ("secrets", "secret", "credentials", "private_keys")
 
 
+def named(name: Column, names: tuple[str, ...], suffixes: tuple[str, ...]) -> Column:
+    """A whole name, or one of the endings."""
+    return name.rlike("^(?:" + "|".join(map(re.escape, names)) + ")$|(?:" + "|".join(map(re.escape, suffixes)) + ")$")
+
+
 def any_of(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols)
 
@@ -70,8 +75,8 @@ def file_role(path: Column) -> Column:
         .when(in_dir(p, GENERATED_DIRS) | name.contains(".generated.") | ends(name, GENERATED_ENDS), "generated")
         .when(in_dir(p, ("docs",)) | ends(p, DOC_ENDS), "docs")
         .when(in_dir(p, TEST_DIRS) | name.startswith("test_") | holds(name, ("_test", ".test.", ".spec.")), "test")
-        .when(name.isin(*MANIFEST_NAMES) | ends(name, MANIFEST_ENDS), "package_manifest")
-        .when(name.isin(*BUILD_NAMES) | name.startswith("dockerfile.") | p.rlike(r"(?:^|/)(?:\.github/workflows/|\.gitlab-ci\.|ci/)"), "build")
+        .when(named(name, MANIFEST_NAMES, MANIFEST_ENDS), "package_manifest")
+        .when(name.rlike("^(?:" + "|".join(map(re.escape, BUILD_NAMES)) + r")$|^dockerfile\.") | p.rlike(r"(?:^|/)(?:\.github/workflows/|\.gitlab-ci\.|ci/)"), "build")
         .when(in_dir(p, CONFIG_DIRS) | holds(name, CONFIG_PARTS) | ends(p, CONFIG_ENDS), "config")
         .when(ends(name, SOURCE_ENDS), "source")
         .when(p.isNotNull(), "unknown")

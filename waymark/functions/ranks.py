@@ -100,69 +100,29 @@ def file_ref_rank(path: Column, kind: Column) -> Column:
     )
 
 
-def impact_group_for_ref(path: Column, kind: Column, confidence: Column) -> Column:
-    return let(
-        file_role(path),
-        lambda role: F.when((kind == "test_reference") | (role == "test"), "Tests")
-        .when(kind == "module_dependency", F.when(confidence == "unresolved", "Unknown").otherwise("Dependents"))
-        .when((kind == "markdown_link") | (role == "docs"), "Docs")
-        .when(is_operational_role(role), "Config")
-        .when(is_fixture_path(path) | role.isin("generated", "vendor"), "Unknown")
-        .otherwise("References"),
-    )
-
-
-def impact_confidence_for_ref(confidence: Column, group: Column) -> Column:
-    return (
-        F.when(confidence == "semantic", "semantic")
-        .when(group == "Tests", "test-related")
-        .when(group == "Dependents", "dependency")
-        .when((group == "References") & (confidence == "exact_local"), "direct")
-        .otherwise("heuristic")
-    )
-
-
-def impact_reason_for_ref(kind: Column, to_name: Column, confidence: Column, group: Column) -> Column:
-    say = lambda words: F.concat(F.lit(words), to_name)
-    verbs = (("import", "imports "), ("call", "calls "), ("export", "exports "), ("type_reference", "type reference to "), ("text_reference", "references "))
-    refs = None
-    for k, words in verbs:
-        refs = F.when(kind == k, say(words)) if refs is None else refs.when(kind == k, say(words))
-    return (
-        F.when(group == "Tests", say("test references "))
-        .when(group == "Dependents", say("dependency reference to "))
-        .when(group == "Docs", say("docs reference "))
-        .when(group == "Config", say("build/config reference "))
-        .when((group == "Unknown") & (confidence == "unresolved"), say("unresolved dependency "))
-        .when(group == "Unknown", say("unknown impact from "))
-        .otherwise(refs.otherwise(F.concat(kind, F.lit(" to "), to_name)))
-    )
-
-
-def impact_ref_priority(path: Column, kind: Column, group: Column) -> Column:
-    return (
-        F.when(group == "Tests", F.when(kind == "test_reference", 0).when(kind.isin("call", "import"), 1).otherwise(2))
-        .when(group == "References", case(kind, [(("import",), 0), (("call",), 1), (("type_reference",), 2), (("text_reference",), 5)], 8))
-        .when(group.isin("Dependents", "Config"), 0)
-        .when(group == "Docs", F.when(kind == "markdown_link", 0).otherwise(2))
-        .otherwise(F.when(is_fixture_path(path), 20).otherwise(10))
-    )
-
-
-def impact_group_for_file_ref(path: Column, kind: Column) -> Column:
-    return let(
-        file_role(path),
-        lambda role: F.when(is_fixture_path(path), "Unknown")
-        .when((kind == "fixture") | (role == "test"), "Tests")
-        .when(kind.isin(*IMPORT_KINDS), "Dependents")
-        .when((kind == "link") | (role == "docs"), "Docs")
-        .when(kind.isin("config_path", "package_entry") | is_operational_role(role), "Config")
-        .otherwise("References"),
-    )
-
-
-def file_ref_confidence(path: Column, kind: Column, confidence: Column) -> Column:
-    return F.when((file_role(path) == "test") | (kind == "fixture"), "test-related").when(kind.isin(*IMPORT_KINDS) & (confidence == "resolved"), "dependency").otherwise("heuristic")
+# Decision tables of impact rows as SQL over the columns kind, confidence, role, fixture, grp, target: one text
+# each, so a plan is built with a few calls
+_IMPORT = ", ".join(f"'{k}'" for k in IMPORT_KINDS)
+OPERATIONAL = "role IN ('build', 'package_manifest', 'config')"
+IMPACT_GROUP_FOR_REF = f"""CASE WHEN kind = 'test_reference' OR role = 'test' THEN 'Tests'
+  WHEN kind = 'module_dependency' THEN CASE WHEN confidence = 'unresolved' THEN 'Unknown' ELSE 'Dependents' END
+  WHEN kind = 'markdown_link' OR role = 'docs' THEN 'Docs' WHEN {OPERATIONAL} THEN 'Config'
+  WHEN fixture OR role IN ('generated', 'vendor') THEN 'Unknown' ELSE 'References' END"""
+IMPACT_CONFIDENCE_FOR_REF = """CASE WHEN confidence = 'semantic' THEN 'semantic' WHEN grp = 'Tests' THEN 'test-related' WHEN grp = 'Dependents' THEN 'dependency'
+  WHEN grp = 'References' AND confidence = 'exact_local' THEN 'direct' ELSE 'heuristic' END"""
+IMPACT_REASON_FOR_REF = """CASE WHEN grp = 'Tests' THEN 'test references ' WHEN grp = 'Dependents' THEN 'dependency reference to ' WHEN grp = 'Docs' THEN 'docs reference ' WHEN grp = 'Config' THEN 'build/config reference '
+  WHEN grp = 'Unknown' AND confidence = 'unresolved' THEN 'unresolved dependency ' WHEN grp = 'Unknown' THEN 'unknown impact from '
+  WHEN kind = 'import' THEN 'imports ' WHEN kind = 'call' THEN 'calls ' WHEN kind = 'export' THEN 'exports ' WHEN kind = 'type_reference' THEN 'type reference to ' WHEN kind = 'text_reference' THEN 'references ' ELSE kind || ' to ' END || target"""
+IMPACT_REF_PRIORITY = """CASE WHEN grp = 'Tests' THEN CASE WHEN kind = 'test_reference' THEN 0 WHEN kind IN ('call', 'import') THEN 1 ELSE 2 END
+  WHEN grp = 'References' THEN CASE kind WHEN 'import' THEN 0 WHEN 'call' THEN 1 WHEN 'type_reference' THEN 2 WHEN 'text_reference' THEN 5 ELSE 8 END
+  WHEN grp IN ('Dependents', 'Config') THEN 0 WHEN grp = 'Docs' THEN CASE WHEN kind = 'markdown_link' THEN 0 ELSE 2 END ELSE CASE WHEN fixture THEN 20 ELSE 10 END END"""
+IMPACT_GROUP_FOR_FILE_REF = f"""CASE WHEN fixture THEN 'Unknown' WHEN kind = 'fixture' OR role = 'test' THEN 'Tests' WHEN kind IN ({_IMPORT}) THEN 'Dependents'
+  WHEN kind = 'link' OR role = 'docs' THEN 'Docs' WHEN kind IN ('config_path', 'package_entry') OR {OPERATIONAL} THEN 'Config' ELSE 'References' END"""
+FILE_REF_CONFIDENCE = f"CASE WHEN role = 'test' OR kind = 'fixture' THEN 'test-related' WHEN kind IN ({_IMPORT}) AND confidence = 'resolved' THEN 'dependency' ELSE 'heuristic' END"
+FILE_REF_PRIORITY = f"CASE WHEN kind IN ({_IMPORT}) THEN 0 WHEN kind IN ('script', 'stylesheet') THEN 1 WHEN kind IN ('asset', 'fixture') THEN 2 WHEN kind IN ('config_path', 'package_entry') THEN 3 WHEN kind = 'link' THEN 4 ELSE 8 END"
+CONFIDENCE_RANK = "CASE WHEN confidence IN ('direct', 'exact_local', 'semantic') THEN 0 WHEN confidence IN ('dependency', 'resolved') THEN 1 WHEN confidence IN ('syntax', 'test-related') THEN 2 WHEN confidence = 'unresolved' THEN 4 ELSE 3 END"
+ROLE_PENALTY = f"CASE WHEN role IN ('generated', 'vendor') THEN 30 WHEN fixture THEN 25 WHEN role = 'test' THEN 10 WHEN role = 'docs' THEN 15 WHEN {OPERATIONAL} THEN 20 ELSE 0 END"
+"""Groups, confidences, reasons and priorities by their kinds (fixed values)."""
 
 
 def kind_group(kind: Column) -> Column:

@@ -1,7 +1,9 @@
 """One-hop context of a search: references, bounded read sets (pack) and impact groups.
 
 The primaries are at most three rows. They are fetched once and become literals, so the edge tables are read
-with pushed-down IN filters and nothing is shuffled but the few rows near the primaries. Groups are taken in a fixed order with a
+with pushed-down IN filters and nothing is shuffled but the few rows near the primaries. All producers give
+plain candidates; those of a path that cannot differ in group and priority are reduced to their first where they
+are read, and only then the path's role is found, once for all producers. Groups are taken in a fixed order with a
 shared budget: each group keeps the best row of each path not yet used, up to its own and the remaining limit.
 Edge rows tie on their output key when they differ in confidence or reason only; those columns end the key.
 """
@@ -114,41 +116,24 @@ def refs_of(t: Tables, query: str, o: S.Options = S.Options()) -> DataFrame:
     return rows.orderBy(*key).limit(o.taken(REFS_LIMIT))
 
 
-def _row(df: DataFrame, grp: Column, path: str, line: str, col: str, kind: Column, target: Column, confidence: Column, reason: Column, priority: Column) -> DataFrame:
-    return df.select(grp.alias("grp"), F.col(path).alias("path"), F.col(line).alias("line"), F.col(col).alias("col"), kind.alias("kind"), target.alias("target"), confidence.alias("confidence"), reason.alias("reason"), priority.cast("int").alias("priority"))
+CANDIDATE = ("producer", "path", "kind", "confidence", "line", "col", "tie", "target", "extra")
 
 
-def ref_rows(refs: DataFrame) -> DataFrame:
-    kind, conf, to, path = (F.col(c) for c in ("ref_kind", "confidence", "to_name", "from_path"))
-    r = refs.withColumn("grp", ranks.impact_group_for_ref(path, kind, conf))
-    g = F.col("grp")
-    return _row(r, g, "from_path", "from_line", "from_col", kind, to, ranks.impact_confidence_for_ref(conf, g), ranks.impact_reason_for_ref(kind, to, conf, g), ranks.impact_ref_priority(path, kind, g))
+def _candidate(df: DataFrame, producer: str, path: str, kind: str, confidence: str, line: str, col: str, target: str, extra: str, tie: str = "''") -> DataFrame:
+    return df.selectExpr(f"'{producer}' AS producer", f"{path} AS path", f"{kind} AS kind", f"{confidence} AS confidence", f"{line} AS line", f"{col} AS col", f"{tie} AS tie", f"{target} AS target", f"{extra} AS extra")
 
 
-def _edges(df: DataFrame, own: list[str], src: str, line: str, col: str, kind: Column, raw: str, dependent: DataFrame, words: tuple[str, str]) -> DataFrame:
-    """Rows of dependents, and of unresolved edges of primaries (10) and of dependents (20)."""
-    open_ = df.filter(F.col("target_path").isNull() & F.col("unresolved_reason").isNotNull())
-    sources = dependent.select(F.col("path").alias(src)).distinct()
-    say = lambda w: F.concat(F.lit(w), F.col("unresolved_reason"))
-    a = _row(open_.filter(among(src, own)), F.lit("Unknown"), src, line, col, kind, F.col(raw), F.lit("heuristic"), say(words[0]), F.lit(10))
-    b = _row(open_.join(sources, src, "left_semi"), F.lit("Unknown"), src, line, col, kind, F.col(raw), F.lit("heuristic"), say(words[1]), F.lit(20))
-    return dependent.unionByName(a).unionByName(b)
+NONE = "CAST(NULL AS STRING)"
 
 
-def dependency_rows(deps: DataFrame, own: list[str]) -> DataFrame:
-    role, fixture = paths.file_role(F.col("from_path")), paths.is_fixture_path(F.col("from_path"))
-    to = deps.filter(among("target_path", own)).withColumn("g", F.when(role == "test", "Tests").when(fixture, "Unknown").otherwise("Dependents"))
-    c = F.when(F.col("g") == "Tests", "test-related").when(F.col("g") == "Unknown", "heuristic").otherwise("dependency")
-    words = F.when(F.col("g") == "Tests", "test dependency imports ").when(F.col("g") == "Unknown", "fixture/example dependency imports ").otherwise("dependency imports ")
-    rows = _row(to, F.col("g"), "from_path", "from_line", "from_col", F.col("dependency_kind"), F.col("target_path"), c, F.concat(words, "target_path"), F.when(F.col("g") == "Unknown", 20).otherwise(0))
-    return _edges(deps, own, "from_path", "from_line", "from_col", F.col("dependency_kind"), "import_path", rows, ("unresolved dependency: ", "dependent file has unresolved dependency: "))
-
-
-def file_ref_rows(frefs: DataFrame, own: list[str]) -> DataFrame:
-    kind, src = F.col("reference_kind"), F.col("source_path")
-    shown = F.concat(F.lit("file_"), kind)
-    rows = _row(frefs.filter(among("target_path", own)), ranks.impact_group_for_file_ref(src, kind), "source_path", "source_line", "source_col", shown, F.col("target_path"), ranks.file_ref_confidence(src, kind, F.col("confidence")), F.concat(kind, F.lit(" file reference to "), "target_path"), ranks.file_ref_priority(kind))
-    return _edges(frefs, own, "source_path", "source_line", "source_col", shown, "raw_target", rows, ("unresolved file reference: ", "dependent file has unresolved file reference: "))
+def _edges(df: DataFrame, own: list[str], name: str, src: str, line: str, col: str, kind: str, raw: str) -> list[DataFrame]:
+    """Edges to the primaries, and unresolved edges of the primaries and of the files with edges to them."""
+    to = df.filter(among("target_path", own))
+    open_ = df.filter("target_path IS NULL AND unresolved_reason IS NOT NULL")
+    hit = _candidate(to, name, src, kind, "confidence", line, col, "target_path", NONE)
+    mine = _candidate(open_.filter(among(src, own)), f"{name}_own", src, kind, NONE, line, col, raw, "unresolved_reason")
+    near = _candidate(open_.join(to.select(src).distinct(), src, "left_semi"), f"{name}_near", src, kind, NONE, line, col, raw, "unresolved_reason")
+    return [hit, mine, near]
 
 
 def first_records(records: DataFrame) -> DataFrame:
@@ -156,31 +141,63 @@ def first_records(records: DataFrame) -> DataFrame:
     return records.groupBy("path").agg(F.min(F.struct("line", "col", "kind", "name")).alias("r")).select("path", "r.*")
 
 
-def test_rows(records: DataFrame, prim: Primary) -> DataFrame:
-    """Test files whose path holds the name of a primary's file or symbol; the tests are made before grouping."""
-    word = paths.test_name(F.col("path"))
-    named = paths.any_of([word.contains(n) for n in prim.needles]) if prim.needles else F.lit(False)
-    hit = first_records(records.filter(named & (paths.file_role(F.col("path")) == "test")))
-    return _row(hit, F.lit("Tests"), "path", "line", "col", F.lit("test_mapping"), F.col("name"), F.lit("test-related"), F.lit("same-name test convention"), F.lit(5))
+def _mapped(records: DataFrame, prim: Primary) -> list[DataFrame]:
+    """First records of paths that may be tests of a primary or settings of its area; the role decides later."""
+    n = paths.normal(F.col("path"))
+    word = F.regexp_replace(n, "[^a-z0-9]", "")
+    named = paths.any_of([word.contains(x) for x in prim.needles]) if prim.needles else F.lit(False)
+    area = (~n.contains("/") | n.rlike(r"^(?:\.github/workflows|config|configs|routes|schemas)/") | F.coalesce(paths.top_dir(n).isin(*prim.roots), F.lit(False))) & ~among("path", prim.paths) if prim.roots else F.lit(False)
+    first = first_records(records.filter(named | area).select("path", "line", "col", "kind", "name")).withColumns({"named": named, "area": area})
+    tests = _candidate(first.filter("named"), "test", "path", "'test_mapping'", NONE, "line", "col", "name", NONE)
+    roots = ",".join(prim.roots).replace("\\", "\\\\").replace("'", "\\'")
+    config = _candidate(first.filter("area"), "config", "path", "'file_role'", NONE, "line", "col", f"'{roots}'", NONE)
+    return [tests, config]
+
+
+def candidates(t: Tables, prim: Primary) -> DataFrame:
+    """Rows of all producers near the (direct) primaries, not yet placed in groups."""
+    own = prim.paths
+    refs = _candidate(matching_refs(t, prim), "ref", "from_path", "ref_kind", "confidence", "from_line", "from_col", "to_name", NONE)
+    deps = _edges(t.dependencies, own, "dep", "from_path", "from_line", "from_col", "dependency_kind", "import_path")
+    files = _edges(t.file_references, own, "file", "source_path", "source_line", "source_col", "reference_kind", "raw_target")
+    return reduce(DataFrame.unionByName, [refs, *deps, *files, *_mapped(t.records, prim)])
+
+
+GROUP = f"""CASE producer WHEN 'ref' THEN {ranks.IMPACT_GROUP_FOR_REF} WHEN 'dep' THEN CASE WHEN role = 'test' THEN 'Tests' WHEN fixture THEN 'Unknown' ELSE 'Dependents' END
+  WHEN 'file' THEN {ranks.IMPACT_GROUP_FOR_FILE_REF} WHEN 'test' THEN 'Tests' WHEN 'config' THEN 'Config' ELSE 'Unknown' END AS grp"""
+KIND = "CASE WHEN producer LIKE 'file%' THEN 'file_' || kind WHEN producer = 'config' THEN 'file_role:' || role ELSE kind END AS kind"
+CONFIDENCE = f"""CASE producer WHEN 'ref' THEN {ranks.IMPACT_CONFIDENCE_FOR_REF} WHEN 'dep' THEN CASE grp WHEN 'Tests' THEN 'test-related' WHEN 'Unknown' THEN 'heuristic' ELSE 'dependency' END
+  WHEN 'file' THEN {ranks.FILE_REF_CONFIDENCE} WHEN 'test' THEN 'test-related' ELSE 'heuristic' END AS confidence"""
+REASON = f"""CASE producer WHEN 'ref' THEN {ranks.IMPACT_REASON_FOR_REF} WHEN 'dep' THEN CASE grp WHEN 'Tests' THEN 'test dependency imports ' WHEN 'Unknown' THEN 'fixture/example dependency imports ' ELSE 'dependency imports ' END || target
+  WHEN 'file' THEN kind || ' file reference to ' || target WHEN 'test' THEN 'same-name test convention' WHEN 'config' THEN role || ' applies to source area'
+  WHEN 'dep_own' THEN 'unresolved dependency: ' || extra WHEN 'dep_near' THEN 'dependent file has unresolved dependency: ' || extra
+  WHEN 'file_own' THEN 'unresolved file reference: ' || extra ELSE 'dependent file has unresolved file reference: ' || extra END AS reason"""
+PRIORITY = f"""CAST(CASE WHEN producer = 'ref' THEN {ranks.IMPACT_REF_PRIORITY} WHEN producer = 'dep' THEN CASE WHEN grp = 'Unknown' THEN 20 ELSE 0 END WHEN producer = 'file' THEN {ranks.FILE_REF_PRIORITY} WHEN producer = 'test' THEN 5
+  WHEN producer = 'config' THEN CASE WHEN role = 'package_manifest' THEN 0 WHEN role = 'build' AND norm LIKE '.github/%' THEN 4 WHEN role = 'build' THEN 1 WHEN role = 'config' THEN 3 ELSE 9 END
+  WHEN producer LIKE '%\\\\_own' THEN 10 ELSE 20 END AS INT) AS priority"""
+APPLIES = """NOT producer IN ('test', 'config') OR (producer = 'test' AND role = 'test')
+  OR (producer = 'config' AND ((role IN ('package_manifest', 'build') AND (norm NOT LIKE '%/%' OR norm LIKE '.github/workflows/%' OR in_area)) OR (role = 'config' AND (norm RLIKE '^(?:config|configs|routes|schemas)/' OR in_area))))"""
+"""Columns of placed rows over producer, kind, confidence, target, extra, role, fixture, norm, in_area and grp."""
+
+
+def placed(rows: DataFrame, roots: list[str]) -> DataFrame:
+    """Candidates with role, fixture flag, group, confidence, reason and priority; rows the role rules out are dropped."""
+    n = paths.normal(F.col("path"))
+    in_area = F.coalesce(paths.top_dir(n).isin(*roots), F.lit(False)) if roots else F.lit(False)
+    rows = rows.withColumns({"role": paths.file_role(F.col("path")), "fixture": paths.is_fixture_path(F.col("path")), "norm": n, "in_area": in_area}).filter(APPLIES)
+    number = ["n"] if "n" in rows.columns else []
+    return rows.selectExpr("*", GROUP).selectExpr("producer", "grp", "path", "line", "col", KIND, "target", CONFIDENCE, REASON, PRIORITY, f"{ranks.ROLE_PENALTY} AS penalty", "role", "fixture", *number)
 
 
-def config_rows(records: DataFrame, prim: Primary) -> DataFrame:
-    """Operational files that apply to a primary's source area."""
-    n = paths.normal(F.col("path"))
-    in_area = F.coalesce(paths.top_dir(n).isin(*prim.roots), F.lit(False)) if prim.roots else F.lit(False)
-    build = F.col("role").isin("package_manifest", "build") & (~n.contains("/") | n.startswith(".github/workflows/") | in_area)
-    config = (F.col("role") == "config") & (n.rlike("^(?:config|configs|routes|schemas)/") | in_area)
-    near = records.filter(~among("path", prim.paths)).select("path", "line", "col", "kind", "name", paths.file_role(F.col("path")).alias("role")).filter(build | config if prim.roots else F.lit(False))
-    hit = near.groupBy("path", "role").agg(F.min(F.struct("line", "col", "kind", "name")).alias("r")).select("path", "role", "r.line", "r.col")
-    prio = F.when(F.col("role") == "package_manifest", 0).when((F.col("role") == "build") & n.startswith(".github/"), 4).when(F.col("role") == "build", 1).when(F.col("role") == "config", 3).otherwise(9)
-    return _row(hit, F.lit("Config"), "path", "line", "col", F.concat(F.lit("file_role:"), "role"), F.lit(",".join(prim.roots)), F.lit("heuristic"), F.concat("role", F.lit(" applies to source area")), prio)
+def best(rows: DataFrame) -> DataFrame:
+    """The first candidate of each (producer, path, kind, confidence), which fix group and priority, and the number ``n`` of all."""
+    one = rows.groupBy("producer", "path", "kind", "confidence").agg(F.min(F.struct("line", "col", "tie", "target", "extra")).alias("b"), F.count(F.lit(1)).alias("n"))
+    return one.select("producer", "path", "kind", "confidence", "b.*", "n")
 
 
 def impact_rows(t: Tables, prim: Primary) -> DataFrame:
     """All rows of all impact groups of the (direct) primaries."""
-    own = prim.paths
-    parts = [ref_rows(matching_refs(t, prim)), dependency_rows(t.dependencies, own), file_ref_rows(t.file_references, own), test_rows(t.records, prim), config_rows(t.records, prim)]
-    return reduce(DataFrame.unionByName, parts)
+    return placed(candidates(t, prim).repartition("path"), prim.roots).select(*ROW)
 
 
 def impact_key() -> list[Column | str]:
@@ -188,7 +205,7 @@ def impact_key() -> list[Column | str]:
 
 
 def pack_key() -> list[Column | str]:
-    return ["priority", ranks.confidence_rank(F.col("confidence")), "penalty", F.desc("ref_count"), "path", "line", "col", "kind", "target", "confidence", "reason"]
+    return ["priority", F.expr(ranks.CONFIDENCE_RANK), "penalty", F.desc("ref_count"), "path", "line", "col", "kind", "target", "confidence", "reason"]
 
 
 def budgeted(rows: DataFrame, groups: tuple[tuple[str, int], ...], total: int, key: list[Column | str]) -> DataFrame:
@@ -199,8 +216,7 @@ def budgeted(rows: DataFrame, groups: tuple[tuple[str, int], ...], total: int, k
     over at most that many rows per group.
     """
     cap = sum(n for _, n in groups)
-    out_cols = rows.columns
-    rows = rows.withColumn("penalty", paths.context_penalty(F.col("path")))
+    out_cols = [c for c in rows.columns if c != "penalty"]
     w1 = Window.partitionBy("grp", "path").orderBy(*key)
     w2 = Window.partitionBy("grp").orderBy(*key)
     short = rows.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") == 1).withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= cap)
@@ -235,21 +251,21 @@ def budgeted(rows: DataFrame, groups: tuple[tuple[str, int], ...], total: int, k
 def impact(t: Tables, query: str, o: S.Options = S.Options()) -> DataFrame:
     """The bounded impact list; primaries come on top of the limit and their paths are not repeated."""
     prim = primary(t, query, o).direct()
-    rows = impact_rows(t, prim).filter(~among("path", prim.paths)).select(*ROW)
+    rows = placed(best(candidates(t, prim).filter(~among("path", prim.paths))), prim.roots).select(*ROW, "penalty")
     return budgeted(rows, IMPACT_GROUPS, o.taken(IMPACT_LIMIT), impact_key())
 
 
 def pack_dependency_rows(t: Tables, prim: Primary) -> DataFrame:
     """Where the primaries' own edges lead: the target's first record, or line 1."""
     own = prim.paths
-    place = lambda a, b: F.concat(F.col(a), F.lit(":"), F.col(b).cast("string"))
-    rk, sp = F.col("reference_kind"), F.col("source_path")
+    test_paths = [r["path"] for r in prim.rows if r["role"] == "test"]
     mine = lambda df, src: df.filter(among(src, own) & F.col("target_path").isNotNull() & ~among("target_path", own))
-    row = lambda df, raw, kind, conf, reason, prio: df.select("target_path", raw.alias("raw"), kind.alias("kind"), conf.alias("confidence"), reason.alias("reason"), prio.cast("int").alias("priority"))
-    d = row(mine(t.dependencies, "from_path"), F.col("import_path"), F.col("dependency_kind"), F.lit("dependency"), F.concat(F.lit("primary dependency imported at "), place("from_path", "from_line")), F.lit(0))
-    f = row(mine(t.file_references, "source_path"), F.col("raw_target"), F.concat(F.lit("file_"), rk), ranks.file_ref_confidence(sp, rk, F.col("confidence")), F.concat(F.lit("primary file "), rk, F.lit(" at "), place("source_path", "source_line")), ranks.file_ref_priority(rk))
+    d = mine(t.dependencies, "from_path").selectExpr("target_path", "import_path AS raw", "dependency_kind AS kind", "'dependency' AS confidence", "'primary dependency imported at ' || from_path || ':' || from_line AS reason", "0 AS priority")
+    f = mine(t.file_references, "source_path").withColumns({"kind": F.col("reference_kind"), "role": F.when(among("source_path", test_paths), "test").otherwise("")})
+    f = f.selectExpr("target_path", "raw_target AS raw", "'file_' || kind AS kind", f"{ranks.FILE_REF_CONFIDENCE} AS confidence", "'primary file ' || kind || ' at ' || source_path || ':' || source_line AS reason", f"{ranks.FILE_REF_PRIORITY} AS priority")
     edges = d.unionByName(f)
-    near = t.records.join(edges.select(F.col("target_path").alias("path")).distinct(), "path", "left_semi")
+    # the targets of at most three files, each of at most MAX_BYTES: they fit into a broadcast
+    near = t.records.join(F.broadcast(edges.select(F.col("target_path").alias("path")).distinct()), "path", "left_semi")
     first = first_records(near).select(F.col("path").alias("target_path"), F.col("line").alias("_l"), F.col("col").alias("_c"), F.col("name").alias("_n"))
     j = edges.join(first, "target_path", "left")
     return j.select(F.lit("Dependencies").alias("grp"), F.col("target_path").alias("path"), F.coalesce("_l", F.lit(1)).alias("line"), F.coalesce("_c", F.lit(1)).alias("col"), "kind", F.coalesce("_n", "raw").alias("target"), "confidence", "reason", "priority")
@@ -258,12 +274,12 @@ def pack_dependency_rows(t: Tables, prim: Primary) -> DataFrame:
 def pack(t: Tables, query: str, o: S.Options = S.Options()) -> DataFrame:
     """The bounded read set: primaries count against the limit."""
     prim = primary(t, query, o).direct()
-    counts = matching_refs(t, prim).groupBy(F.col("from_path").alias("path")).agg(F.count(F.lit(1)).alias("ref_count"))
-    near = impact_rows(t, prim).join(counts, "path", "left").withColumn("ref_count", F.coalesce("ref_count", F.lit(0).cast("bigint")))
-    docs_like = paths.file_role(F.col("path")).isin("docs", "generated", "vendor") | paths.is_fixture_path(F.col("path"))
+    near = placed(best(candidates(t, prim).filter(~among("path", prim.paths))), prim.roots)
+    near = near.withColumn("ref_count", F.coalesce(F.sum(F.when(F.col("producer") == "ref", F.col("n"))).over(Window.partitionBy("path")), F.lit(0).cast("bigint")))
+    docs_like = F.col("role").isin("docs", "generated", "vendor") | F.col("fixture")
     near = near.withColumn("grp", F.when(F.col("grp") == "Unknown", F.when(docs_like, "Docs").otherwise("Unresolved")).otherwise(F.col("grp")))
-    far = pack_dependency_rows(t, prim).withColumn("ref_count", F.lit(0).cast("bigint"))
-    rows = near.select(*ROW, "ref_count").unionByName(far.select(*ROW, "ref_count")).filter(~among("path", prim.paths))
+    far = pack_dependency_rows(t, prim).withColumns({"role": paths.file_role(F.col("path")), "fixture": paths.is_fixture_path(F.col("path"))}).selectExpr(*ROW, "0L AS ref_count", f"{ranks.ROLE_PENALTY} AS penalty")
+    rows = near.select(*ROW, "ref_count", "penalty").unionByName(far)
     taken = budgeted(rows, PACK_GROUPS, max(0, o.taken(PACK_LIMIT) - len(prim.rows)), pack_key())
     top = [("Primary", r["path"], r["line"], r["col"], r["kind"], r["name"], "direct", "exact symbol match", 0, 0) for r in prim.rows]
     return taken.sparkSession.createDataFrame(top, taken.schema).unionByName(taken) if top else taken

@@ -113,35 +113,18 @@ def search_merged(records: DataFrame, files: DataFrame, query: str, o: Options =
     """Strong records, then files without a strong record, then weak records without a listed file.
 
     The three parts share the limit. The file limit is what the strong part leaves, applied before paths of
-    strong records are taken out, so the file part may stay short. All inputs here have at most ``limit`` rows.
+    strong records are taken out, so the file part may stay short. Both searches run once; their at most
+    ``limit`` rows each are merged on the driver.
     """
     n = o.taken()
-    found = search(records, query, o).withColumn("pos", F.row_number().over(_all().orderBy(*_final_key())))
-    strong = found.filter(F.col("score") <= STRONG)
-    n_strong = F.coalesce(strong.agg(F.count(F.lit(1))).scalar(), F.lit(0))
-    ranked = search_files(files, query, Options(o.kind, o.lang, o.path, o.source, n)).withColumn("fpos", F.row_number().over(_all().orderBy("score", paths.path_depth(F.col("path")), ascii_lower(F.col("path")), "path")))
-    kept = ranked.filter(F.col("fpos") <= n - n_strong).join(strong.select("path").distinct(), "path", "left_anti")
-    n_files = F.coalesce(kept.agg(F.count(F.lit(1))).scalar(), F.lit(0))
-    weak = found.filter(F.col("score") > STRONG).join(kept.select("path"), "path", "left_anti").withColumn("wpos", F.row_number().over(_all().orderBy("pos"))).filter(F.col("wpos") <= n - n_strong - n_files)
-    none = lambda t: F.lit(None).cast(t)
-    row = lambda df, part: df.select(F.lit(part).alias("part"), "path", F.col("line").alias("line"), "kind", "name", "score")
-    return row(strong, "strong").unionByName(kept.select(F.lit("file").alias("part"), "path", none("int").alias("line"), none("string").alias("kind"), none("string").alias("name"), "score")).unionByName(row(weak, "weak"))
-
-
-def _all():  # noqa: ANN202
-    """One window over at most ``limit`` rows."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
-def _final_key() -> list[Column]:
-    return [
-        F.when(F.col("score") <= 1, 0).otherwise(1),
-        paths.search_penalty(F.col("path")),
-        F.col("score"),
-        kind_rank(F.col("kind")),
-        paths.path_depth(F.col("path")),
-        F.char_length("text"),
-        *[F.col(c) for c in ("path", "line", "col", "kind", "name", "source", "lang", "text")],
-    ]
+    found = search(records, query, o).select("path", "line", "kind", "name", "score").collect()
+    strong = [r for r in found if r["score"] <= STRONG]
+    taken = {r["path"] for r in strong}
+    room = n - len(strong)
+    ranked = search_files(files, query, Options(o.kind, o.lang, o.path, o.source, n)).collect()[:room] if room > 0 else []
+    kept = [r for r in ranked if r["path"] not in taken]
+    listed = {r["path"] for r in kept}
+    weak = [r for r in found if r["score"] > STRONG and r["path"] not in listed][: max(0, room - len(kept))]
+    row = lambda part: lambda r: (part, r["path"], r["line"], r["kind"], r["name"], r["score"])
+    out = [*map(row("strong"), strong), *(("file", r["path"], None, None, None, r["score"]) for r in kept), *map(row("weak"), weak)]
+    return records.sparkSession.createDataFrame(out, "part string, path string, line int, kind string, name string, score int")
