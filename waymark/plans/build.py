@@ -46,11 +46,13 @@ def refs_of(texts: DataFrame, records: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def facts_of(spark: SparkSession, records: DataFrame, deps: DataFrame, adapters: list[Adapter]) -> DataFrame:
-    """Facts of all adapters; one that is unavailable or fails is skipped. Blank confidence and adapter get defaults."""
+    """Facts of all adapters; one that is unavailable or fails, while planning or running, is skipped. Blank
+    confidence and adapter get defaults. Each adapter's rows are written once, so a failure stays with it."""
     out = spark.createDataFrame([], FACTS)
     for k, make in enumerate(adapters):
         try:
             got = make(records, deps)
+            got = None if got is None else cut(got.select(*out.columns))
         except Exception:  # noqa: BLE001
             continue
         if got is not None:
@@ -81,16 +83,21 @@ def full(spark: SparkSession, files: DataFrame, adapters: list[Adapter] | None =
     }
 
 
-def incremental(spark: SparkSession, old: dict[str, DataFrame], files: DataFrame, adapters: list[Adapter] | None = None, **packages: str | None) -> dict[str, DataFrame]:
-    """Tables after a change: only stale paths are parsed again; relations of untouched files are kept if they stay valid."""
-    d = manifest.diff(old["files"], files).filter(F.col("state") != "unchanged")
+def incremental(spark: SparkSession, old: dict[str, DataFrame], files: DataFrame, adapters: list[Adapter] | None = None, read: Callable[[DataFrame], DataFrame] | None = None, **packages: str | None) -> dict[str, DataFrame]:
+    """Tables after a change: only stale paths are parsed again; relations of untouched files are kept if they stay valid.
+
+    ``files`` holds texts, or ``read`` gives the texts of listed files, so that untouched files are only read
+    where relations of all files are needed again.
+    """
+    d = cut(manifest.diff(old["files"], files).filter(F.col("state") != "unchanged"))
     stale = d.select("path")
     changed = files.join(stale, "path", "left_semi")
+    changed = cut(read(changed)) if read else changed
     texts = changed.filter(F.col("text").isNotNull()).select("path", "text")
     fresh = cut(records_of(texts))
     records = manifest.merge(old["records"], fresh, stale, "path")
     everything = not d.filter(manifest.needs_full(F.col("state"), F.col("path"))).isEmpty() or bool(adapters)
-    all_texts = files.filter(F.col("text").isNotNull()).select("path", "text")
+    all_texts = (read(files) if read else files).filter(F.col("text").isNotNull()).select("path", "text")
     if everything:
         deps = cut(edges_of(all_texts, records, files, **packages))
         frefs = file_refs_of(all_texts, deps, files)
@@ -114,14 +121,14 @@ def too_many_records(records: DataFrame) -> DataFrame:
 def build_index(spark: SparkSession, root: str, store_dir: str | None = None, adapters: list[Adapter] | None = None) -> dict:
     """Build or refresh the snapshot of a directory; returns what was done and the counts of the manifest diff."""
     store_dir = store_dir or f"{root}/.dev_index"
-    meta = tree.walk(spark, root)
+    meta = cut(tree.walk(spark, root))
     old = store.read_snapshot(spark, store_dir)
     if old is not None and not adapters and manifest.is_fresh(old["files"], meta):
         return {"built": False, "added": 0, "changed": 0, "deleted": 0}
-    files = tree.read_texts(spark, root)
-    names = tree.package_names({r["path"]: r["text"] or "" for r in files.filter(F.col("path").isin("go.mod", "package.json", "pubspec.yaml")).select("path", "text").collect()})
+    read = lambda some: tree.read_texts(spark, root, files=some)
+    names = tree.package_names({p: tree.read_text(root, p) or "" for p in ("go.mod", "package.json", "pubspec.yaml")})
     states = {r["state"]: r["n"] for r in manifest.diff(old["files"], meta).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()} if old else {"added": meta.count()}
-    tables = full(spark, files, adapters, **names) if old is None else incremental(spark, old, files, adapters, **names)
+    tables = full(spark, read(meta), adapters, **names) if old is None else incremental(spark, old, meta, adapters, read, **names)
     if not too_many_records(tables["records"]).isEmpty():
         raise ValueError(f"a file has more than {MAX_RECORDS_PER_FILE} records")
     store.write_snapshot(store_dir, tables, int(time.time()))

@@ -166,8 +166,8 @@ def walk(spark: SparkSession, root: str, rules: list[tuple[str, bool]] | None =
     return every.filter(~always_ignored(F.col("path")) & ~ignored(F.col("path"), rules))
 
 
-def read_texts(spark: SparkSession, root: str, rules: list[tuple[str, bool]] | None = None, global_rules: str = "") -> DataFrame:
-    """(path, mtime_ns, size, text): text is null for files too large, binary, or no valid UTF-8.
+def read_texts(spark: SparkSession, root: str, rules: list[tuple[str, bool]] | None = None, global_rules: str = "", files: DataFrame | None = None) -> DataFrame:
+    """(path, mtime_ns, size, text) of a walk, or of the listed ``files``: text is null for files too large, binary, or no valid UTF-8.
 
     Files are spread by path before they are read; one that vanishes meanwhile has no text.
     """
@@ -186,7 +186,7 @@ def read_texts(spark: SparkSession, root: str, rules: list[tuple[str, bool]] | N
                         content = None
                 yield pa.RecordBatch.from_pylist([row | {"content": content}], schema=pa.schema([("path", pa.string()), ("mtime_ns", pa.int64()), ("size", pa.int64()), ("content", pa.binary())]))
 
-    kept = walk(spark, root, rules, global_rules).repartition("path")
+    kept = (walk(spark, root, rules, global_rules) if files is None else files.select("path", "mtime_ns", "size")).repartition("path")
     return kept.mapInArrow(run, LISTING + ", content binary").select("path", "mtime_ns", "size", decoded(F.col("content")).alias("text"))
 
 
