@@ -340,6 +340,69 @@ def test_usage_report(spark):
     assert "1d        4         3     1       75.0%      3.0" in text and "Context commands: 2 (refs 0, pack 1, impact 1)" in text and text.rstrip().endswith("- q3")
 
 
+RESOLVED = [
+    # kind, from, import, target or None, reason or None
+    ("python_import", "app/a.py", "util", "app/util.py", None),
+    ("python_import", "app/a.py", "pkg.core", "src/pkg/core.py", None),
+    ("python_import", "app/a.py", "pkg", "src/pkg/__init__.py", None),
+    ("python_import", "app/a.py", "numpy", None, "external_package"),
+    ("python_import", "app/a.py", "pkg.none", None, "target_not_found"),
+    ("python_import", "app/a.py", ".", None, "target_not_found"),
+    ("js_import", "web/x.ts", "./both", None, "ambiguous_match"),
+    ("js_import", "web/x.ts", "../lib/k", "lib/k/index.js", None),
+    ("js_import", "web/x.ts", "mypkg/lib/k", "lib/k/index.js", None),
+    ("js_import", "web/x.ts", "react", None, "external_package"),
+    ("js_import", "web/x.ts", "./gone", None, "target_not_found"),
+    ("go_import", "cmd/m.go", "ex.org/m/inner", "inner/one.go", None),
+    ("go_import", "cmd/m.go", "ex.org/m/none", None, "target_not_found"),
+    ("go_import", "cmd/m.go", "far.org/q/inner", None, "external_package"),
+    ("go_import", "cmd/m.go", "fmt", None, "external_package"),
+    ("java_import", "x/A.java", "a.b.Box", "src/main/java/a/b/Box.java", None),
+    ("java_import", "x/A.java", "c.Far", "deep/c/Far.java", None),
+    ("java_import", "x/A.java", "a.b.*", "src/main/java/a/b/Box.java", None),
+    ("java_import", "x/A.java", "java.util.List", None, "external_package"),
+    ("java_import", "x/A.java", "a.b.None", None, "target_not_found"),
+    ("kotlin_import", "x/A.kt", "k.Thing", "src/main/kotlin/k/Thing.kt", None),
+    ("scala_import", "x/A.scala", "scala.math", None, "external_package"),
+    ("cs_import", "x/A.cs", "My.Tools", "src/My/Tools.cs", None),
+    ("cs_import", "x/A.cs", "static System.Math", None, "external_package"),
+    ("c_include", "c/m.c", "own.h", "c/own.h", None),
+    ("c_include", "c/m.c", "far.h", "inc/far.h", None),
+    ("c_include", "c/m.c", "stdio.h", None, "system_include"),
+    ("c_include", "c/m.c", "none.h", None, "target_not_found"),
+    ("php_include", "p/a.php", "b.php", "p/b.php", None),
+    ("php_include", "p/a.php", "rooted.php", "rooted.php", None),
+    ("swift_import", "s/A.swift", "Core", "s/mod/Core.swift", None),
+    ("swift_import", "s/A.swift", "Foundation", None, "external_package"),
+    ("dart_import", "d/a.dart", "package:mine/x.dart", "lib/x.dart", None),
+    ("dart_import", "d/a.dart", "package:other/x.dart", None, "external_package"),
+    ("dart_import", "d/a.dart", "dart:io", None, "external_package"),
+    ("dart_import", "d/a.dart", "./b.dart", "d/b.dart", None),
+    ("dart_import", "d/a.dart", "b.dart", None, "target_not_found"),
+    ("rust_module", "src/main.rs", "util", "src/util.rs", None),
+    ("rust_module", "src/main.rs", "deep", "src/deep/mod.rs", None),
+    ("rust_use", "src/deep/mod.rs", "crate::util::f", "src/util.rs", None),
+    ("rust_use", "src/deep/mod.rs", "super::util::f", "src/util.rs", None),
+    ("rust_use", "src/deep/mod.rs", "self::leaf::f", "src/deep/leaf.rs", None),
+    ("rust_use", "src/deep/mod.rs", "std::fmt", None, "external_package"),
+    ("ruby_require", "r/a.rb", "./b", "r/b.rb", None),
+    ("ruby_require", "r/a.rb", "json", None, "external_package"),
+    ("shell_source", "sh/a.sh", "lib.sh", "sh/lib.sh", None),
+    ("shell_source", "sh/a.sh", "/etc/x", None, "absolute_path"),
+    ("nix_import", "n/a.nix", "./b.nix", "n/b.nix", None),
+    ("odd_import", "n/a.zig", "b", None, "unsupported_language"),
+]
+
+
+def test_resolvers_of_all_languages(spark):
+    have = {t for _, _, _, t, _ in RESOLVED if t} | {"web/both.ts", "web/both.js", *(f for _, f, *_ in RESOLVED)}
+    files = spark.createDataFrame([(p,) for p in sorted(have)] * 2, "path string")
+    edges = spark.createDataFrame([(f, k, 1, imp, kind, "l", "e", "s") for k, (kind, f, imp, _, _) in enumerate(RESOLVED)], "from_path string, from_line int, from_col int, import_path string, dependency_kind string, lang string, evidence string, source string")
+    got = {(r["dependency_kind"], r["from_path"], r["import_path"]): (r["target_path"], r["unresolved_reason"], r["confidence"]) for r in resolve.resolve(edges, files, go_module="ex.org/m", js_package="mypkg", dart_package="mine").collect()}
+    for kind, f, imp, target, reason in RESOLVED:
+        assert got[kind, f, imp] == (target, reason, "resolved" if target else "ambiguous" if reason == "ambiguous_match" else "unresolved"), (kind, imp)
+
+
 def test_command_grammar():
     assert ops.parse_command(["refs", "x", "y"]) == ("refs", "x y")
     assert ops.parse_command(["doctor"]) == ("doctor", "")
