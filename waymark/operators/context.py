@@ -217,6 +217,7 @@ def budgeted(rows: DataFrame, groups: tuple[tuple[str, int], ...], total: int, k
     """
     cap = sum(n for _, n in groups)
     out_cols = [c for c in rows.columns if c != "penalty"]
+    rows = rows if "penalty" in rows.columns else rows.withColumn("penalty", paths.context_penalty(F.col("path")))
     w1 = Window.partitionBy("grp", "path").orderBy(*key)
     w2 = Window.partitionBy("grp").orderBy(*key)
     short = rows.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") == 1).withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= cap)
