@@ -99,6 +99,11 @@ class Bits:
         h = hashes.astype(np.uint64, copy=False)
         return h & np.uint64(size - 1), (h >> np.uint64(29)) * np.uint64(0x9E3779B1) >> np.uint64(5) & np.uint64(size - 1)
 
+    def one(self, h: int) -> bool:
+        last = len(self.words) * 64 - 1
+        b = (((h >> 29) * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF) >> 5) & last
+        return all(int(self.words[k >> 6]) >> (k & 63) & 1 for k in (h & last, b))
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
         a, b = self.places(hashes, len(self.words) * 64)
         six, low = np.uint64(6), np.uint64(63)
@@ -141,7 +146,7 @@ class Templates:
         got = self.tokens.get(word)
         if got is None:
             h = word_hash(word)
-            kind = "d" if word.isdigit() else "u" if word in UNITS else "n" if self.names.has(np.array([h], np.uint64))[0] else ""
+            kind = "d" if word.isdigit() else "u" if word in UNITS else "n" if self.names.one(h) else ""
             if len(self.tokens) > 1 << 18:
                 self.tokens.clear()
             got = self.tokens[word] = (TYPED.get(kind, h), kind)
