@@ -42,6 +42,9 @@ PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\\n|\\r|\s)*([^\s\"'\\
 PUBLIC = re.compile(r"-----BEGIN (?:PUBLIC KEY|CERTIFICATE)-----.*|\bssh-(?:ed25519|rsa|dss)\s+\S+|\becdsa-sha2-\S+\s+\S+|\bsha(?:1|224|256|384|512)[-:]\S+")
 ELSEWHERE = re.compile(r"(?i)getenv|environ|process\.env|env!|readsecret|get_secret|vault|prompt|getpass|secret_?manager|keyring\.get|\$\{|\{\{|%\(|\$\(|:\s*see the|is read from|\{token\}")
 
+ELSEWHERE_SIGNS = ("env", "secret", "vault", "prompt", "getpass", "keyring", "${", "{{", "%(", "$(", "see the", "read from", "{token}")
+"""What a text must hold, in lower case, for ELSEWHERE to match it (fixed values)."""
+
 PASS_WORDS = frozenset("password passwd passwort passwords pwd pw pass passphrase pgpass senha contrasena contraseña passe kennwort haslo wachtwoord pin".split())
 TOKEN_WORDS = frozenset("token jwt bearer auth authorization credential credentials login sig signature cookie session otp".split())
 KEY_WORDS = frozenset("key apikey secret accountkey accesskey secretkey privatekey pem hmac signing".split())
@@ -197,7 +200,9 @@ class Lexer:
                 flags = flags or ["-"] * len(toks)
                 for i in range(bisect_left(starts, lo), bisect_left(starts, hi)):
                     flags[i] = name
-        return toks, starts, flags, "y" if ELSEWHERE.search(text) else "n"
+        low = text.lower()
+        maybe = not text.isascii() or any([s in low for s in ELSEWHERE_SIGNS])
+        return toks, starts, flags, "y" if maybe and ELSEWHERE.search(text) else "n"
 
     def context(self, toks: list[str], flags: list[str] | None, away: str) -> list[tuple]:
         n = len(toks)

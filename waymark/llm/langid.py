@@ -35,7 +35,7 @@ MIN_SENTENCE_LETTERS = 5
 """Letters below which a sentence is no evidence of its own (ideographs and kana count three)."""
 SURE = 0.75
 """Confidence from which a sentence stands for a second language."""
-BATCH_POSITIONS = 1 << 16
+BATCH_POSITIONS = 1 << 17
 LONGEST = 4096
 """Bytes of a sentence read at once; the runs of a longer one are pooled."""
 REMEMBERED = 1 << 16
@@ -92,7 +92,9 @@ def sentences(text: str) -> list[str]:
         text = html.unescape(text)
     if "<" in text:
         text = TAG.sub(" ", text)
-    text = LONG_RUN.sub(r"\1\1", INVISIBLE.sub("", text))
+    if not text.isascii():
+        text = INVISIBLE.sub("", text)
+    text = LONG_RUN.sub(r"\1\1", text)
     return [" ".join(s.split()).lstrip(">/ ") for s in BREAK.split(text) if s and s.strip(">/ \t\r")]
 
 
