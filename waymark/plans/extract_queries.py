@@ -68,7 +68,23 @@ def register(reg: Registry) -> None:
     def json_keys(spark, d):
         return X.line_landmarks(texts(spark, d)).filter((F.col("lang") == "json") & (F.col("kind") == "key")).select("path", "line", "col", "kind", "name")
 
-    reg.query("config_keys")(lambda spark, d: X.line_landmarks(texts(spark, d)).filter(F.col("lang").isin("toml", "yaml", "yml")))
+    run = lambda stop: rf"""^((?:[^"'{stop}\\]|\\.|"[^"\\]*(?:\\.[^"\\]*)*"?|'[^'\\]*(?:\\.[^'\\]*)*'?)*)""".replace("'", "''")
+    bare = lambda c: f"trim(regexp_replace(trim({c}, ' ' || chr(9)), '^(?:\"(.*)\"|''(.*)'')$', '\\1\\2'), ' ' || chr(9))"
+    named = lambda c: f"CASE WHEN NOT regexp_matches(trim({c}, ' ' || chr(9)), '^[#?]') AND regexp_matches({bare(c)}, '^[A-Za-z0-9_\\-.$@:]+$') AND regexp_matches({bare(c)}, '[A-Za-z0-9]') THEN {bare(c)} END"
+    lead = lambda c: f"strlen(regexp_extract({c}, '^(\\s*)', 1))"
+    config_todo = " UNION ALL ".join(f"SELECT path, line_no, lang, line, strlen(split_part(line, '{w}', 1)) + 1 AS col, '{w.lower()}' AS kind, '{w}' AS name FROM u WHERE contains(line, '{w}')" for w in ("TODO", "FIXME"))
+    config_sql = f"""WITH {LINES}, u AS (SELECT path, line_no, lang, line, regexp_extract(line, '{run('#')}', 1) AS body FROM lines WHERE lang IN ('toml', 'yaml', 'yml')),
+      a AS (SELECT *, regexp_extract(body, '^\\s*(.*)$', 1) AS t, CASE WHEN regexp_matches(body, '{run('=')}=') THEN regexp_extract(body, '{run('=')}=', 1) END AS before FROM u WHERE lang = 'toml'),
+      b AS (SELECT *, CASE WHEN starts_with(t, '[[') THEN regexp_extract(t, '^\\[\\[(.*?)\\]\\]', 1) WHEN starts_with(t, '[') THEN regexp_extract(t, '^\\[(.*?)\\]', 1) END AS inside FROM a),
+      c AS (SELECT *, {named('inside')} AS tb, {named('before')} AS key FROM b),
+      y AS (SELECT *, regexp_extract(body, '^\\s*(.*)$', 1) AS t0 FROM u WHERE lang IN ('yaml', 'yml')), y1 AS (SELECT *, regexp_extract(t0, '^(- \\s*)', 1) AS dash FROM y), y2 AS (SELECT *, substr(t0, length(dash) + 1) AS c FROM y1),
+      y3 AS (SELECT *, CASE WHEN regexp_matches(c, '{run(':')}:') THEN regexp_extract(c, '{run(':')}:', 1) END AS before FROM y2), y4 AS (SELECT *, {named('before')} AS key, trim(substr(c, length(before) + 2), ' ' || chr(9)) AS value FROM y3),
+      f AS (SELECT path, line_no, lang, line, {lead('body')} + CASE WHEN starts_with(t, '[[') THEN 2 ELSE 1 END + {lead('inside')} + 1 AS col, 'table' AS kind, tb AS name FROM c WHERE starts_with(t, '[') AND tb IS NOT NULL
+        UNION ALL SELECT path, line_no, lang, line, {lead('before')} + 1, 'key', key FROM c WHERE key IS NOT NULL AND NOT (starts_with(t, '[') AND tb IS NOT NULL)
+        UNION ALL SELECT path, line_no, lang, line, {lead('body')} + strlen(dash) + {lead('before')} + 1, CASE WHEN value = '' THEN 'section' ELSE 'key' END, key FROM y4 WHERE key IS NOT NULL AND c NOT IN ('', '---', '...')
+        UNION ALL {config_todo})
+      SELECT path, line_no::INTEGER AS line, col::INTEGER AS col, lang, kind, name, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS text, 'extras' AS source FROM f"""
+    reg.query("config_keys", config_sql)(lambda spark, d: X.line_landmarks(texts(spark, d)).filter(F.col("lang").isin("toml", "yaml", "yml")))
     reg.query("line_landmarks")(lambda spark, d: X.line_landmarks(texts(spark, d)))
     reg.query("parsed_symbols")(lambda spark, d: symbols.symbols(texts(spark, d)))
     reg.query("call_references")(lambda spark, d: symbols.syntax_refs(texts(spark, d)))
