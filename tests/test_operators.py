@@ -133,6 +133,24 @@ def test_spans_on_a_long_line(spark):
     assert all(line.encode()[r["c"] - 1 :].startswith(r["t"].encode()) for r in got) and len(got) == 1500
 
 
+def test_words_of_a_long_line_do_not_carry_it(spark):
+    line = "  " + " ;  ".join(f"word{k}" for k in range(300))
+    texts = spark.createDataFrame([("a.js", line)], "path string, text string")
+    records = spark.createDataFrame([("b.js", 1, 1, "js", "function", f"word{k}", "", "tree_sitter") for k in range(300)], REC)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = extract.text_references(texts, records)
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+        got = df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert any("evidence#" in m for m in moved) and not any(re.search(r"\bline#", m) for m in moved if "line_no#" in m)
+    short = " ".join(line.split())[:119] + "…"
+    assert {(r["to_name"], r["from_col"], r["evidence"]) for r in got} == {(f"word{k}", line.index(f"word{k} ") + 1 if k < 299 else line.index("word299") + 1, short) for k in range(300)}
+
+
 def test_resolver_tiers_suffixes_and_reasons(spark):
     f = spark.createDataFrame([(p,) for p in ("src/a/b.py", "app/x.py", "pkg/__init__.py", "web/u.ts", "web/lib/index.js", "lib/com/x/Z.java", "other/com/x/Z.java", "src/net/mod.rs")], "path string")
     e = [("src/a/m.py", "b", "python_import"), ("src/a/m.py", "x", "python_import"), ("t.py", "os", "python_import"), ("t.py", "pkg", "python_import"), ("web/v.ts", "./lib", "js_import"), ("web/v.ts", "react", "js_import"), ("q.java", "com.x.Z", "java_import"), ("q.java", "java.util.List", "java_import"), ("m.rs", "crate::net::T", "rust_use"), ("c.c", "stdio.h", "c_include")]

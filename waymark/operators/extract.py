@@ -302,14 +302,16 @@ def text_references(files: DataFrame, records: DataFrame) -> DataFrame:
     """Identifiers in texts that name a record, except at the record's own place.
 
     Identifiers are joined with the distinct target names by name; Spark broadcasts the names while their size
-    is under its threshold and shuffles both sides otherwise, with skew handling for frequent words.
+    is under its threshold and shuffles both sides otherwise, with skew handling for frequent words. A word
+    takes its line's evidence along, not the line: a minified line has a hundred thousand words.
     """
-    words = lines(files).select("path", "line_no", "line", F.explode(spans(F.col("line"), "[A-Za-z0-9_]+")).alias("m")).select("path", "line_no", "line", F.col("m.c").alias("col"), F.col("m.t").alias("name"))
+    shown = lines(files).select("path", "line_no", "line", truncate(compact(F.col("line"))).alias("evidence"))
+    words = shown.select("path", "line_no", "evidence", F.explode(spans(F.col("line"), "[A-Za-z0-9_]+")).alias("m")).select("path", "line_no", "evidence", F.col("m.c").alias("col"), F.col("m.t").alias("name"))
     words = words.filter(F.col("name").rlike(r"^[A-Za-z_][A-Za-z0-9_]{2,}$"))
     own = records.select("path", F.col("line").alias("line_no"), "col", "name").distinct()
     hit = words.join(reference_targets(records), "name").join(own, ["path", "line_no", "col", "name"], "left_anti")
     kind = F.when(paths.refs_test_path(F.col("path")), "test_reference").otherwise("text_reference")
-    return as_refs(hit, kind, F.col("to_kind"), F.col("line"), "text")
+    return as_refs(hit, kind, F.col("to_kind"), F.col("evidence"), "text")
 
 
 def enrich(refs: DataFrame, records: DataFrame) -> DataFrame:
