@@ -162,6 +162,16 @@ def test_resolver_tiers_suffixes_and_reasons(spark):
     }
 
 
+def test_exploded_candidates_are_not_broadcast(spark, tmp_path):
+    e = spark.createDataFrame([("a/m.js", 1, 1, f"./f{k}", "js_import", "js", "", "x") for k in range(20)], "from_path string, from_line int, from_col int, import_path string, dependency_kind string, lang string, evidence string, source string")
+    e.write.parquet(f"{tmp_path}/edges")
+    spark.createDataFrame([(f"a/f{k}.ts",) for k in range(10)], "path string").write.parquet(f"{tmp_path}/files")
+    df = resolve.resolve(spark.read.parquet(f"{tmp_path}/edges"), spark.read.parquet(f"{tmp_path}/files"))
+    joins = re.findall(r"(\w+Join) \[mode#", df._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+    assert rows(df, "import_path", "target_path") == sorted([(f"./f{k}", f"a/f{k}.ts" if k < 10 else None) for k in range(20)], key=str)
+
+
 def test_file_reference_resolution(spark):
     f = spark.createDataFrame([("h.py", "from .m import x"), ("d.md", "[a](docs/A.md) ![p](x.png) [u](http://x.y)"), ("m.py", ""), ("docs/a.md", "")], "path string, text string")
     got = rows(file_refs.resolve(extract.scan_file_references(f), f), "source_path", "raw_target", "target_path", "reference_kind", "unresolved_reason")

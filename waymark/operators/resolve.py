@@ -161,7 +161,8 @@ def resolve(edges: DataFrame, files: DataFrame, go_module: str | None = None, js
     e = edges.select(*EDGE).withColumns({"missing": missing, "forbidden": forbidden})
     key = ["from_path", "import_path", "dependency_kind", "evidence"]  # what the candidates depend on
     tries = e.filter(F.col("forbidden").isNull()).select(*key).distinct().select(*key, F.explode(F.transform(found, normal)).alias("c")).select(*key, "c.*").filter(F.col("key").isNotNull())
-    hits = tries.join(path_keys(files), ["mode", "key"]).filter((F.size("exts") == 0) | F.array_contains("exts", F.col("ext")))
+    # both sides are exploded, which Spark's size estimates leave out: unhinted, millions of rows pass for a broadcast
+    hits = tries.join(path_keys(files).hint("merge"), ["mode", "key"]).filter((F.size("exts") == 0) | F.array_contains("exts", F.col("ext")))
     tier = hits.groupBy(*key, "tier").agg(F.count_distinct("path").alias("n"), F.min("path").alias("p"))
     best = tier.groupBy(*key).agg(F.min(F.struct("tier", "n", "p")).alias("b"))
     r = e.join(best, key, "left")
